@@ -86,3 +86,53 @@ def affiliation_links(affiliations: DataFrame, org_ids: DataFrame) -> DataFrame:
         strip_ws("start_date").alias("start_date"),
         strip_ws("end_date").alias("end_date"),
     )
+
+
+def display_summary(
+    affiliations: DataFrame,
+    domains: DataFrame,
+    external_ids: DataFrame,
+    n_affiliations: int = 2,
+    n_domains: int = 10,
+    ellipsis_over: int = 2,
+    registry_type: str = "orcid",
+) -> DataFrame:
+    """One display line per person.
+
+    ``affiliations(person_id, pos, label)``, ``domains(person_id, rank,
+    label)``, ``external_ids(person_id, pos, type, id)``. The first
+    ``n_affiliations`` labels and first ``n_domains`` domain labels are
+    joined by ", "; " ..." is appended to the domains when the person has
+    more than ``ellipsis_over`` of them. The registry id is the first
+    external id of ``registry_type``. Each list is cut by a ranking window
+    before it is gathered, so no list grows with the data.
+    """
+    wa = Window.partitionBy("person_id").orderBy("pos")
+    aff = (
+        affiliations.where(~is_blank("label"))
+        .withColumn("_rn", F.row_number().over(wa))
+        .where(F.col("_rn") <= n_affiliations)
+        .groupBy("person_id")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "label"))), lambda s: s["label"]), ", ").alias("affiliations_text"))
+    )
+    wd = Window.partitionBy("person_id").orderBy("rank")
+    dn = domains.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_domains"))
+    dom = (
+        domains.withColumn("_rn", F.row_number().over(wd))
+        .where(F.col("_rn") <= n_domains)
+        .groupBy("person_id")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "label"))), lambda s: s["label"]), ", ").alias("_dt"))
+        .join(dn, "person_id")
+        .select(
+            "person_id",
+            F.when(F.col("n_domains") > ellipsis_over, F.concat("_dt", F.lit(" ..."))).otherwise(F.col("_dt")).alias("domains_text"),
+            "n_domains",
+        )
+    )
+    reg = (
+        external_ids.where(F.col("type") == registry_type)
+        .groupBy("person_id")
+        .agg(F.min_by("id", "pos").alias("registry_id"))
+    )
+    people = aff.select("person_id").unionByName(dom.select("person_id")).unionByName(reg.select("person_id")).distinct()
+    return people.join(aff, "person_id", "left").join(dom, "person_id", "left").join(reg, "person_id", "left")

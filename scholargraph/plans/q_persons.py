@@ -65,3 +65,102 @@ FROM g
 def q_merge_domains(spark, sf):
     """Ranked, case-merged domains of every customer."""
     return pg.merge_domains(domain_entries(spark, sf)).drop("type", "first_pos")
+
+
+def publication_entries(spark, sf):
+    """Publications of each customer: one entry per line item of an order."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    return j.select(
+        F.col("o_custkey").alias("person_id"),
+        line_pos().alias("pos"),
+        F.col("o_orderkey").alias("publication"),
+        F.when((F.col("l_linenumber") == 1) & (F.col("o_orderkey") % 5 == 0), F.lit(""))
+        .otherwise(F.concat(F.lit("Publication "), F.col("o_orderkey").cast("string"), F.lit(" part "), F.col("l_linenumber").cast("string")))
+        .alias("title"),
+        F.year("o_orderdate").cast("string").alias("year"),
+        F.col("l_returnflag").alias("role"),
+    )
+
+
+PUBS_SQL = f"""
+  SELECT o.o_custkey AS person_id, {LINE_POS_SQL} AS pos, o.o_orderkey AS publication,
+         CASE WHEN l.l_linenumber = 1 AND o.o_orderkey % 5 = 0 THEN ''
+              ELSE 'Publication ' || o.o_orderkey || ' part ' || l.l_linenumber END AS title,
+         CAST(year(o.o_orderdate) AS VARCHAR) AS year, l.l_returnflag AS role
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+"""
+
+A2_SQL = f"""
+WITH p AS ({PUBS_SQL}), t AS (SELECT * FROM p WHERE trim(title) <> ''),
+f AS (SELECT person_id, publication, arg_min(title, pos) AS title, arg_min(year, pos) AS year
+      FROM t GROUP BY 1, 2),
+r AS (SELECT person_id, publication, role, min(pos) AS rpos FROM t GROUP BY 1, 2, 3),
+ra AS (SELECT person_id, publication, string_agg(role, ',' ORDER BY rpos) AS roles FROM r GROUP BY 1, 2)
+SELECT f.person_id, f.publication, f.title, f.year, ra.roles
+FROM f JOIN ra USING (person_id, publication)
+"""
+
+
+@register("A2_group_publications", A2_SQL)
+def q_group_publications(spark, sf):
+    """Publications per customer with first title/year and first-seen roles."""
+    g = pg.group_publications(publication_entries(spark, sf))
+    return g.select("person_id", "publication", "title", "year", F.array_join("roles", ",").alias("roles"))
+
+
+def affiliation_entries(spark, sf):
+    """Affiliations of each customer: the suppliers of their line items."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
+    return j.groupBy(F.col("o_custkey").alias("person_id"), F.col("l_suppkey")).agg(
+        F.min(line_pos()).alias("pos"),
+        F.first("s_name").alias("structure_label"),
+        F.count(F.lit(1)).alias("publications_count"),
+        F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("start_date"),
+        F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("end_date"),
+    ).withColumn("structure_id", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+
+
+def external_id_entries(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey")
+    return c.where(F.col("c_custkey") % 4 != 0).select(
+        F.col("c_custkey").alias("person_id"),
+        F.lit(1).alias("pos"),
+        F.lit("orcid").alias("type"),
+        F.lpad(F.col("c_custkey").cast("string"), 16, "0").alias("id"),
+    )
+
+
+P6_SQL = f"""
+WITH d AS ({DOMAINS_SQL}),
+g AS (SELECT person_id, lower(label) AS k, sum(cnt) AS count, arg_min(label, pos) AS label, min(pos) AS first_pos
+      FROM d WHERE label IS NOT NULL GROUP BY 1, 2),
+rk AS (SELECT person_id, label, row_number() OVER (PARTITION BY person_id ORDER BY count DESC, first_pos) AS rank FROM g),
+dom AS (SELECT person_id,
+               string_agg(label, ', ' ORDER BY rank) FILTER (WHERE rank <= 10)
+                 || CASE WHEN count(*) > 2 THEN ' ...' ELSE '' END AS domains_text,
+               count(*) AS n_domains
+        FROM rk GROUP BY 1),
+a AS (SELECT o.o_custkey AS person_id, l.l_suppkey, min({LINE_POS_SQL}) AS pos, any_value(s.s_name) AS label
+      FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+      GROUP BY 1, 2),
+ar AS (SELECT person_id, label, row_number() OVER (PARTITION BY person_id ORDER BY pos) AS rn FROM a),
+aff AS (SELECT person_id, string_agg(label, ', ' ORDER BY rn) AS affiliations_text FROM ar WHERE rn <= 2 GROUP BY 1),
+reg AS (SELECT c_custkey AS person_id, lpad(CAST(c_custkey AS VARCHAR), 16, '0') AS registry_id
+        FROM customer WHERE c_custkey % 4 <> 0),
+people AS (SELECT person_id FROM aff UNION SELECT person_id FROM dom UNION SELECT person_id FROM reg)
+SELECT people.person_id, aff.affiliations_text, dom.domains_text, CAST(dom.n_domains AS BIGINT) AS n_domains, reg.registry_id
+FROM people LEFT JOIN aff USING (person_id) LEFT JOIN dom USING (person_id) LEFT JOIN reg USING (person_id)
+"""
+
+
+@register("P6_display_summary", P6_SQL)
+def q_display_summary(spark, sf):
+    """One summary line per customer: first 2 suppliers, first 10 ranked domains."""
+    ranked = pg.merge_domains(domain_entries(spark, sf)).select("person_id", "rank", "label")
+    aff = affiliation_entries(spark, sf).select("person_id", "pos", F.col("structure_label").alias("label"))
+    return pg.display_summary(aff, ranked, external_id_entries(spark, sf))
