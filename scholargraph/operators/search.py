@@ -72,29 +72,46 @@ def search_prefix_all(names: DataFrame, queries: DataFrame, k: int | None = 3,
     contract, not the value). Ties by id. Output ``(query_id, total,
     rank, id, score)``.
 
-    The prefix match is an equi-join: the distinct vocabulary is exploded
-    into its prefixes of length 1..3, the query word joins on its first
-    min(3, len) characters and ``startswith`` checks the rest.
+    Plan: (1) the prefix match is an equi-join: the distinct vocabulary
+    is exploded into its prefixes of length 1..3, each distinct query word
+    joins on its first min(3, len) characters and ``startswith`` checks
+    the rest; (2) word postings ``(w, id, tf)`` are built once per
+    distinct word of the batch, not per query; (3) each query is driven by
+    its rarest word (smallest df) to get candidates, and the other words
+    are checked by an equi-join on (w, id). A word shared by many queries
+    or matching most names is therefore never multiplied by the batch.
     """
     post = token_postings(names, id_col, text_col)
     n_docs = names.select(F.count(F.lit(1))).scalar()
     qw = query_words(queries)
     nw = qw.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_words"))
+    words = qw.select("w").distinct()
     vocab = post.select("tok").distinct()
     pref = vocab.select(
         "tok",
         F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("tok"), F.lit(PREFIX_KEY))), lambda n: F.substring("tok", 1, n))).alias("pfx"),
     )
-    qk = qw.withColumn("pfx", F.substring("w", 1, PREFIX_KEY))
-    words_to_toks = pref.join(F.broadcast(qk), "pfx").where(F.col("tok").startswith(F.col("w")))
-    m = (
-        post.join(bounded_broadcast(words_to_toks.select("query_id", "w", "tok")), "tok")
-        .groupBy("query_id", "w", "id")
+    wk = words.withColumn("pfx", F.substring("w", 1, PREFIX_KEY))
+    word_toks = pref.join(F.broadcast(wk), "pfx").where(F.col("tok").startswith(F.col("w"))).select("w", "tok")
+    mw = (
+        post.join(bounded_broadcast(word_toks), "tok")
+        .groupBy("w", "id")
         .agg(F.sum("tf").alias("tf"))
     )
-    df = m.groupBy("query_id", "w").agg(F.count(F.lit(1)).alias("df"))
+    dfw = mw.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    driver = (
+        qw.join(dfw, "w")
+        .groupBy("query_id")
+        .agg(F.min_by("w", F.struct("df", "w")).alias("w"), F.count(F.lit(1)).alias("n_found"))
+        .join(nw, "query_id")
+        .where(F.col("n_found") == F.col("n_words"))
+        .select("query_id", "w")
+    )
+    cand = driver.join(mw.select("w", "id"), "w").select("query_id", "id")
     s = (
-        m.join(df, ["query_id", "w"])
+        cand.join(qw, "query_id")
+        .join(mw, ["w", "id"])
+        .join(dfw, "w")
         .groupBy("query_id", "id")
         .agg(
             F.count(F.lit(1)).alias("n_matched"),

@@ -1,3 +1,3 @@
 """All registered queries; importing this module fills the registry."""
-from scholargraph.plans import q_ingest, q_persons, q_search  # noqa: F401
+from scholargraph.plans import q_graph, q_ingest, q_persons, q_search  # noqa: F401
 from scholargraph.plans.registry import ORACLE, QUERIES  # noqa: F401

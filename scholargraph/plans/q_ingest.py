@@ -243,7 +243,7 @@ def q_register_statements(spark, sf):
 # ---------------------------------------------------------- person table
 
 
-def person_table(spark, sf):
+def person_table(spark, sf, repeat_ids: bool = True):
     """Customers as a person table: id, full name and the JSON record.
     Even keys spell ``topDomains``, odd ``top_domains``; keys ending in 3
     come in a search envelope; keys ending in 49 repeat the previous id."""
@@ -261,7 +261,7 @@ def person_table(spark, sf):
         F.lit('"}], "publicationsCount": '), s(ck % 13), F.lit("}"),
     )
     data = F.when(ck % 10 == 3, F.concat(F.lit('{"_source": '), base, F.lit(', "_score": '), s(ck % 10), F.lit(".5}"))).otherwise(base)
-    rid = F.when(ck % 50 == 49, s(ck - 1)).otherwise(s(ck))
+    rid = F.when((ck % 50 == 49) & F.lit(repeat_ids), s(ck - 1)).otherwise(s(ck))
     return c.select(rid.alias("id"), F.col("c_name").alias("fullName"), data.alias("data"))
 
 

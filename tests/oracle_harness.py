@@ -105,6 +105,7 @@ def main(argv=None):
     from scholargraph.session import get_session
 
     spark = get_session("local[8]")
+    spark.sparkContext.setLogLevel("OFF")
     bad = 0
     for name, fn in sorted(catalog.QUERIES.items()):
         if a.names and not any(name.startswith(p) for p in a.names):
