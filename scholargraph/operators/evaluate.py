@@ -29,7 +29,7 @@ def profile(values: DataFrame, limits: dict[str, int] = PROFILE_LIMITS) -> DataF
     v = values.where(~is_blank("text")).groupBy("person_id", "kind", "text").agg(F.min("pos").alias("pos"))
     n = v.groupBy("person_id", "kind").agg(F.count(F.lit(1)).alias("n_distinct"))
     w = Window.partitionBy("person_id", "kind").orderBy("pos", "text")
-    lim = F.coalesce(F.element_at(F.create_map(*[x for k, n_ in limits.items() for x in (F.lit(k), F.lit(n_))]), F.col("kind")), F.lit(10))
+    lim = F.coalesce(F.try_element_at(F.create_map(*[x for k, n_ in limits.items() for x in (F.lit(k), F.lit(n_))]), F.col("kind")), F.lit(10))
     top = v.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= lim)
     lists = top.groupBy("person_id", "kind").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", "text"))), lambda s: s["text"]).alias("items")
@@ -100,7 +100,7 @@ def parse_evaluations(replies: DataFrame) -> DataFrame:
         .when(F.col("_e").isNull(), "no evaluations")
         .when(F.size("_e") == 0, "empty evaluations")
     )
-    first = F.element_at("_e", 1)
+    first = F.get("_e", 0)
     return t.select(
         "person_id", "agent_id",
         F.when(reason.isNull(), "ok").otherwise("rejected").alias("status"),

@@ -196,7 +196,7 @@ def org_type(structure_id: Column, kinds: Column) -> Column:
     """Doctoral schools by id prefix, else the first kind, else ``no``."""
     return (
         F.when(structure_id.startswith(DOCTORAL_PREFIX), F.lit(DOCTORAL_TYPE))
-        .otherwise(F.coalesce(F.element_at(kinds, 1), F.lit("no")))
+        .otherwise(F.coalesce(F.get(kinds, 0), F.lit("no")))
     )
 
 

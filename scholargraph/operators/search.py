@@ -289,7 +289,7 @@ def search_ranked(docs: DataFrame, queries: DataFrame, k: int | None = 3,
 def split_name(c: Column) -> tuple[Column, Column]:
     """First word (given name) and the rest (family name), folded."""
     parts = F.split(strip_ws(fold(c)), r"\s+", 2)
-    return parts[0], F.coalesce(F.element_at(parts, 2), F.lit(""))
+    return parts[0], F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
 
 
 def search_given_family(names: DataFrame, queries: DataFrame, k: int | None = 3,

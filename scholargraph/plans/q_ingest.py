@@ -92,7 +92,7 @@ def q_import_persons(spark, sf):
 
 def keyed_events(spark, sf, before: bool):
     e = table(spark, sf, "events")
-    cond = F.col("ts") < F.lit(CUTOFF).cast("timestamp")
+    cond = F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")
     e = e.where(cond if before else ~cond)
     return e.select(
         F.col("user_id").alias("id"), "event_id", F.col("event_type").alias("kind"), "value",
@@ -124,7 +124,7 @@ def q_upsert_by_key(spark, sf):
 
 def event_points(spark, sf, before: bool):
     e = table(spark, sf, "events")
-    cond = F.col("ts") < F.lit(CUTOFF).cast("timestamp")
+    cond = F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")
     e = e.where(cond if before else ~cond)
     zero = F.col("event_id") % 13 == 0
     k = F.get_json_object("props", "$.k").cast("double")
@@ -289,10 +289,10 @@ def q_decode_person_table(spark, sf):
         "row_id", p["id"].alias("id"), p["score"].alias("score"), p["firstName"].alias("firstName"),
         p["lastName"].alias("lastName"), p["fullName"].alias("fullName"),
         F.size(p["top_domains"]).alias("n_top_domains"),
-        p["top_domains"][0]["label"]["default"].alias("top_label"),
-        p["top_domains"][0]["code"].alias("top_code"),
+        F.get(p["top_domains"], 0)["label"]["default"].alias("top_label"),
+        F.get(p["top_domains"], 0)["code"].alias("top_code"),
         F.size(p["externalIds"]).alias("n_external_ids"),
-        p["externalIds"][0]["url"].alias("external_url"),
+        F.get(p["externalIds"], 0)["url"].alias("external_url"),
         F.size(p["publications"]).alias("n_publications"),
         F.size(p["domains"]).alias("n_domains"),
     )

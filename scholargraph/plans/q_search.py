@@ -268,7 +268,7 @@ def q_fallback(spark, sf):
 
 def suggest_inputs(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey")
-    terms = F.element_at(F.array(*[F.lit(t) for t in SUGGEST_TERMS]), (F.col("c_custkey") % len(SUGGEST_TERMS) + 1).cast("int"))
+    terms = F.try_element_at(F.array(*[F.lit(t) for t in SUGGEST_TERMS]), (F.col("c_custkey") % len(SUGGEST_TERMS) + 1).cast("int"))
     req = c.select(F.col("c_custkey").alias("person_id"), terms.alias("term"))
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")

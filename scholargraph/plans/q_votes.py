@@ -216,7 +216,7 @@ def q_sort_board(spark, sf):
 
 def vote_events(spark, sf, before: bool):
     e = table(spark, sf, "events")
-    cond = F.col("ts") < F.lit(CUTOFF).cast("timestamp")
+    cond = F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")
     e = e.where(cond if before else ~cond)
     op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("update")
     return e.select(
