@@ -20,17 +20,24 @@ def stable_id(*cols) -> Column:
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx", partitions: int | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order_cols``.
 
-    Equivalent to ``row_number() OVER (ORDER BY ...)`` but without moving
-    every row into one task: rows are range-partitioned on the order, each
-    partition numbers its own rows, and a prefix sum over the (few)
-    per-partition counts gives the offsets. ``order_cols`` must be unique.
+    Equivalent to ``row_number() OVER (ORDER BY ...)`` without moving every
+    row into one task. Rows are range-partitioned on the order and sorted
+    inside each partition; ``monotonically_increasing_id`` then encodes
+    (partition index, position in partition) in one pass (adaptive
+    coalescing only merges adjacent ranges, so the order holds). That
+    result is written once to the shared checkpoint folder, so the
+    per-partition counts and the numbering read the same rows; a prefix
+    sum over the (few) counts gives each partition's offset.
+    ``order_cols`` must identify rows uniquely.
     """
+    from scholargraph.session import cut_lineage
+
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols))
-    )
+    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = cut_lineage(ranged.withColumn("_m", F.monotonically_increasing_id()), "dense-index")
+    low = (1 << 33) - 1
+    ranged = ranged.withColumn("_pid", F.shiftright("_m", 33)).withColumn("_lrn", F.col("_m").bitwiseAND(F.lit(low)) + 1)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_off",
@@ -39,9 +46,9 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx", partiti
             F.lit(0),
         ),
     ).select("_pid", "_off")
-    # offsets has one row per partition: a bounded broadcast.
+    # offsets has one row per partition: bounded by the partition count.
     return (
-        local.join(F.broadcast(offsets), "_pid")
+        ranged.join(F.broadcast(offsets), "_pid")
         .withColumn(name, (F.col("_off") + F.col("_lrn")).cast("bigint"))
-        .drop("_pid", "_lrn", "_off")
+        .drop("_pid", "_lrn", "_off", "_m")
     )

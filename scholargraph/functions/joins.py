@@ -1,20 +1,32 @@
-"""Join helpers: size-checked broadcast and n-gram candidate joins."""
+"""Join helpers: broadcast only behind a proven size bound."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest number of rows we broadcast on a proven bound.
-BROADCAST_MAX_ROWS = 1_000_000
+# Largest estimated size we broadcast on the planner's own statistics.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (an upper-bound style estimate
+    from file sizes and operator statistics); no job is run. None when the
+    estimate is not available (e.g. a remote session)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:
+        return None
 
-    The proof is a ``limit(max_rows + 1).count()``, which stops reading
-    once the bound is passed. Above the bound the frame is returned as is
-    and the planner (AQE) picks a shuffle join from runtime sizes.
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if its estimated size is at most ``max_bytes``.
+
+    Above the bound (or without an estimate) no hint is given: adaptive
+    execution measures the real size at runtime and either broadcasts
+    (under ``spark.sql.adaptive.autoBroadcastJoinThreshold``) or keeps a
+    shuffled sort-merge join, so nothing unbounded is ever shipped.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    est = estimated_bytes(df)
+    if est is not None and est <= max_bytes:
         return F.broadcast(df)
     return df

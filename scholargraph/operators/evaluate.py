@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholargraph.functions.ids import dense_index, stable_id
-from scholargraph.functions.text import is_blank
+from scholargraph.functions.text import fold, is_blank
 
 # The four evaluation categories, the score bands, and the
 # fenced-block pattern of a model reply.
@@ -37,6 +37,23 @@ def profile(values: DataFrame, limits: dict[str, int] = PROFILE_LIMITS) -> DataF
     return lists.join(n, ["person_id", "kind"])
 
 
+def text_keywords(docs: DataFrame, id_col: str, text_col: str, min_len: int = 5, limit: int = 20) -> DataFrame:
+    """P8 for free text: the first ``limit`` distinct words of at least
+    ``min_len`` letters of the whole text, in first-seen order.
+
+    One projection per row: a word is a maximal run of letters/digits of
+    the folded text, so ``regexp_extract_all`` of runs of ``min_len`` or
+    more gives the long words in order; ``array_distinct`` keeps first
+    occurrences. No explode, no shuffle. Output ``(person_id, kind, items,
+    n_distinct)`` as ``profile``.
+    """
+    words = F.array_distinct(F.regexp_extract_all(fold(text_col), F.lit(f"[\\p{{L}}\\p{{N}}]{{{min_len},}}"), 0))
+    return docs.select(
+        F.col(id_col).alias("person_id"), F.lit("keyword").alias("kind"),
+        F.slice(words, 1, limit).alias("items"), F.size(words).alias("n_distinct"),
+    ).where(F.col("n_distinct") > 0)
+
+
 def split_evaluated(people: DataFrame, evaluations: DataFrame, agent_title: str) -> DataFrame:
     """People already evaluated by the agent (reuse) and pending ones.
 

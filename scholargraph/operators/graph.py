@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scholargraph.functions.ids import stable_id
 from scholargraph.functions.text import fold, is_blank, php_empty, strip_ws
+from scholargraph.session import cut_lineage
 
 # Property terms of the vocabulary used by the graph.
 TITLE = "dcterms:title"
@@ -430,7 +431,9 @@ def merge_batch(items: DataFrame, statements: DataFrame, names: DataFrame, recor
     """
     persons = items.where(F.col("class") == person_class)
     q = persons.select(F.col("item_id").alias("query_id"), F.col("title").alias("text"))
-    hits = search(names, q, 1).select(F.col("query_id").alias("item_id"), F.col("id").alias("person_id"))
+    # one row per item; written once because four consumers read it
+    hits = cut_lineage(search(names, q, 1).select(F.col("query_id").alias("item_id"), F.col("id").alias("person_id")),
+                       "merge-hits")
     recs = hits.join(records.withColumnRenamed("id", "person_id"), "person_id").select("item_id", "person")
     own = statements.join(persons.select("item_id"), "item_id", "left_semi")
     new = person_statements(recs, own, id_prefix)

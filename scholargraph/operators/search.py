@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 
 from scholargraph.functions.joins import bounded_broadcast
 from scholargraph.functions.text import fold, strip_ws, tokens
+from scholargraph.session import cut_lineage
 
 PREFIX_KEY = 3  # prefix length of the vocabulary join key
 BM25_K1 = 1.2
 BM25_B = 0.75
+MAX_LITERAL_WORDS = 10_000  # query words filtered in-row (hash set) up to this many
 
 
 # ------------------------------------------------------------------ index
@@ -62,6 +64,30 @@ def _with_total(hits: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ F1 prefix
 
+PREFIX_CAP = 12  # longest prefix materialised for the prefix equi-join
+
+
+def prefix_matches(vocab: DataFrame, words: DataFrame, cap: int = PREFIX_CAP) -> DataFrame:
+    """``(w, tok)`` for every vocabulary token that starts with a query word.
+
+    An equi-join, not a scan of all pairs: each token is cut to its
+    prefixes at only the word lengths present in the batch (a short list,
+    at most ``cap`` values, read from the batch); a word joins the tokens
+    whose prefix of its own length equals it. Words longer than ``cap``
+    join on their first ``cap`` characters and ``startswith`` checks the
+    rest. A common short key (for instance many zero-padded numbers
+    sharing "000") therefore never multiplies the batch by the vocabulary.
+    """
+    lens = sorted({r[0] for r in words.select(F.least(F.length("w"), F.lit(cap))).distinct().collect()})
+    if not lens:
+        return words.sparkSession.createDataFrame([], "w string, tok string")
+    cuts = F.array(*[F.when(F.length("tok") >= n, F.substring("tok", 1, n)) for n in lens])
+    pref = vocab.select("tok", F.explode(cuts).alias("pfx")).where(F.col("pfx").isNotNull())
+    wk = words.withColumn("pfx", F.substring("w", 1, cap))
+    j = pref.join(bounded_broadcast(wk), "pfx")
+    return j.where((F.length("w") <= cap) | F.col("tok").startswith(F.col("w"))).select("w", "tok")
+
+
 
 def search_prefix_all(names: DataFrame, queries: DataFrame, k: int | None = 3,
                       id_col: str = "id", text_col: str = "name") -> DataFrame:
@@ -72,27 +98,18 @@ def search_prefix_all(names: DataFrame, queries: DataFrame, k: int | None = 3,
     contract, not the value). Ties by id. Output ``(query_id, total,
     rank, id, score)``.
 
-    Plan: (1) the prefix match is an equi-join: the distinct vocabulary
-    is exploded into its prefixes of length 1..3, each distinct query word
-    joins on its first min(3, len) characters and ``startswith`` checks
-    the rest; (2) word postings ``(w, id, tf)`` are built once per
+    Plan: (1) the prefix match is an equi-join (``prefix_matches``); (2) word postings ``(w, id, tf)`` are built once per
     distinct word of the batch, not per query; (3) each query is driven by
     its rarest word (smallest df) to get candidates, and the other words
     are checked by an equi-join on (w, id). A word shared by many queries
     or matching most names is therefore never multiplied by the batch.
     """
     post = token_postings(names, id_col, text_col)
-    n_docs = names.select(F.count(F.lit(1))).scalar()
+    n_docs = names.select(F.count(F.lit(1))).scalar()  # lazy scalar subquery
     qw = query_words(queries)
     nw = qw.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_words"))
     words = qw.select("w").distinct()
-    vocab = post.select("tok").distinct()
-    pref = vocab.select(
-        "tok",
-        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("tok"), F.lit(PREFIX_KEY))), lambda n: F.substring("tok", 1, n))).alias("pfx"),
-    )
-    wk = words.withColumn("pfx", F.substring("w", 1, PREFIX_KEY))
-    word_toks = pref.join(F.broadcast(wk), "pfx").where(F.col("tok").startswith(F.col("w"))).select("w", "tok")
+    word_toks = prefix_matches(post.select("tok").distinct(), words)
     mw = (
         post.join(bounded_broadcast(word_toks), "tok")
         .groupBy("w", "id")
@@ -189,7 +206,7 @@ def paginate(hits_unbounded: DataFrame, pages: DataFrame) -> DataFrame:
     ``hits_unbounded`` are all hits with their rank; ``pages(query_id,
     page, size)``. Output adds ``n_pages = ceil(total / size)``.
     """
-    j = hits_unbounded.join(F.broadcast(pages.select("query_id", "page", "size")), "query_id")
+    j = hits_unbounded.join(bounded_broadcast(pages.select("query_id", "page", "size")), "query_id")
     first = F.col("page") * F.col("size")
     return j.where((F.col("rank") > first) & (F.col("rank") <= first + F.col("size"))).withColumn(
         "n_pages", F.ceil(F.col("total") / F.col("size")).cast("bigint")
@@ -248,34 +265,50 @@ def search_fields(rows: DataFrame, queries: DataFrame, fields: list[str] | None
 # ------------------------------------------------------------ F6 BM25
 
 
+def query_vocabulary(queries: DataFrame, max_words: int = MAX_LITERAL_WORDS) -> list[str] | None:
+    """Distinct folded words of a query batch when there are at most
+    ``max_words`` of them (read with a bounded ``limit``), else None."""
+    rows = query_words(queries).select("w").distinct().limit(max_words + 1).collect()
+    return None if len(rows) > max_words else sorted(r[0] for r in rows)
+
+
 def search_ranked(docs: DataFrame, queries: DataFrame, k: int | None = 3,
                   id_col: str = "id", text_col: str = "text") -> DataFrame:
     """any query word matches a word of the text; ranked by BM25.
 
     BM25 (Robertson and Zaragoza 2009) with k1=1.2, b=0.75 and
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Only postings of query
-    words are built: the exploded words are cut by a semi join to the
-    (broadcast) query vocabulary before counting. N and the mean length
-    are scalar subqueries.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Each text is tokenised once
+    for the postings; N and the mean length come from one (reused) scalar
+    subquery. Only words of the batch are kept before the explode: an
+    ``isin`` filter inside the array (a hash set) when the batch has at
+    most ``MAX_LITERAL_WORDS`` distinct words, else a broadcast semi join.
     """
     d = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks"))
-    stats = d.select(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    n_docs = stats.select("n").scalar()
-    avgdl = stats.select("avgdl").scalar()
     qw = query_words(queries)
-    vocab = qw.select(F.col("w").alias("tok")).distinct()
-    post = (
-        d.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
-        .join(F.broadcast(vocab), "tok", "left_semi")
-        .groupBy("tok", "id")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
+    vocab_list = query_vocabulary(queries)
+    if vocab_list is not None:
+        if not vocab_list:
+            return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, total bigint, rank int")
+        # One tokenising pass, written once: per document a marker row
+        # (tok null, carrying its length) plus one row per query-word
+        # occurrence. Both the corpus statistics and the postings read it.
+        toks_m = F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))
+        occ = cut_lineage(
+            d.select("id", F.size("toks").alias("dl"), F.explode(toks_m).alias("tok"))
+            .where(F.col("tok").isNull() | F.col("tok").isin(*vocab_list)),
+            "bm25-occurrences",
+        )
+        per_doc = occ.where(F.col("tok").isNull())
+        post = occ.where(F.col("tok").isNotNull())
+    stats = per_doc.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    n_docs, avgdl = stats["n"], stats["avgdl"]
+    post = post.groupBy("tok", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     dfs = post.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tfn = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avgdl))
     s = (
         post.join(dfs, "tok")
-        .join(F.broadcast(qw.withColumnRenamed("w", "tok")), "tok")
+        .join(bounded_broadcast(qw.withColumnRenamed("w", "tok")), "tok")
         .groupBy("query_id", "id")
         .agg(F.sum(idf * tfn).alias("score"))
         .select("query_id", "id", F.round("score", 9).alias("score"))
@@ -301,7 +334,7 @@ def search_given_family(names: DataFrame, queries: DataFrame, k: int | None = 3,
     two = q.where(F.col("f") != "")
     ng, nf = split_name(F.col(text_col))
     n = names.select(F.col(id_col).alias("id"), ng.alias("g"), nf.alias("f"))
-    exact = n.join(F.broadcast(two.select("query_id", "g", "f")), ["g", "f"]).select(
+    exact = n.join(bounded_broadcast(two.select("query_id", "g", "f")), ["g", "f"]).select(
         "query_id", "id", F.lit(1.0).alias("score")
     )
     exact = top_k(_with_total(exact), k, [F.asc("id")]).withColumn("method", F.lit("given_family"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholargraph.functions.ids import stable_id
-from scholargraph.functions.text import tokens
 from scholargraph.operators import evaluate as EV
 from scholargraph.plans.registry import register, table
 from scholargraph.plans.sqltext import toks_sql
@@ -25,20 +24,18 @@ def people(spark, sf):
     return d.select(F.col("doc_id").alias("person_id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("name"))
 
 
-def profile_values(spark, sf):
-    """Keywords: words of 5+ letters of the whole text; axes: language and source."""
+def axis_values(spark, sf):
+    """Axes of each document's author: language, then source."""
     d = table(spark, sf, "documents")
-    kw = d.select(F.col("doc_id").alias("person_id"), F.posexplode(tokens("text")).alias("pos", "text")).where(
-        F.length("text") >= MIN_KEYWORD
-    ).withColumn("kind", F.lit("keyword"))
-    ax = d.select(F.col("doc_id").alias("person_id"), F.inline(F.array(
+    return d.select(F.col("doc_id").alias("person_id"), F.inline(F.array(
         F.struct(F.lit(1).alias("pos"), F.col("lang").alias("text")), F.struct(F.lit(2).alias("pos"), F.col("source").alias("text"))
     ))).withColumn("kind", F.lit("axis"))
-    return kw.unionByName(ax)
 
 
 def profiles(spark, sf):
-    return EV.profile(profile_values(spark, sf))
+    """Keywords: distinct words of 5+ letters over the whole text (first 20); axes."""
+    kw = EV.text_keywords(table(spark, sf, "documents"), "doc_id", "text", MIN_KEYWORD, 20)
+    return kw.unionByName(EV.profile(axis_values(spark, sf)))
 
 
 PROFILE_SQL = f"""

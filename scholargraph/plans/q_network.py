@@ -13,6 +13,7 @@ from scholargraph.plans.q_ingest import S2_SQL
 from scholargraph.plans.q_ingest import dump_lines
 from scholargraph.plans.registry import register, table
 from scholargraph.plans.sqltext import fold_sql
+from scholargraph.session import cut_lineage
 from scholargraph.sources import jsonl
 
 ORG_CLASS = "foaf:Organization"
@@ -331,7 +332,7 @@ FROM ke
 def q_filter_network(spark, sf):
     """Edges between organisations matching 'nation_1', with kept/total counts."""
     c = cards(spark, sf).select("item_id", "title", "acronym", "address")
-    ke, counts = N.filter_network(c, edges(spark, sf), NETWORK_TEXT)
+    ke, counts = N.filter_network(c, cut_lineage(edges(spark, sf), "edges"), NETWORK_TEXT)
     row = counts.select("kept_orgs", "total_orgs", "total_edges")
     return ke.select(
         "src", "dst", "n_events", "weight",

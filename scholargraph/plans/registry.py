@@ -43,5 +43,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Tables whose rows carry whole texts: per-row work on them is heavy.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from scholargraph.session import spread
+
+        df = spread(df)
+    return df

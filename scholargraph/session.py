@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,7 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "scho
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,11 +48,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Materialise ``df`` once as a Parquet table in the shared checkpoint folder.
+
+    Used where an expensive intermediate (e.g. tokenised texts) feeds
+    several consumers: they all read the written table instead of
+    recomputing it, and a lost executor does not send the work back to the
+    scan. Unlike ``Dataset.checkpoint`` the plan runs once (no second pass
+    to write the checkpoint), and the table is columnar and compressed.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Re-spread a scan that has fewer splits than the cluster has cores.
+
+    A single unsplittable file (one Parquet row group, a gzip dump) is read
+    by one task; per-row work that follows (tokenising whole texts) would
+    then run on one core. Large inputs already have many splits and are
+    returned unchanged, so this never adds a shuffle at scale.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 <= cores:
+        return df.repartition(cores)
+    return df
