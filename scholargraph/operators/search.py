@@ -145,35 +145,38 @@ def search_prefix_all(names: DataFrame, queries: DataFrame, k: int | None = 3,
 
 
 def char_grams(text: Column, lengths: list[int]) -> Column:
-    """Distinct substrings of ``text`` of the given lengths, all positions."""
-    def grams_of(n: int) -> Column:
-        # positions 1 .. len-n+1; an empty range when the text is shorter than n
-        last = F.length(text) - n + 1
-        pos = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(pos, lambda i: F.substring(text, i, n))
+    """Distinct substrings of ``text`` of the given lengths, at every position.
 
-    parts = [grams_of(n) for n in lengths]
-    arr = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return F.array_distinct(F.filter(arr, lambda g: F.length(g) > 0))
+    A lookahead ``(?=(.{n}))`` returns the overlapping substrings of length
+    n in one regex pass (generated code, no lambda).
+    """
+    parts = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths]
+    return F.array_distinct(parts[0] if len(parts) == 1 else F.concat(*parts))
 
 
 def substring_candidates(rows: DataFrame, leaves: Column, queries: DataFrame, norm) -> DataFrame:
     """``(query_id, id)`` of rows where some leaf text contains the query.
 
-    Rows are indexed by their character n-grams of the length
-    min(3, len(query)) for the query lengths present in the batch (at most
-    three lengths); a query joins on its leading n-gram and the full
-    ``contains`` is checked on the candidates.
+    Rows are indexed by their character n-grams of length min(3,
+    len(query)) for the query lengths present in the batch (at most three
+    lengths); a query joins on its leading n-gram and the full ``contains``
+    is checked on the candidates. When the batch has at most
+    ``MAX_LITERAL_WORDS`` distinct keys, each row keeps only the n-grams
+    that are keys (``array_intersect``, a hash set) before the explode.
     """
     q = queries.select("query_id", norm(strip_ws("text")).alias("q")).where(F.col("q") != "")
     q = q.withColumn("g", F.substring("q", 1, PREFIX_KEY))
-    lens = sorted({min(PREFIX_KEY, r[0]) for r in q.select(F.length("q")).distinct().collect()})
-    if not lens:
+    keys = q.select("g").distinct().limit(MAX_LITERAL_WORDS + 1).collect()
+    if not keys:
         return rows.sparkSession.createDataFrame([], "query_id bigint, id bigint")
+    lens = sorted({len(r[0]) for r in keys})
     leaf = F.col("leaf")
+    grams = char_grams(leaf, lens)
+    if len(keys) <= MAX_LITERAL_WORDS:
+        grams = F.array_intersect(grams, F.array(*[F.lit(r[0]) for r in keys]))
     idx = (
         rows.select("id", F.explode(F.transform(leaves, lambda x: norm(x))).alias("leaf"))
-        .select("id", "leaf", F.explode(char_grams(leaf, lens)).alias("g"))
+        .select("id", "leaf", F.explode(grams).alias("g"))
     )
     cand = idx.join(bounded_broadcast(q), "g").where(leaf.contains(F.col("q")))
     return cand.select("query_id", "id").distinct()
