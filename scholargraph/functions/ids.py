@@ -17,7 +17,7 @@ def stable_id(*cols) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
 
 
-def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx", partitions: int | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order_cols: list, name: str = "idx", partitions: int | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order_cols``.
 
     Equivalent to ``row_number() OVER (ORDER BY ...)`` without moving every
@@ -28,7 +28,7 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx", partiti
     result is written once to the shared checkpoint folder, so the
     per-partition counts and the numbering read the same rows; a prefix
     sum over the (few) counts gives each partition's offset.
-    ``order_cols`` must identify rows uniquely.
+    ``order_cols`` (names or sort expressions) must identify rows uniquely.
     """
     from scholargraph.session import cut_lineage
 
@@ -52,3 +52,18 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx", partiti
         .withColumn(name, (F.col("_off") + F.col("_lrn")).cast("bigint"))
         .drop("_pid", "_lrn", "_off", "_m")
     )
+
+
+def rank_within(df: DataFrame, group_cols: list[str], order: list, name: str = "rank") -> DataFrame:
+    """``row_number()`` inside each group, for groups of any size.
+
+    A window partitioned by the group sorts each whole group in one task;
+    here a group holding a third of the rows is spread like any other: the
+    rows get their position in the global (group, order) sort
+    (``dense_index``) and the rank is that position minus the group's first
+    position (a partial ``min`` per group). ``order`` must make rows unique
+    inside a group.
+    """
+    idx = dense_index(df, [F.col(c).asc() for c in group_cols] + list(order), "_gidx")
+    starts = idx.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"))
+    return idx.join(starts, group_cols).withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")

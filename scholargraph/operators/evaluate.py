@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholargraph.functions.ids import dense_index, stable_id
+from scholargraph.functions.ids import dense_index, rank_within, stable_id
 from scholargraph.functions.text import fold, is_blank
 
 # The four evaluation categories, the score bands, and the
@@ -29,8 +29,12 @@ def profile(values: DataFrame, limits: dict[str, int] = PROFILE_LIMITS) -> DataF
     v = values.where(~is_blank("text")).groupBy("person_id", "kind", "text").agg(F.min("pos").alias("pos"))
     n = v.groupBy("person_id", "kind").agg(F.count(F.lit(1)).alias("n_distinct"))
     w = Window.partitionBy("person_id", "kind").orderBy("pos", "text")
-    lim = F.coalesce(F.try_element_at(F.create_map(*[x for k, n_ in limits.items() for x in (F.lit(k), F.lit(n_))]), F.col("kind")), F.lit(10))
-    top = v.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= lim)
+    # one literal bound per kind, so each ranking is planned as a window group limit
+    kinds = [v.where(F.col("kind") == k).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= lim)
+             for k, lim in limits.items()]
+    top = kinds[0]
+    for t in kinds[1:]:
+        top = top.unionByName(t)
     lists = top.groupBy("person_id", "kind").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", "text"))), lambda s: s["text"]).alias("items")
     )
@@ -201,10 +205,15 @@ def top_people(evals: DataFrame, n: int = 5) -> DataFrame:
 
 
 def ranked_in_axis(evals: DataFrame) -> DataFrame:
-    """People by score (desc) inside each (category, axis)."""
+    """People by score (desc) inside each (category, axis).
+
+    Every person of a group is ranked, so the groups are ranked with the
+    distributed ``rank_within`` rather than a window over the whole group.
+    """
     r = axis_rows(evals)
-    w = Window.partitionBy("category", "axis").orderBy(F.desc("score"), "person_id")
-    return r.withColumn("rank", F.row_number().over(w)).select("category", "axis", "rank", "person_id", "score")
+    return rank_within(r, ["category", "axis"], [F.col("score").desc(), F.col("person_id").asc()]).select(
+        "category", "axis", "rank", "person_id", "score"
+    )
 
 
 def attach_summaries(scores: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholargraph.functions.ids import rank_within
 from scholargraph.functions.joins import bounded_broadcast
 from scholargraph.functions.text import fold, strip_ws, tokens
 from scholargraph.session import cut_lineage
@@ -46,12 +47,15 @@ def top_k(hits: DataFrame, k: int | None, order: list[Column], offset: int = 0)
     """Rank hits per query and keep ranks ``offset+1 .. offset+k``.
 
     With a literal bound Spark plans a window group limit, so each task
-    keeps only its best rows per query before the shuffle.
+    keeps only its best rows per query before the shuffle. Without a bound
+    every hit is ranked with the distributed ``rank_within`` (a query
+    matching a third of the rows is not sorted in one task).
     """
-    w = Window.partitionBy("query_id").orderBy(*order)
-    r = hits.withColumn("rank", F.row_number().over(w))
-    if k is not None:
-        r = r.where(F.col("rank") <= offset + k)
+    if k is None:
+        r = rank_within(hits, ["query_id"], order)
+    else:
+        w = Window.partitionBy("query_id").orderBy(*order)
+        r = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= offset + k)
     if offset:
         r = r.where(F.col("rank") > offset)
     return r
@@ -203,13 +207,19 @@ def search_auto(names: DataFrame, queries: DataFrame, k: int | None = 3, min_len
     return a.unionByName(b)
 
 
-def paginate(hits_unbounded: DataFrame, pages: DataFrame) -> DataFrame:
+def paginate(search, names: DataFrame, queries: DataFrame) -> DataFrame:
     """page ``page`` (0-based) of ``size`` hits per query, with page count.
 
-    ``hits_unbounded`` are all hits with their rank; ``pages(query_id,
-    page, size)``. Output adds ``n_pages = ceil(total / size)``.
+    ``queries(query_id, text, page, size)``; ``search(names, queries, k)``
+    a batch search. Hits are ranked only down to the deepest requested
+    page (one number read from the batch), so the ranking keeps its
+    window group limit. Output adds ``n_pages = ceil(total / size)``.
     """
-    j = hits_unbounded.join(bounded_broadcast(pages.select("query_id", "page", "size")), "query_id")
+    deepest = queries.select(F.max((F.col("page") + 1) * F.col("size"))).first()[0] or 0
+    if deepest <= 0:
+        return names.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, total bigint, rank int, page int, size int, n_pages bigint")
+    hits = search(names, queries, int(deepest))
+    j = hits.join(bounded_broadcast(queries.select("query_id", "page", "size")), "query_id")
     first = F.col("page") * F.col("size")
     return j.where((F.col("rank") > first) & (F.col("rank") <= first + F.col("size"))).withColumn(
         "n_pages", F.ceil(F.col("total") / F.col("size")).cast("bigint")

@@ -145,8 +145,7 @@ WHERE h.rank > q.page * q.size AND h.rank <= (q.page + 1) * q.size
 def q_paginate(spark, sf):
     """Page ``page`` of ``size`` hits per query, with the page count."""
     qs = batch(spark, NAME_QUERIES, NAME_QCOLS)
-    hits = S.search_auto(part_names(spark, sf), qs, None)
-    p = S.paginate(hits, qs)
+    p = S.paginate(S.search_auto, part_names(spark, sf), qs)
     return p.select("query_id", "total", "rank", "id", F.round("score", 6).alias("score"),
                     F.col("page").cast("bigint").alias("page"), F.col("size").cast("bigint").alias("size"), "n_pages")
 
