@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest estimated size we broadcast on the planner's own statistics.
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# Largest estimated (on-disk) size we broadcast; in memory it may be several times more.
+BROADCAST_MAX_BYTES = 16 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -13,7 +13,8 @@ def estimated_bytes(df: DataFrame) -> int | None:
     from file sizes and operator statistics); no job is run. None when the
     estimate is not available (e.g. a remote session)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())
     except Exception:
         return None
 

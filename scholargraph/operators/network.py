@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholargraph.session import cut_lineage
+
 # Events with more organisations than this are split into salted slices.
 SALT_CHUNK = 512
 MAX_WEIGHT = 6
@@ -35,6 +37,7 @@ def collaboration_edges(eo: DataFrame, chunk: int = SALT_CHUNK) -> tuple[DataFra
     slice of their event, so a hot event's pairs spread over many tasks
     and every pair is still produced once.
     """
+    eo = cut_lineage(eo.select("event_id", "org_id"), "event-orgs")  # read by sizes, left and right
     sizes = eo.groupBy("event_id").agg(F.count(F.lit(1)).alias("_k"))
     s = eo.join(sizes, "event_id").withColumn("_s", F.greatest(F.ceil(F.col("_k") / chunk), F.lit(1)).cast("int"))
     left = s.select("event_id", F.col("org_id").alias("src"), F.pmod(F.xxhash64("org_id"), F.col("_s")).cast("int").alias("_salt"))
@@ -64,7 +67,7 @@ def filter_network(orgs: DataFrame, edges: DataFrame, text: str) -> tuple[DataFr
     (case-insensitive) and the edges with both ends kept.
 
     ``orgs(item_id, title, acronym, address)``. Returns ``(kept_edges,
-    counts)`` with ``counts(kept_orgs, total_orgs, kept_edges, total_edges)``.
+    kept_orgs)``; counts are ``kept_orgs.count()`` against ``orgs.count()``.
     """
     t = F.lower(F.lit(text.strip()))
     hit = F.lit(False)
@@ -74,12 +77,7 @@ def filter_network(orgs: DataFrame, edges: DataFrame, text: str) -> tuple[DataFr
     ke = edges.join(kept.withColumnRenamed("item_id", "src"), "src", "left_semi").join(
         kept.withColumnRenamed("item_id", "dst"), "dst", "left_semi"
     )
-    counts = orgs.agg(F.count(F.lit(1)).alias("total_orgs"), F.sum(hit.cast("int")).alias("kept_orgs")).select(
-        "total_orgs", "kept_orgs",
-        edges.select(F.count(F.lit(1))).scalar().alias("total_edges"),
-        ke.select(F.count(F.lit(1))).scalar().alias("kept_edges"),
-    )
-    return ke, counts
+    return ke, kept
 
 
 GEOJSON_FORMAT = (

@@ -114,10 +114,10 @@ def search_prefix_all(names: DataFrame, queries: DataFrame, k: int | None = 3,
     nw = qw.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_words"))
     words = qw.select("w").distinct()
     word_toks = prefix_matches(post.select("tok").distinct(), words)
-    mw = (
-        post.join(bounded_broadcast(word_toks), "tok")
-        .groupBy("w", "id")
-        .agg(F.sum("tf").alias("tf"))
+    # word postings: read by df, driver choice, candidates and scoring
+    mw = cut_lineage(
+        post.join(bounded_broadcast(word_toks), "tok").groupBy("w", "id").agg(F.sum("tf").alias("tf")),
+        "word-postings",
     )
     dfw = mw.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     driver = (

@@ -331,15 +331,16 @@ FROM ke
 @register("F12_filter_network", F12_SQL)
 def q_filter_network(spark, sf):
     """Edges between organisations matching 'nation_1', with kept/total counts."""
-    c = cards(spark, sf).select("item_id", "title", "acronym", "address")
-    ke, counts = N.filter_network(c, cut_lineage(edges(spark, sf), "edges"), NETWORK_TEXT)
-    row = counts.select("kept_orgs", "total_orgs", "total_edges")
-    return ke.select(
-        "src", "dst", "n_events", "weight",
-        row.select(F.col("kept_orgs").cast("bigint")).scalar().alias("kept_orgs"),
-        row.select("total_orgs").scalar().alias("total_orgs"),
-        row.select("total_edges").scalar().alias("total_edges"),
-    )
+    st = org_statements(spark, sf)
+    acr = G.pivot_values(st, {"foaf:surname": "acronym"})
+    addr = G.postal_address(st).select("item_id", "address")
+    located = org_items(spark, sf).select("item_id", "title").join(points(spark, sf).select("item_id"), "item_id", "left_semi")
+    c = located.join(acr, "item_id", "left").join(addr, "item_id", "left")
+    e = cut_lineage(edges(spark, sf), "edges")
+    ke, kept = N.filter_network(c, e, NETWORK_TEXT)
+    n = lambda df: df.select(F.count(F.lit(1))).scalar()  # noqa: E731  (lazy scalar subqueries)
+    return ke.select("src", "dst", "n_events", "weight", n(kept).alias("kept_orgs"), n(c).alias("total_orgs"),
+                     n(e).alias("total_edges"))
 
 
 S7_SQL = f"""
