@@ -43,8 +43,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="sg-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+    try:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(conf_dir)
+    except Exception:  # remote session: the folder is still used for written tables
+        pass
     return conf_dir
 
 
@@ -76,8 +79,10 @@ def spread(df: DataFrame) -> DataFrame:
     then run on one core. Large inputs already have many splits and are
     returned unchanged, so this never adds a shuffle at scale.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= cores:
-        return df.repartition(cores)
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() * 2 <= cores:
+            return df.repartition(cores)
+    except Exception:  # no RDD access (remote session): leave the scan as is
+        pass
     return df

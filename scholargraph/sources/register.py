@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scholargraph import schemas
 from scholargraph.functions.text import strip_ws
+from scholargraph.session import spread
 
 KEY = "numero_national_de_structure"
 
@@ -23,10 +24,12 @@ FIELD_MAP = [
 def read_register(spark: SparkSession, path: str) -> DataFrame:
     """Read a JSON array file; ``pos`` keeps file order (one file is one split)."""
     df = spark.read.schema(schemas.REGISTER).option("multiLine", True).json(path)
-    return df.withColumn(
+    df = df.withColumn(
         "pos",
         F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")),
     )
+    # a JSON array file is read whole by one task; spread it before the work
+    return spread(df)
 
 
 def scan_register(register: DataFrame, key: str = KEY, pos: str = "pos") -> DataFrame:

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from scholargraph import schemas
+from scholargraph import schemas  # noqa: F401
 from scholargraph.operators import canon, upsert
 from scholargraph.sources import jsonl
 from scholargraph.sources import register as reg
@@ -100,3 +100,14 @@ def test_register_latest_and_statements(spark):
     st = {(r["property"], r["value"]) for r in reg.register_statements(latest).collect()}
     assert st == {("foaf:surname", "NEW"), ("dcterms:created", "1990"), ("schema:postalCode", "75000"),
                   ("schema:addressLocality", "Paris")}
+
+
+def test_read_register_file(spark, tmp_path):
+    p = tmp_path / "register.json"
+    recs = [{"numero_national_de_structure": "A", "libelle": "first"}, {"numero_national_de_structure": "B", "libelle": "b"},
+            {"numero_national_de_structure": "A", "libelle": "second", "site_web": ["x", "y"]}]
+    p.write_text(json.dumps(recs))
+    latest = {r["numero_national_de_structure"]: r for r in reg.scan_register(reg.read_register(spark, str(p))).collect()}
+    assert latest["A"]["libelle"] == "second" and latest["B"]["libelle"] == "b"
+    st = reg.register_statements(reg.scan_register(reg.read_register(spark, str(p))))
+    assert st.where("property = 'foaf:workplaceHomepage'").count() == 0
