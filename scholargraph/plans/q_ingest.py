@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scholargraph import schemas
 from scholargraph.operators import canon, lookup, upsert
 from scholargraph.plans.registry import register, table
 from scholargraph.sources import jsonl
@@ -389,3 +390,25 @@ FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand
 def q_build_dimension(spark, sf):
     """Domain dimension: one row per brand code, stable hashed id."""
     return lookup.build_dimension(table(spark, sf, "part"), "p_brand", "p_type")
+
+
+P1_SQL = f"""
+WITH l AS ({LINES_SQL}), t AS (SELECT seq, {TRIM_SQL} AS line FROM l)
+SELECT seq, coalesce(json_extract_string(line, '$.id'), '') AS id, CAST(0.0 AS DOUBLE) AS score, '' AS firstName, '' AS lastName,
+       coalesce(json_extract_string(line, '$.fullName'), '') AS fullName, CAST(0 AS BIGINT) AS n_top_domains,
+       CAST(0 AS BIGINT) AS n_external_ids, CAST(0 AS BIGINT) AS n_affiliations, '[]' AS awards
+FROM t WHERE line <> '' AND json_valid(line)
+"""
+
+
+@register("P1_canonical_person", P1_SQL)
+def q_canonical_person(spark, sf):
+    """Canonical 13-field records of every decodable dump line (defaults filled)."""
+    s = jsonl.scan_jsonl(dump_lines(spark, sf), schemas.PERSON_OR_ENVELOPE)
+    p = canon.canonical_person(F.col("rec")).alias("p")
+    c = s.select("seq", p)
+    return c.select(
+        "seq", "p.id", "p.score", "p.firstName", "p.lastName", "p.fullName",
+        F.size("p.top_domains").alias("n_top_domains"), F.size("p.externalIds").alias("n_external_ids"),
+        F.size("p.affiliations").alias("n_affiliations"), "p.awards",
+    )

@@ -21,4 +21,4 @@ def test_entry_runs(spark):
 def test_contract_keys_match():
     m = _entry()
     assert set(m.queries()) == set(m.oracle_sql())
-    assert len(m.queries()) >= 60
+    assert len(m.queries()) >= 66
