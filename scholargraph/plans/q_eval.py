@@ -32,10 +32,19 @@ def axis_values(spark, sf):
     ))).withColumn("kind", F.lit("axis"))
 
 
-def profiles(spark, sf):
-    """Keywords: distinct words of 5+ letters over the whole text (first 20); axes."""
-    kw = EV.text_keywords(table(spark, sf, "documents"), "doc_id", "text", MIN_KEYWORD, 20)
-    return kw.unionByName(EV.profile(axis_values(spark, sf)))
+def profiles(spark, sf, only=None):
+    """Keywords: distinct words of 5+ letters over the whole text (first 20); axes.
+
+    ``only(person_id)`` restricts the (costly) per-text work to those people.
+    """
+    docs = table(spark, sf, "documents")
+    if only is not None:
+        docs = docs.join(only.select(F.col("person_id").alias("doc_id")), "doc_id", "left_semi")
+    kw = EV.text_keywords(docs, "doc_id", "text", MIN_KEYWORD, 20)
+    ax = axis_values(spark, sf)
+    if only is not None:
+        ax = ax.join(only.select("person_id"), "person_id", "left_semi")
+    return kw.unionByName(EV.profile(ax))
 
 
 PROFILE_SQL = f"""
@@ -99,7 +108,7 @@ SELECT CAST((row_number() OVER (ORDER BY person_id) - 1) // 50 AS BIGINT) AS bat
 def q_prompts(spark, sf):
     """One prompt per pending person, 50 per batch."""
     pending = split(spark, sf).where(F.col("status") == "pending")
-    return EV.evaluation_prompts(pending, profiles(spark, sf), people(spark, sf), 50)
+    return EV.evaluation_prompts(pending, profiles(spark, sf, only=pending), people(spark, sf), 50)
 
 
 def replies(spark, sf):
