@@ -25,6 +25,26 @@ def _stmt(df, item, prop, typ, value=None, uri=None, label=None, target=None):
     )
 
 
+def srow(prop, typ, value=None, uri=None, label=None, when=None):
+    """One statement of a row as a struct, or null when ``when`` is false."""
+    st = F.struct(
+        F.lit(prop).alias("property"), F.lit(typ).alias("type"),
+        (value if value is not None else _nul()).cast("string").alias("value"),
+        (uri if uri is not None else _nul()).cast("string").alias("uri"),
+        (label if label is not None else _nul()).cast("string").alias("label"),
+    )
+    return st if when is None else F.when(when, st)
+
+
+def long_statements(df, item, rows):
+    """Unpivot a table into statements in one pass: ``inline`` of an array
+    of per-row statement structs, conditional ones dropped (no union of
+    one scan per property)."""
+    arr = F.filter(F.array(*rows), lambda x: x.isNotNull())
+    out = df.select(item.alias("item_id"), F.inline(arr))
+    return out.withColumn("target_id", F.lit(None).cast("bigint"))
+
+
 # ------------------------------------------------------------ person items
 # Customers with key % 3 != 0 have an item (key*10+1); keys % 7 = 0 also a
 # second item with the same name (key*10+2). Even keys are titled in capitals.
@@ -44,19 +64,15 @@ def person_item_statements(spark, sf):
     c = table(spark, sf, "customer")
     ck = F.col("c_custkey")
     has = c.where(ck % 3 != 0)
-    it = ck * 10 + 1
-    titles = person_items(spark, sf)
-    parts = [
-        _stmt(titles, F.col("item_id"), G.TITLE, "literal", F.col("title")),
-        _stmt(has.where(ck % 2 == 0), it, G.FAMILY_NAME, "literal", F.col("c_mktsegment")),
-        _stmt(has.where(ck % 5 == 0), it, G.IDENTIFIER, "literal", F.concat(F.lit("person:"), ck.cast("string"))),
-        _stmt(has.where(ck % 4 == 0), it, G.REFERENCED_BY, "uri", uri=F.concat(F.lit("https://old.example/"), ck.cast("string")),
-              label=F.concat(F.lit("old:"), ck.cast("string"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    k = ck.cast("string")
+    main = long_statements(has, ck * 10 + 1, [
+        srow(G.TITLE, "literal", F.when(ck % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name"))),
+        srow(G.FAMILY_NAME, "literal", F.col("c_mktsegment"), when=ck % 2 == 0),
+        srow(G.IDENTIFIER, "literal", F.concat(F.lit("person:"), k), when=ck % 5 == 0),
+        srow(G.REFERENCED_BY, "uri", uri=F.concat(F.lit("https://old.example/"), k), label=F.concat(F.lit("old:"), k), when=ck % 4 == 0),
+    ])
+    dup = long_statements(has.where(ck % 7 == 0), ck * 10 + 2, [srow(G.TITLE, "literal", F.col("c_name"))])
+    return main.unionByName(dup)
 
 
 PERSON_ITEMS_SQL = """
@@ -293,19 +309,14 @@ def q_coauthors(spark, sf):
 def new_person_statements(spark, sf):
     c = table(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0)
     ck = F.col("c_custkey")
-    it = ck * 10 + 1
-    parts = [
-        _stmt(c, it, G.TITLE, "literal", F.col("c_name")),
-        _stmt(c, it, G.FAMILY_NAME, "literal", F.col("c_mktsegment")),
-        _stmt(c.where(ck % 11 == 0), it, G.FAMILY_NAME, "literal", F.col("c_mktsegment")),
-        _stmt(c, it, G.REFERENCED_BY, "uri", uri=F.concat(F.lit("https://orcid.org/"), ck.cast("string")),
-              label=F.concat(F.lit("orcid:"), ck.cast("string"))),
-        _stmt(c.where(ck % 5 == 0), it, G.IDENTIFIER, "literal", F.concat(F.lit("person:"), ck.cast("string"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    k = ck.cast("string")
+    return long_statements(c, ck * 10 + 1, [
+        srow(G.TITLE, "literal", F.col("c_name")),
+        srow(G.FAMILY_NAME, "literal", F.col("c_mktsegment")),
+        srow(G.FAMILY_NAME, "literal", F.col("c_mktsegment"), when=ck % 11 == 0),
+        srow(G.REFERENCED_BY, "uri", uri=F.concat(F.lit("https://orcid.org/"), k), label=F.concat(F.lit("orcid:"), k)),
+        srow(G.IDENTIFIER, "literal", F.concat(F.lit("person:"), k), when=ck % 5 == 0),
+    ])
 
 
 NEW_STMTS_SQL = """

@@ -7,7 +7,7 @@ from scholargraph.operators import enrich as E
 from scholargraph.operators import graph as G
 from scholargraph.operators import network as N
 from scholargraph.operators import places as P
-from scholargraph.plans.q_graph import STMT_OUT, _stmt
+from scholargraph.plans.q_graph import STMT_OUT, long_statements, srow
 from scholargraph.plans.q_ingest import P4_SQL, register_rows
 from scholargraph.plans.q_ingest import S2_SQL
 from scholargraph.plans.q_ingest import dump_lines
@@ -33,26 +33,24 @@ def org_items(spark, sf):
 
 
 def org_statements(spark, sf):
+    """Statements of every supplier's organisation item, in one pass over
+    supplier x nation (some properties absent by rule)."""
     j = supplier_nation(spark, sf)
     sk = F.col("s_suppkey")
     s = lambda x: x.cast("string")
     half = s(F.floor(sk / 2).cast("bigint"))
     ref = F.when(sk % 4 == 0, F.concat(F.lit(" S"), half, F.lit(" "))).otherwise(F.concat(F.lit("S"), half))
-    parts = [
-        _stmt(j.where(sk % 7 != 0), sk, "foaf:surname", "literal", F.concat(F.lit("SG"), s(sk))),
-        _stmt(j, sk, "dcterms:created", "literal", s(F.col("s_nationkey") + 1950)),
-        _stmt(j.where(sk % 5 != 0), sk, "foaf:workplaceHomepage", "uri", uri=F.concat(F.lit("https://s"), s(sk), F.lit(".example.org"))),
-        _stmt(j.where(sk % 4 != 1), sk, G.STREET, "literal", F.concat(s(sk), F.lit(" rue "), F.col("n_name"))),
-        _stmt(j.where(sk % 6 != 2), sk, G.POSTCODE, "literal", F.lpad(s(F.col("n_nationkey") * 1000), 5, "0")),
-        _stmt(j, sk, G.TOWN, "literal", F.when(sk % 6 == 0, F.lit("  ")).otherwise(F.col("n_name"))),
-        _stmt(j.where(sk % 6 != 5), sk, G.REFERENCED_BY, "literal", ref),
-        _stmt(j.where(sk % 3 != 2), sk, P.LAT_PROP, "literal", s(F.col("s_nationkey") * 2 + 1)),
-        _stmt(j.where(sk % 3 != 2), sk, P.LNG_PROP, "literal", s(F.col("s_nationkey") * 4 - 100)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return long_statements(j, sk, [
+        srow("foaf:surname", "literal", F.concat(F.lit("SG"), s(sk)), when=sk % 7 != 0),
+        srow("dcterms:created", "literal", s(F.col("s_nationkey") + 1950)),
+        srow("foaf:workplaceHomepage", "uri", uri=F.concat(F.lit("https://s"), s(sk), F.lit(".example.org")), when=sk % 5 != 0),
+        srow(G.STREET, "literal", F.concat(s(sk), F.lit(" rue "), F.col("n_name")), when=sk % 4 != 1),
+        srow(G.POSTCODE, "literal", F.lpad(s(F.col("n_nationkey") * 1000), 5, "0"), when=sk % 6 != 2),
+        srow(G.TOWN, "literal", F.when(sk % 6 == 0, F.lit("  ")).otherwise(F.col("n_name"))),
+        srow(G.REFERENCED_BY, "literal", ref, when=sk % 6 != 5),
+        srow(P.LAT_PROP, "literal", s(F.col("s_nationkey") * 2 + 1), when=sk % 3 != 2),
+        srow(P.LNG_PROP, "literal", s(F.col("s_nationkey") * 4 - 100), when=sk % 3 != 2),
+    ])
 
 
 ORG_STMTS_SQL = """
