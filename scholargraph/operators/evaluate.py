@@ -150,16 +150,21 @@ def evaluation_statements(evals: DataFrame, source_prop: str = "dcterms:source",
     One ``category = score`` row per category (rank = the score), the
     justification, the evaluated person (source) and the agent.
     """
-    cs = category_scores(evals).select(
-        "person_id", F.concat(F.lit("eval:"), F.col("category")).alias("property"),
-        F.format_string("%s = %d", F.col("category"), F.col("score")).alias("value"), F.col("score").cast("bigint").alias("rank"),
-    )
     ok = evals.where(F.col("status") == "ok")
     nb = F.lit(None).cast("bigint")
-    just = ok.select("person_id", F.lit("eval:justification").alias("property"), F.col("justification").alias("value"), nb.alias("rank"))
-    src = ok.select("person_id", F.lit(source_prop).alias("property"), F.col("person_id").cast("string").alias("value"), nb.alias("rank"))
-    agent = ok.select("person_id", F.lit(agent_prop).alias("property"), F.col("agent_id").cast("string").alias("value"), nb.alias("rank"))
-    return cs.unionByName(just).unionByName(src).unionByName(agent)
+
+    def row(prop, value, rank):
+        return F.struct(prop.alias("property"), value.cast("string").alias("value"), rank.cast("bigint").alias("rank"))
+
+    rows = [row(F.lit(f"eval:{c}"), F.format_string("%s = %d", F.lit(c), F.col("scores")[c]), F.col("scores")[c])
+            for c in CATEGORIES]
+    rows += [
+        row(F.lit("eval:justification"), F.col("justification"), nb),
+        row(F.lit(source_prop), F.col("person_id"), nb),
+        row(F.lit(agent_prop), F.col("agent_id"), nb),
+    ]
+    # one pass: every statement of an evaluation from its one row
+    return ok.select("person_id", F.inline(F.array(*rows)))
 
 
 def score_bands(evals: DataFrame) -> DataFrame:

@@ -48,23 +48,20 @@ def group_publications(pubs: DataFrame) -> DataFrame:
     the distinct non-empty roles in first-seen order.
     """
     p = pubs.where(~is_blank("title"))
-    first = p.groupBy("person_id", "publication").agg(
+    # One aggregation per (person, publication). The role list of one pair is
+    # bounded by that person's entries for one publication; sorted by
+    # position, array_distinct keeps each role's first occurrence.
+    g = p.groupBy("person_id", "publication").agg(
         F.min_by(F.struct("title", "year"), "pos").alias("_f"),
         F.min("pos").alias("first_pos"),
+        F.array_sort(F.collect_list(F.when(~is_blank("role"), F.struct("pos", "role")))).alias("_r"),
     )
-    roles = (
-        p.where(~is_blank("role"))
-        .groupBy("person_id", "publication", "role")
-        .agg(F.min("pos").alias("_rpos"))
-        .groupBy("person_id", "publication")
-        .agg(F.array_sort(F.collect_list(F.struct("_rpos", "role"))).alias("_r"))
-    )
-    return first.join(roles, ["person_id", "publication"], "left").select(
+    return g.select(
         "person_id",
         "publication",
         F.col("_f.title").alias("title"),
         F.col("_f.year").alias("year"),
-        F.coalesce(F.transform("_r", lambda s: s["role"]), F.array().cast("array<string>")).alias("roles"),
+        F.array_distinct(F.transform("_r", lambda s: s["role"])).alias("roles"),
         "first_pos",
     )
 
@@ -115,24 +112,22 @@ def display_summary(
         .groupBy("person_id")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "label"))), lambda s: s["label"]), ", ").alias("affiliations_text"))
     )
-    wd = Window.partitionBy("person_id").orderBy("rank")
-    dn = domains.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_domains"))
-    dom = (
-        domains.withColumn("_rn", F.row_number().over(wd))
-        .where(F.col("_rn") <= n_domains)
-        .groupBy("person_id")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "label"))), lambda s: s["label"]), ", ").alias("_dt"))
-        .join(dn, "person_id")
-        .select(
-            "person_id",
-            F.when(F.col("n_domains") > ellipsis_over, F.concat("_dt", F.lit(" ..."))).otherwise(F.col("_dt")).alias("domains_text"),
-            "n_domains",
-        )
+    # domains carry their rank already: one aggregation gives the count and
+    # the first n labels (collect_list skips the nulls of ranks beyond n)
+    dom = domains.groupBy("person_id").agg(
+        F.count(F.lit(1)).alias("n_domains"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= n_domains, F.struct("rank", "label")))).alias("_d"),
+    )
+    dtext = F.array_join(F.transform("_d", lambda s: s["label"]), ", ")
+    dom = dom.select(
+        "person_id",
+        F.when(F.col("n_domains") > ellipsis_over, F.concat(dtext, F.lit(" ..."))).otherwise(dtext).alias("domains_text"),
+        "n_domains",
     )
     reg = (
         external_ids.where(F.col("type") == registry_type)
         .groupBy("person_id")
         .agg(F.min_by("id", "pos").alias("registry_id"))
     )
-    people = aff.select("person_id").unionByName(dom.select("person_id")).unionByName(reg.select("person_id")).distinct()
-    return people.join(aff, "person_id", "left").join(dom, "person_id", "left").join(reg, "person_id", "left")
+    # full outer joins: each input is read once
+    return aff.join(dom, "person_id", "full").join(reg, "person_id", "full")

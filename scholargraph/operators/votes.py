@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholargraph.functions.joins import bounded_broadcast
+from scholargraph.session import cut_lineage
 
 # Roles that may edit every person, and the editing roles.
 ADMIN_ROLES = ("global_admin", "site_admin")
@@ -50,6 +51,7 @@ def scoreboard(first_links: DataFrame, votes: DataFrame, evaluator_id: int, allo
     ignored. One aggregation keyed by (person, concept), partial on the
     map side.
     """
+    first_links = cut_lineage(first_links, "first-links")  # read three times below
     base = first_links.where(F.coalesce(F.col("base_rank"), F.lit(0)) != 0).select(
         "person_id", "concept_id", F.lit(-1).cast("bigint").alias("vote_id"), F.lit(0).cast("bigint").alias("owner_id"),
         F.col("base_rank").cast("bigint").alias("rank"),

@@ -8,6 +8,7 @@ from scholargraph.plans.q_ingest import CUTOFF
 from scholargraph.plans.q_persons import LINE_POS_SQL, line_pos
 from scholargraph.plans.registry import register, table
 from scholargraph.plans.sqltext import values_sql
+from scholargraph.session import cut_lineage
 
 KEYWORD_PROPS = ["dcterms:subject", "curation:keyword"]
 EVALUATOR = 3
@@ -188,7 +189,7 @@ FROM ({BOARD_SQL}) b LEFT JOIN {TITLES_SQL} t USING (concept_id) GROUP BY person
 @register("F11_filter_scoreboard", F11_SQL)
 def q_filter_board(spark, sf):
     """Visible/total keyword counts per person for text 'o' under each status."""
-    b = board(spark, sf)
+    b = cut_lineage(board(spark, sf), "board")  # read once per status
     t = concept_titles(spark)
     out = None
     for st in F11_STATUSES:

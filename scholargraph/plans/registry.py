@@ -48,9 +48,8 @@ TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES:
-        from scholargraph.session import spread
+    from scholargraph.session import spread
 
-        df = spread(df)
-    return df
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # text tables carry heavy per-row work: spread them even when small
+    return spread(df, 0 if name in TEXT_TABLES else 8 * 1024 * 1024)

@@ -71,15 +71,21 @@ def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, min_bytes: int = 8 * 1024 * 1024) -> DataFrame:
     """Re-spread a scan that has fewer splits than the cluster has cores.
 
     A single unsplittable file (one Parquet row group, a gzip dump) is read
     by one task; per-row work that follows (tokenising whole texts) would
     then run on one core. Large inputs already have many splits and are
-    returned unchanged, so this never adds a shuffle at scale.
+    returned unchanged, so this never adds a shuffle at scale; so are
+    small scans (under ``min_bytes``), where one task is enough.
     """
+    from scholargraph.functions.joins import estimated_bytes
+
     try:
+        size = estimated_bytes(df)
+        if size is not None and size < min_bytes:
+            return df
         cores = df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() * 2 <= cores:
             return df.repartition(cores)
