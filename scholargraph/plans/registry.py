@@ -48,8 +48,11 @@ TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from scholargraph.session import spread
-
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # text tables carry heavy per-row work: spread them even when small
-    return spread(df, 0 if name in TEXT_TABLES else 8 * 1024 * 1024)
+    if name in TEXT_TABLES:
+        # heavy per-row work (tokenising whole texts) follows: spread a
+        # single-split scan; other tables go straight to partial aggregation
+        from scholargraph.session import spread
+
+        df = spread(df, 0)
+    return df
