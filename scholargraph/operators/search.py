@@ -361,7 +361,12 @@ def search_given_family(names: DataFrame, queries: DataFrame, k: int | None = 3,
 
 
 def with_fallback(primary_hits: DataFrame, queries: DataFrame, secondary) -> DataFrame:
-    """queries with no primary hit are answered by ``secondary(queries)``."""
+    """queries with no primary hit are answered by ``secondary(queries)``.
+
+    The primary hits are read twice (output and the missed queries), so
+    they are written once.
+    """
+    primary_hits = cut_lineage(primary_hits, "primary-hits")
     missed = queries.join(primary_hits.select("query_id").distinct(), "query_id", "left_anti")
     return primary_hits.withColumn("source", F.lit("primary")).unionByName(
         secondary(missed).withColumn("source", F.lit("secondary"))
