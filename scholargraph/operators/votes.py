@@ -160,6 +160,18 @@ def can_edit(pairs: DataFrame, rules: DataFrame, person_labs: DataFrame) -> Data
     return pairs.join(allowed, ["user_id", "person_id"], "left_semi")
 
 
+def editable_persons(rules: DataFrame, person_labs: DataFrame, user_id: int) -> DataFrame:
+    """``(person_id)`` one user may edit: everyone if the user has an
+    ``all`` rule (an uncorrelated EXISTS subquery, not a join), members of
+    the user's labs (semi join on lab), and the user's own persons."""
+    r = rules.where(F.col("user_id") == F.lit(user_id))
+    is_admin = r.where(F.col("scope") == "all").exists()
+    everyone = person_labs.where(is_admin).select("person_id")
+    by_lab = person_labs.join(r.where(F.col("scope") == "lab").select("lab_id"), "lab_id", "left_semi").select("person_id")
+    own = r.where(F.col("scope") == "person").select("person_id")
+    return everyone.unionByName(by_lab).unionByName(own).distinct()
+
+
 # ------------------------------------------------------------- C1 changes
 
 
