@@ -393,9 +393,11 @@ def suggest(titles: DataFrame, requests: DataFrame, linked: DataFrame, k: int =
     rows = titles.select("id", F.array(F.col("title")).alias("leaves"))
     cand = substring_candidates(rows, F.col("leaves"), terms, F.lower)
     cand = cand.join(terms, "query_id").join(titles, "id").select(F.col("text").alias("term"), "id", "title")
-    nl = linked.join(req.select("person_id").distinct(), "person_id", "left_semi").groupBy("person_id").agg(
-        F.count(F.lit(1)).alias("n_linked")
-    )
+    # links of the requesting people only, written once: read for the
+    # bound, the per-person counts and the final anti join
+    linked = cut_lineage(linked.select("person_id", "id").join(req.select("person_id").distinct(), "person_id", "left_semi"),
+                         "suggest-linked")
+    nl = linked.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_linked"))
     max_linked = nl.agg(F.max("n_linked")).first()[0] or 0
     bound = k + int(max_linked)
     w = Window.partitionBy("term").orderBy("title", "id")
