@@ -1,4 +1,11 @@
-"""Evaluation queries: documents as researchers, labels as model replies."""
+"""Evaluation queries: documents as researchers, labels as model replies.
+
+Bindings: each document is a researcher (keywords from the whole text,
+axes = language and source); labels are the agent's existing evaluations
+(J11) and, rebuilt as model replies (fenced or plain, some cut, without an
+``evaluations`` list or with an empty one), the input of E2-E4, A5, W4, W5;
+summaries per (category, language) come from document counts.
+"""
 from __future__ import annotations
 
 from pyspark.sql import functions as F

@@ -1,4 +1,13 @@
-"""Graph queries: item filters, entity resolution, statement merges, cards."""
+"""Graph queries: item filters, entity resolution, statement merges, cards.
+
+Bindings: orders are items with status / priority / customer statements
+(F10); customers with key % 3 != 0 have a person item (key*10+1, titled in
+capitals for even keys; keys % 7 = 0 a second item of the same name) with
+some family-name, identifier and reference statements; part types, brands
+and sizes are domain tags of three tiers with existing concept items for a
+subset of parts (J2); suppliers are structures with stored references
+``S<key>-<nation>`` (J3); order lines give co-authors and keyword links.
+"""
 from __future__ import annotations
 
 from pyspark.sql import functions as F

@@ -1,4 +1,13 @@
-"""Queries for ingest: dumps, upserts, register, person tables, dimensions."""
+"""Queries for ingest: dumps, upserts, register, person tables, dimensions.
+
+Bindings: events become JSON lines of a person dump (see ``dump_lines``:
+blank, whitespace-only, non-object, empty/zero/missing ids, long names,
+every id ending in 7 cut in half); events keyed by user before and after
+a cutoff are a table and its update batch; supplier x nation is the
+structure register; customers are the person table (JSON column, both
+spellings of top domains, search envelope, repeated ids); pages and labels
+are registry documents; part brands are a dimension.
+"""
 from __future__ import annotations
 
 from pyspark.sql import functions as F

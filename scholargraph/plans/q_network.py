@@ -1,4 +1,13 @@
-"""Network and places queries over suppliers as organisations."""
+"""Network and places queries over suppliers as organisations.
+
+Bindings: suppliers are organisation items with acronym, creation year,
+web site, street / postcode / town (some missing or blank), register
+reference and lat/long properties for two thirds of them; suppliers with
+key % 10 != 0 have a point; one marker (two for key % 6 = 0) for key % 3 =
+0; the gazetteer is nation centres plus street rows (and near-duplicates)
+of even suppliers; orders not in status P are events whose line items link
+their suppliers (A4).
+"""
 from __future__ import annotations
 
 from pyspark.sql import functions as F

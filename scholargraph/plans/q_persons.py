@@ -1,4 +1,13 @@
-"""Queries over person records: ranked domains, publications, affiliations."""
+"""Queries over person records: ranked domains, publications, affiliations.
+
+Bindings: a customer is a person; each line item of their orders is one
+domain entry (label = part type, lower-cased on even line numbers, none for
+part sizes divisible by 25; code = brand on every third line), one
+publication entry (publication = order, role = return flag, year of the
+order date, untitled first line of every fifth order) and one affiliation
+(structure = supplier). The position of an entry is the unique
+(order, line number, part, supplier) of its line item.
+"""
 from __future__ import annotations
 
 from pyspark.sql import functions as F

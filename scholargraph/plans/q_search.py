@@ -1,4 +1,11 @@
-"""Search queries: names of parts, texts of documents, field and leaf search."""
+"""Search queries: names of parts, texts of documents, field and leaf search.
+
+Bindings: part names are the person names searched (F1-F3, F7, F15, W1),
+document texts the relevance corpus (F6, the F9 fallback), part fields and
+nested event records the field/leaf search (F4, F5), and customers with the
+parts they ordered the suggestion requests (F13). Query batches and terms
+are fixed parameters of a call; the searched tables are whole.
+"""
 from __future__ import annotations
 
 from pyspark.sql import functions as F

@@ -1,4 +1,13 @@
-"""Vote queries: last ranks, first links, scoreboards, permissions, change logs."""
+"""Vote queries: last ranks, first links, scoreboards, permissions, change logs.
+
+Bindings: events are rank values of votes (person = event id % 5, concept
+= k % 10, owner = user % 20, rank = floor(value) - 50, ordered by time and
+event id); line items are keyword links of persons to concepts (two
+properties by line parity, base rank = line number - 4); suppliers are users
+(role by key % 5, two labs from the nation), customers are persons (lab =
+nation, account by key); events after a cutoff are a create / update /
+delete change log by user event_id % 10.
+"""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
