@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from scholargraph import schemas
 from scholargraph.functions.text import php_empty
 
+# The researcher registry's identifier type, the URL prefix of
+# a registry record, and the prefix of a person id built from a registry id.
+REGISTRY_TYPE = "orcid"
+REGISTRY_URL = "https://orcid.org/"
+REGISTRY_ID_PREFIX = "orcid:"
+
 
 def _arr(c: Column, elem: str) -> Column:
     return F.coalesce(c, F.array().cast(f"array<{elem}>"))
@@ -85,7 +91,8 @@ def canonical_from_registry(docs: DataFrame, id_col: str = "orcid", doc_col: str
             F.when(php_empty(x["external-id-url"]["value"]), F.lit("#")).otherwise(x["external-id-url"]["value"]).alias("url"),
         ),
     )
-    own = F.array(F.struct(F.lit("orcid").alias("type"), orcid.alias("id"), F.concat(F.lit("https://orcid.org/"), orcid).alias("url")))
+    own = F.array(F.struct(F.lit(REGISTRY_TYPE).alias("type"), orcid.alias("id"),
+                           F.concat(F.lit(REGISTRY_URL), orcid).alias("url")))
     kws = F.filter(_arr(d["keywords"]["keyword"], "struct<content:string>"), lambda k: ~php_empty(k["content"]))
     domains = F.transform(
         kws,
@@ -97,7 +104,7 @@ def canonical_from_registry(docs: DataFrame, id_col: str = "orcid", doc_col: str
         ),
     )
     person = F.struct(
-        F.concat(F.lit("orcid:"), orcid).alias("id"),
+        F.concat(F.lit(REGISTRY_ID_PREFIX), orcid).alias("id"),
         F.lit(0.0).alias("score"),
         first.alias("firstName"),
         last.alias("lastName"),
