@@ -173,8 +173,10 @@ def substring_candidates(rows: DataFrame, leaves: Column, queries: DataFrame, no
     keys = q.select("g").distinct().limit(MAX_LITERAL_WORDS + 1).collect()
     if not keys:
         return rows.sparkSession.createDataFrame([], "query_id bigint, id bigint")
-    # at most PREFIX_KEY distinct lengths, read from the whole batch
-    lens = sorted(r[0] for r in q.select(F.length("g")).distinct().collect())
+    if len(keys) <= MAX_LITERAL_WORDS:
+        lens = sorted({len(r[0]) for r in keys})
+    else:  # at most PREFIX_KEY distinct lengths, read from the whole batch
+        lens = sorted(r[0] for r in q.select(F.length("g")).distinct().collect())
     leaf = F.col("leaf")
     grams = char_grams(leaf, lens)
     if len(keys) <= MAX_LITERAL_WORDS:

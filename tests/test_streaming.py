@@ -26,3 +26,14 @@ def test_incremental_import(spark, tmp_path):
     # nothing new: a rerun changes nothing
     start_import(spark, str(drop), table, ck).awaitTermination()
     assert {r["id"]: r["fullName"] for r in read_current(spark, table).collect()} == second
+
+
+def test_one_file_per_batch_chains_versions(spark, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    for i, name in enumerate(["a", "b", "c"]):
+        _write(drop / f"{name}.jsonl", [{"id": "k", "fullName": f"v{i}"}, {"id": name, "fullName": name}])
+    table = str(tmp_path / "table")
+    start_import(spark, str(drop), table, str(tmp_path / "ck"), max_files_per_trigger=1).awaitTermination()
+    got = {r["id"]: r["fullName"] for r in read_current(spark, table).collect()}
+    assert got == {"k": "v2", "a": "a", "b": "b", "c": "c"}
