@@ -120,7 +120,7 @@ def gazetteer(spark, sf):
     n = table(spark, sf, "nation")
     town = n.select(
         F.lit(None).cast("string").alias("street"), F.lpad((F.col("n_nationkey") * 1000).cast("string"), 5, "0").alias("postcode"),
-        F.upper("n_name").alias("town"), (F.col("n_nationkey") * 2.0).alias("lat"), (F.col("n_nationkey") * -3.0).alias("lng"),
+        F.upper("n_name").alias("town"), (F.col("n_nationkey") * 2.0).alias("lat"), (F.col("n_nationkey") * 3.0 - 80).alias("lng"),
         F.concat(F.col("n_name"), F.lit(" centre")).alias("label"),
     )
     j = supplier_nation(spark, sf)
@@ -129,23 +129,23 @@ def gazetteer(spark, sf):
     st = j.where(sk % 2 == 0).select(
         F.concat(sk.cast("string"), F.lit(" Rue "), F.col("n_name")).alias("street"), pc.alias("postcode"),
         F.col("n_name").alias("town"), (F.col("n_nationkey") * 2.0 + (sk % 8) * 0.25).alias("lat"),
-        (F.col("n_nationkey") * -3.0).alias("lng"), F.concat(F.lit("street "), sk.cast("string")).alias("label"),
+        (F.col("n_nationkey") * 3.0 - 80).alias("lng"), F.concat(F.lit("street "), sk.cast("string")).alias("label"),
     )
     dup = j.where(sk % 4 == 0).select(
         F.concat(sk.cast("string"), F.lit("  rue "), F.col("n_name")).alias("street"), pc.alias("postcode"),
         F.col("n_name").alias("town"), (F.col("n_nationkey") * 2.0 - 1.0).alias("lat"),
-        (F.col("n_nationkey") * -3.0).alias("lng"), F.concat(F.lit("dup "), sk.cast("string")).alias("label"),
+        (F.col("n_nationkey") * 3.0 - 80).alias("lng"), F.concat(F.lit("dup "), sk.cast("string")).alias("label"),
     )
     return town.unionByName(st).unionByName(dup)
 
 
 GAZ_SQL = f"""
   SELECT NULL::VARCHAR AS street, lpad(CAST(n_nationkey * 1000 AS VARCHAR), 5, '0') AS postcode, upper(n_name) AS town,
-         n_nationkey * 2.0 AS lat, n_nationkey * -3.0 AS lng, n_name || ' centre' AS label FROM nation
+         n_nationkey * 2.0 AS lat, n_nationkey * 3.0 - 80 AS lng, n_name || ' centre' AS label FROM nation
   UNION ALL SELECT s_suppkey || ' Rue ' || n_name, lpad(CAST(n_nationkey * 1000 AS VARCHAR), 5, '0'), n_name,
-         n_nationkey * 2.0 + (s_suppkey % 8) * 0.25, n_nationkey * -3.0, 'street ' || s_suppkey FROM sn WHERE s_suppkey % 2 = 0
+         n_nationkey * 2.0 + (s_suppkey % 8) * 0.25, n_nationkey * 3.0 - 80, 'street ' || s_suppkey FROM sn WHERE s_suppkey % 2 = 0
   UNION ALL SELECT s_suppkey || '  rue ' || n_name, lpad(CAST(n_nationkey * 1000 AS VARCHAR), 5, '0'), n_name,
-         n_nationkey * 2.0 - 1.0, n_nationkey * -3.0, 'dup ' || s_suppkey FROM sn WHERE s_suppkey % 4 = 0
+         n_nationkey * 2.0 - 1.0, n_nationkey * 3.0 - 80, 'dup ' || s_suppkey FROM sn WHERE s_suppkey % 4 = 0
 """
 
 

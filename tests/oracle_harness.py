@@ -1,7 +1,7 @@
 """Run registered queries on Spark and their SQL oracles on DuckDB; compare.
 
 Comparison as the driver does it: column names sorted, row count, and an
-order-insensitive multiset of rows (floats rounded to 6 places).
+order-insensitive multiset of rows (floats compared exactly, by their text).
 
     python tests/oracle_harness.py [--sf DIR] [name-prefix ...]
 """
@@ -31,7 +31,8 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6) + 0.0
+        # exact: the text of the double, so -0.0 and last-bit differences show
+        return repr(v)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6) + 0.0
     if isinstance(v, (datetime.datetime, datetime.date)):
