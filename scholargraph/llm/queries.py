@@ -6,10 +6,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholargraph.llm.bpe import encode_documents
 from scholargraph.llm.common import documents
 from scholargraph.llm.exact_dedup import exact_dedup
+from scholargraph.llm.packing import pack_documents
 from scholargraph.llm.sharding import shard_by_bytes
 
+#: Folder of public tokenizer files, the same on every node; None: that of the installed package.
+TOKENIZERS: str | None = None
+#: Sequence length and end-of-document id of the packing query.
+CAPACITY, END_ID = 1024, 2
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -24,6 +31,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return f"{TOKENIZERS}/{name}" if TOKENIZERS else public_tokenizers.path(name)
+
+
 @query("op2_shard_documents")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near-equal bytes."""
@@ -39,6 +52,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_bpe_round_trip")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded with the word vocabulary, as digests."""
+    return encode_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), digest=True)
+
+
 @query(
     "op7_exact_dedup",
     r"""
@@ -57,3 +76,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document, blanks aside, with the row that stays."""
     return exact_dedup(documents(spark, sf_dir), digest=True)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` packed with the byte-level vocabulary, at the production sizes."""
+    import public_tokenizers
+
+    return pack_documents(
+        df,
+        tokenizer_file("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        {"<|endoftext|>": 50256},
+        END_ID,
+        CAPACITY,
+    )
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in few sequences of at most 1024 tokens."""
+    return packed(documents(spark, sf_dir))
