@@ -28,6 +28,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, name)
 
 
+#: Bits of one bitmap row (fixed by Spark's bitmap functions).
+_BITMAP_BITS = 32768
+
+
+def sieve(keys: DataFrame, cols: list[str], rows: int = 256) -> DataFrame:
+    """A bitmap of ``rows`` x 32,768 bits (1 MB as set, whatever the input) in
+    which the bit of every key of ``keys`` is set."""
+    bit = F.pmod(F.xxhash64(*cols), F.lit(rows * _BITMAP_BITS))
+    placed = keys.select(
+        F.floor(bit / F.lit(_BITMAP_BITS)).alias("_bucket"), F.pmod(bit, F.lit(_BITMAP_BITS)).alias("_place")
+    )
+    return placed.groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_place)").alias("_bits"))
+
+
+def sifted(df: DataFrame, bitmap: DataFrame, cols: list[str], rows: int = 256) -> DataFrame:
+    """Adds ``_hit``: whether the bitmap has the row's key. Rows are tested
+    where they are read; a key that is in the bitmap always hits, another one
+    rarely does, so what follows must be exact by itself."""
+    bit = F.pmod(F.xxhash64(*cols), F.lit(rows * _BITMAP_BITS))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("_place", F.lit(8)))), F.lit(2)) == 1
+    names = df.columns
+    return (
+        df.withColumn("_bucket", F.floor(bit / F.lit(_BITMAP_BITS)))
+        .withColumn("_place", F.pmod(bit, F.lit(_BITMAP_BITS)))
+        # at most ``rows`` rows of 4 KB
+        .join(F.broadcast(bitmap), "_bucket", "left")
+        .select(*names, F.coalesce(F.col("_bits").isNotNull() & hit, F.lit(False)).alias("_hit"))
+    )
+
+
 def running_totals(df: DataFrame, order: list, sums: list[str]) -> DataFrame:
     """Each row's place and running sums in the total order ``order``.
 

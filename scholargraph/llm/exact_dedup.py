@@ -4,12 +4,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholargraph.llm.common import text_or_empty, written
+from scholargraph.llm.common import sieve, sifted, text_or_empty, written
 
 #: Characters that do not count: the class [\x20\x09-\x0D].
 _BLANK = " \t\n\x0b\x0c\r"
-#: Bits of one bitmap row (fixed by Spark's bitmap functions).
-_BITMAP_BITS = 32768
 
 
 def normalised(text: Column) -> Column:
@@ -57,25 +55,9 @@ def exact_dedup(
     lengths = pairs.groupBy("_len").agg(F.sum("_n").alias("_rows")).where("_rows > 1").select("_len")
     groups = pairs.join(lengths, "_len", "left_semi").where("_n > 1")
 
-    bit = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(sieve_rows * _BITMAP_BITS))
-    place = F.pmod(bit, F.lit(_BITMAP_BITS))
-    sieve = (
-        groups.select(F.floor(bit / F.lit(_BITMAP_BITS)).alias("_bucket"), place.alias("_place"))
-        .groupBy("_bucket")
-        .agg(F.expr("bitmap_construct_agg(_place)").alias("_bits"))
-    )
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(
-        F.expr("_bits is not null") & (F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("_place", F.lit(8)))), F.lit(2)) == 1),
-        F.lit(False),
-    )
     full = F.sha2(F.encode("_norm", "UTF-8"), 256)
-    scanned = (
-        base.withColumn("_bucket", F.floor(bit / F.lit(_BITMAP_BITS)))
-        .withColumn("_place", place)
-        .join(F.broadcast(sieve), "_bucket", "left")
-        .withColumn("_hit", hit)
-        .select("_id", "_points", "_hit", (full if digest else F.when(F.col("_hit"), full)).alias("_full"))
+    scanned = sifted(base, sieve(groups, ["_len", "_prefix"], sieve_rows), ["_len", "_prefix"], sieve_rows).select(
+        "_id", "_points", "_hit", (full if digest else F.when(F.col("_hit"), full)).alias("_full")
     )
     scanned = written(scanned, "exact-dedup")
 

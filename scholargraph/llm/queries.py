@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scholargraph.llm.bpe import encode_documents
 from scholargraph.llm.common import documents
 from scholargraph.llm.exact_dedup import exact_dedup
+from scholargraph.llm.minhash import near_duplicates
 from scholargraph.llm.packing import pack_documents
 from scholargraph.llm.sharding import shard_by_bytes
 
@@ -96,3 +97,9 @@ def packed(df: DataFrame) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in few sequences of at most 1024 tokens."""
     return packed(documents(spark, sf_dir))
+
+
+@query("op9_minhash_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 4-word shingles reach 0.8."""
+    return near_duplicates(documents(spark, sf_dir), k=4, percent=80)
