@@ -10,7 +10,9 @@ from scholargraph.llm.bpe import encode_documents
 from scholargraph.llm.common import documents
 from scholargraph.llm.exact_dedup import exact_dedup
 from scholargraph.llm.minhash import near_duplicates
+from scholargraph.llm.neighbours import nearest
 from scholargraph.llm.packing import pack_documents
+from scholargraph.llm.quality import fit, held_out, score
 from scholargraph.llm.sharding import shard_by_bytes
 
 #: Folder of public tokenizer files, the same on every node; None: that of the installed package.
@@ -38,6 +40,20 @@ def tokenizer_file(name: str) -> str:
     return f"{TOKENIZERS}/{name}" if TOKENIZERS else public_tokenizers.path(name)
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """The quality model, from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    return fit(docs, labels.select("doc_id", "quality"))
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @query("op2_shard_documents")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near-equal bytes."""
@@ -53,6 +69,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_nearest_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 @query("op4_bpe_round_trip")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded with the word vocabulary, as digests."""
