@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scholargraph.llm.bpe import encode_documents
 from scholargraph.llm.common import documents
 from scholargraph.llm.exact_dedup import exact_dedup
+from scholargraph.llm.line_dedup import repeated_lines
 from scholargraph.llm.minhash import near_duplicates
 from scholargraph.llm.neighbours import nearest
 from scholargraph.llm.packing import pack_documents
@@ -122,6 +123,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that repeat an earlier line of any."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    counted = docs.select("doc_id", n_lines.alias("n_lines"))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    out = counted.join(repeated_lines(docs), "doc_id", "left")
+    return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
+
+
 @query("op9_minhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 4-word shingles reach 0.8."""
