@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholargraph.llm.common import text_or_empty, written
@@ -82,15 +82,20 @@ class Lines:
         if len(ln):
             total = np.add.reduceat(mix(self.tokens + np.uint64(1)), self.first)
             self.key = mix(total + self.size.astype(np.uint64)).view(np.int64)
+            bit = np.uint64(1) << (self.tokens & np.uint64(63))
+            #: Parities of the tokens over 64 places: two sets differ in at
+            #: least as many tokens as places.
+            self.parity = np.bitwise_xor.reduceat(bit, self.first).view(np.int64)
         else:
-            self.key = np.zeros(0, np.int64)
+            self.key = self.parity = np.zeros(0, np.int64)
 
-    def heads(self, which: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
-        """The first ``lengths`` tokens of the lines ``which``; null for other lines."""
+    def heads(self, which: np.ndarray, lengths: np.ndarray, kind: type = np.int64) -> pa.ListArray:
+        """The first ``lengths`` tokens of the lines ``which`` (their low bits,
+        for a narrow ``kind``); null for other lines."""
         lengths = np.where(which, lengths, 0)
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         at = np.repeat(self.first - offsets[:-1], lengths) + np.arange(offsets[-1])
-        values = pa.array(self.tokens[at].view(np.int64))
+        values = pa.array(self.tokens[at].astype(kind))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(~which))
 
 
@@ -124,9 +129,11 @@ def _lines(counts: np.ndarray, percent: int):
                         pa.array((lines.line - starts[doc]).astype(np.int32)),
                         pa.array(lines.key),
                         pa.array(lines.size.astype(np.int32)),
-                        lines.heads(_new(lines.key, seen) & joins, prefix),
+                        pa.array(lines.parity),
+                        # candidates may be too many but not too few: 32 bits of a token are enough
+                        lines.heads(_new(lines.key, seen) & joins, prefix, np.int32),
                     ],
-                    ["_id", "line", "key", "size", "prefix"],
+                    ["_id", "line", "key", "size", "parity", "prefix"],
                 )
 
     return run
@@ -188,9 +195,9 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
 
     1. A frequency sketch of all words gives the order of rarity.
     2. Lines with equal sets are one class, with its first occurrence. Classes
-       meet on the tokens of their prefix (n - ceil(percent n) + 1 rarest); tokens
-       met once drop out before the join; sizes and positions must leave room
-       for the threshold.
+       meet on the tokens of their prefix (n - ceil(percent n) + 1 rarest); sizes
+       and positions must leave room for the threshold, and 64 parities must
+       not differ in more places than the sets may in tokens.
     3. What meets is confirmed on the whole sets, read again for those classes.
 
     Null texts are empty; rows that share an id count as one document; rows
@@ -206,21 +213,20 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     # counts above 16 bits are as common as can be told
     counts = np.minimum(counts, 0xFFFF).astype(np.uint16)
 
-    lines = docs.mapInArrow(_lines(counts, percent), "_id long, line int, key long, size int, prefix array<long>")
+    lines = docs.mapInArrow(_lines(counts, percent), "_id long, line int, key long, size int, parity long, prefix array<int>")
     lines = written(lines, "lines")
     classes = lines.groupBy("key").agg(F.min(F.struct("_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "line-classes")
 
-    heads = lines.where("prefix is not null").select("key", "size", F.posexplode("prefix").alias("at", "token"))
-    same_token = Window.partitionBy("token")
-    met = heads.withColumn("_lo", F.min("key").over(same_token)).withColumn("_hi", F.max("key").over(same_token))
-    met = written(met.where("_lo < _hi").select("token", "key", "size", "at").distinct(), "line-prefixes")
-    x = met.select("token", F.col("key").alias("a"), F.col("size").alias("_n"), F.col("at").alias("_i"))
-    y = met.select(F.col("token").alias("_t"), F.col("key").alias("b"), F.col("size").alias("_m"), F.col("at").alias("_j"))
-    room = F.least(F.col("_n") - F.col("_i"), F.col("_m") - F.col("_j")) * F.lit(100 + percent)
-    pairs = x.join(
-        y, (F.col("token") == F.col("_t")) & (F.col("a") < F.col("b")) & (room >= F.lit(percent) * (F.col("_n") + F.col("_m")))
-    )
+    one = lines.where("prefix is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "parity", "prefix")])
+    met = one.select("key", "size", "parity", F.posexplode("prefix").alias("at", "token"))
+    x = met.select("token", F.col("key").alias("a"), F.col("size").alias("_n"), F.col("at").alias("_i"), F.col("parity").alias("_p"))
+    y = met.select("token", F.col("key").alias("b"), F.col("size").alias("_m"), F.col("at").alias("_j"), F.col("parity").alias("_q"))
+    both = F.col("_n") + F.col("_m")
+    # the first token that two sets share has all their common tokens at or after it
+    room = F.least(F.col("_n") - F.col("_i"), F.col("_m") - F.col("_j")) * F.lit(100 + percent) >= F.lit(percent) * both
+    near = F.lit(100 + percent) * F.bit_count(F.col("_p").bitwiseXOR(F.col("_q"))) <= F.lit(100 - percent) * both
+    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & room & near)
     pairs = written(pairs.select("a", "b").distinct(), "line-pairs")
 
     wanted = _bits(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
