@@ -13,6 +13,7 @@ from scholargraph.llm.line_dedup import repeated_lines
 from scholargraph.llm.minhash import near_duplicates
 from scholargraph.llm.neighbours import nearest
 from scholargraph.llm.packing import pack_documents
+from scholargraph.llm.passages import merged_spans, repeated_passages
 from scholargraph.llm.quality import fit, held_out, score
 from scholargraph.llm.sharding import shard_by_bytes
 
@@ -83,6 +84,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), digest=True)
 
 
+@query("op5_repeated_passages")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that an earlier one has in a passage of at
+    least 50 words, as runs of words."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    spans = merged_spans(repeated_passages(docs))
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    out = docs.select("doc_id").join(spans, F.col("doc_id") == F.col("doc"), "left")
+    return out.select("doc_id", F.coalesce(length, F.lit(0)).alias("n_repeated"), "spans")
+
+
 @query(
     "op7_exact_dedup",
     r"""
