@@ -1,6 +1,10 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +63,14 @@ def sifted(df: DataFrame, bitmap: DataFrame, cols: list[str], rows: int = 256) -
     )
 
 
+def split_rows(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` as rows that surely have no id in ``ids`` (its only column) and
+    the rest, told apart in the scan: a join with ``ids`` need only shuffle the
+    rest."""
+    marked = sifted(df, sieve(ids, ids.columns), [id_col])
+    return marked.where("not _hit").drop("_hit"), marked.where("_hit").drop("_hit")
+
+
 def running_totals(df: DataFrame, order: list, sums: list[str]) -> DataFrame:
     """Each row's place and running sums in the total order ``order``.
 
@@ -87,3 +99,33 @@ def running_totals(df: DataFrame, order: list, sums: list[str]) -> DataFrame:
     for c in sums:
         out = out.withColumn(f"_before_{c}", F.col(f"_before_{c}") + F.col(f"_t_{c}"))
     return out.drop("_pid", "_m", "_n", *[f"_t_{c}" for c in sums])
+
+
+def joined_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of spans as maximal disjoint runs, in order."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    first = np.concatenate(([True], starts[1:] > ends[:-1]))
+    return starts[first], ends[np.concatenate((first[1:], [True]))]
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """(doc, spans): the union of the rows (doc, start, end) of a document, as
+    sorted disjoint runs array<struct<start, end>>. A document's own spans are
+    gathered, not those of a key that documents share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, parts = [0], [[], []]
+            for row in batch.column(1):
+                both = row.values.flatten()
+                for part, joined in zip(parts, joined_spans(*(x.to_numpy() for x in both))):
+                    part.append(joined)
+                sizes.append(sizes[-1] + len(parts[0][-1]))
+            flat = [pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)) for p in parts]
+            runs = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(flat, ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), runs], ["doc", "spans"])
+
+    place = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    gathered = spans.groupBy("doc").agg(F.collect_list(place).alias("a"))
+    return gathered.mapInArrow(run, "doc long, spans array<struct<start:long,end:long>>")

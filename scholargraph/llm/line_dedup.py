@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholargraph.llm.common import text_or_empty, written
+from scholargraph.llm.common import split_rows, text_or_empty, written
 from scholargraph.llm.words import hash_words, lower_ascii, mix
 
 #: Bytes of text and number of lines taken through the array operations at once.
@@ -252,8 +252,11 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
 def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the lines in ``removed`` taken out of its texts. A document
     of which no line with words is left goes; one that had none stays."""
-    cut = df.join(removed.select(F.col(id_col).alias("_rid"), F.col("removed").alias("_removed")), F.col(id_col) == F.col("_rid"), "left")
+    whole, touched = split_rows(df, removed.select(F.col(id_col).cast("long").alias("_rid")), id_col)
+    by_id = removed.select(F.col(id_col).alias("_rid"), F.col("removed").alias("_removed"))
+    cut = touched.join(by_id, F.col(id_col) == F.col("_rid"), "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_removed", i))
     cut = cut.withColumn("_left", F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     gone = F.col("_removed").isNotNull() & (F.trim(F.translate("_left", "\t\n\x0b\x0c\r", "     ")) == "")
-    return cut.where(~gone).select(*[F.col("_left").alias(c) if c == text_col else F.col(c) for c in df.columns])
+    cut = cut.where(~gone).select(*[F.col("_left").alias(c) if c == text_col else F.col(c) for c in df.columns])
+    return whole.unionByName(cut)

@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholargraph.llm.bpe import encode_documents
-from scholargraph.llm.common import documents
+from scholargraph.llm.common import documents, merged_spans
 from scholargraph.llm.exact_dedup import exact_dedup
 from scholargraph.llm.line_dedup import repeated_lines
 from scholargraph.llm.minhash import near_duplicates
 from scholargraph.llm.neighbours import nearest
 from scholargraph.llm.packing import pack_documents
-from scholargraph.llm.passages import merged_spans, repeated_passages
+from scholargraph.llm.passages import repeated_passages
 from scholargraph.llm.quality import fit, held_out, score
 from scholargraph.llm.sharding import shard_by_bytes
+from scholargraph.llm.substrings import repeated_spans, without_spans
 
 #: Folder of public tokenizer files, the same on every node; None: that of the installed package.
 TOKENIZERS: str | None = None
@@ -95,6 +96,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(length, F.lit(0)).alias("n_repeated"), "spans")
 
 
+@query("op6_repeated_strings")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that occur elsewhere."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = without_spans(docs, repeated_spans(docs, length=200))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op7_exact_dedup",
     r"""
