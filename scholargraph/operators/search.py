@@ -19,7 +19,7 @@ from scholargraph.session import cut_lineage
 PREFIX_KEY = 3  # prefix length of the vocabulary join key
 BM25_K1 = 1.2
 BM25_B = 0.75
-MAX_LITERAL_WORDS = 10_000  # query words filtered in-row (hash set) up to this many
+LENGTH_MARK = "\u0001"  # stands for a text's length among its words; no word is equal to it
 
 
 # ------------------------------------------------------------------ index
@@ -88,7 +88,7 @@ def prefix_matches(vocab: DataFrame, words: DataFrame, cap: int = PREFIX_CAP) ->
     cuts = F.array(*[F.when(F.length("tok") >= n, F.substring("tok", 1, n)) for n in lens])
     pref = vocab.select("tok", F.explode(cuts).alias("pfx")).where(F.col("pfx").isNotNull())
     wk = words.withColumn("pfx", F.substring("w", 1, cap))
-    j = pref.join(bounded_broadcast(wk), "pfx")
+    j = pref.join(wk, "pfx")  # wk comes from an explode: its size is known at runtime only
     return j.where((F.length("w") <= cap) | F.col("tok").startswith(F.col("w"))).select("w", "tok")
 
 
@@ -116,7 +116,7 @@ def search_prefix_all(names: DataFrame, queries: DataFrame, k: int | None = 3,
     word_toks = prefix_matches(post.select("tok").distinct(), words)
     # word postings: read by df, driver choice, candidates and scoring
     mw = cut_lineage(
-        post.join(bounded_broadcast(word_toks), "tok").groupBy("w", "id").agg(F.sum("tf").alias("tf")),
+        post.join(word_toks, "tok").groupBy("w", "id").agg(F.sum("tf").alias("tf")),
         "word-postings",
     )
     dfw = mw.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
@@ -161,32 +161,25 @@ def char_grams(text: Column, lengths: list[int]) -> Column:
 def substring_candidates(rows: DataFrame, leaves: Column, queries: DataFrame, norm) -> DataFrame:
     """``(query_id, id)`` of rows where some leaf text contains the query.
 
-    Rows are indexed by their character n-grams of length min(3,
-    len(query)) for the query lengths present in the batch (at most three
-    lengths); a query joins on its leading n-gram and the full ``contains``
-    is checked on the candidates. When the batch has at most
-    ``MAX_LITERAL_WORDS`` distinct keys, each row keeps only the n-grams
-    that are keys (``array_intersect``, a hash set) before the explode.
+    Rows are indexed by their character n-grams of length min(3, len(query))
+    for the query lengths present in the batch (at most three lengths). The
+    n-grams, without their text, meet a query's leading n-gram; ``contains``
+    is checked on the candidates joined back to their row. One plan for a
+    batch of any size; a gram held by a third of the rows is split like any
+    skewed join key.
     """
     q = queries.select("query_id", norm(strip_ws("text")).alias("q")).where(F.col("q") != "")
     q = q.withColumn("g", F.substring("q", 1, PREFIX_KEY))
-    keys = q.select("g").distinct().limit(MAX_LITERAL_WORDS + 1).collect()
-    if not keys:
+    # at most PREFIX_KEY distinct lengths
+    lens = sorted(r[0] for r in q.select(F.length("g")).distinct().collect())
+    if not lens:
         return rows.sparkSession.createDataFrame([], "query_id bigint, id bigint")
-    if len(keys) <= MAX_LITERAL_WORDS:
-        lens = sorted({len(r[0]) for r in keys})
-    else:  # at most PREFIX_KEY distinct lengths, read from the whole batch
-        lens = sorted(r[0] for r in q.select(F.length("g")).distinct().collect())
-    leaf = F.col("leaf")
-    grams = char_grams(leaf, lens)
-    if len(keys) <= MAX_LITERAL_WORDS:
-        grams = F.array_intersect(grams, F.array(*[F.lit(r[0]) for r in keys]))
-    idx = (
-        rows.select("id", F.explode(F.transform(leaves, lambda x: norm(x))).alias("leaf"))
-        .select("id", "leaf", F.explode(grams).alias("g"))
-    )
-    cand = idx.join(bounded_broadcast(q), "g").where(leaf.contains(F.col("q")))
-    return cand.select("query_id", "id").distinct()
+    texts = rows.select("id", F.transform(leaves, lambda x: norm(x)).alias("leaves"))
+    grams = F.array_distinct(F.flatten(F.transform("leaves", lambda x: char_grams(x, lens))))
+    idx = texts.select("id", F.explode(grams).alias("g"))
+    met = idx.join(bounded_broadcast(q), "g").select("id", "query_id", "q")
+    hit = F.exists("leaves", lambda x: x.contains(F.col("q")))
+    return texts.join(met, "id").where(hit).select("query_id", "id").distinct()
 
 
 def search_substring(names: DataFrame, queries: DataFrame, k: int | None = 3,
@@ -214,14 +207,11 @@ def paginate(search, names: DataFrame, queries: DataFrame) -> DataFrame:
     """page ``page`` (0-based) of ``size`` hits per query, with page count.
 
     ``queries(query_id, text, page, size)``; ``search(names, queries, k)``
-    a batch search. Hits are ranked only down to the deepest requested
-    page (one number read from the batch), so the ranking keeps its
-    window group limit. Output adds ``n_pages = ceil(total / size)``.
+    a batch search. Every hit is ranked (``rank_within``: no window over a
+    whole query), so one query's deep page does not bound the others. Output
+    adds ``n_pages = ceil(total / size)``.
     """
-    deepest = queries.select(F.max((F.col("page") + 1) * F.col("size"))).first()[0] or 0
-    if deepest <= 0:
-        return names.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, total bigint, rank int, page int, size int, n_pages bigint")
-    hits = search(names, queries, int(deepest))
+    hits = search(names, queries, None)
     j = hits.join(bounded_broadcast(queries.select("query_id", "page", "size")), "query_id")
     first = F.col("page") * F.col("size")
     return j.where((F.col("rank") > first) & (F.col("rank") <= first + F.col("size"))).withColumn(
@@ -281,41 +271,29 @@ def search_fields(rows: DataFrame, queries: DataFrame, fields: list[str] | None
 # ------------------------------------------------------------ F6 BM25
 
 
-def query_vocabulary(queries: DataFrame, max_words: int = MAX_LITERAL_WORDS) -> list[str] | None:
-    """Distinct folded words of a query batch when there are at most
-    ``max_words`` of them (read with a bounded ``limit``), else None."""
-    rows = query_words(queries).select("w").distinct().limit(max_words + 1).collect()
-    return None if len(rows) > max_words else sorted(r[0] for r in rows)
-
-
 def search_ranked(docs: DataFrame, queries: DataFrame, k: int | None = 3,
                   id_col: str = "id", text_col: str = "text") -> DataFrame:
     """any query word matches a word of the text; ranked by BM25.
 
     BM25 (Robertson and Zaragoza 2009) with k1=1.2, b=0.75 and
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Each text is tokenised once
-    for the postings; N and the mean length come from one (reused) scalar
-    subquery. Only words of the batch are kept before the explode: an
-    ``isin`` filter inside the array (a hash set) when the batch has at
-    most ``MAX_LITERAL_WORDS`` distinct words, else a broadcast semi join.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Each text is tokenised once:
+    a marker row with its length and its words, of which a semi join with the
+    batch's words keeps what is asked for. The marker is joined like a word,
+    so one plan serves a batch of any size. N and the mean length come from
+    one (reused) scalar subquery.
     """
     d = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks"))
     qw = query_words(queries)
-    vocab_list = query_vocabulary(queries)
-    if vocab_list is not None:
-        if not vocab_list:
-            return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, total bigint, rank int")
-        # One tokenising pass, written once: per document a marker row
-        # (tok null, carrying its length) plus one row per query-word
-        # occurrence. Both the corpus statistics and the postings read it.
-        toks_m = F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))
-        occ = cut_lineage(
-            d.select("id", F.size("toks").alias("dl"), F.explode(toks_m).alias("tok"))
-            .where(F.col("tok").isNull() | F.col("tok").isin(*vocab_list)),
-            "bm25-occurrences",
-        )
-        per_doc = occ.where(F.col("tok").isNull())
-        post = occ.where(F.col("tok").isNotNull())
+    marked = F.concat(F.array(F.lit(LENGTH_MARK)), F.col("toks"))
+    wanted = qw.select(F.col("w").alias("tok")).unionByName(
+        queries.sparkSession.range(1).select(F.lit(LENGTH_MARK).alias("tok"))
+    ).distinct()
+    occ = cut_lineage(
+        d.select("id", F.size("toks").alias("dl"), F.explode(marked).alias("tok")).join(wanted, "tok", "left_semi"),
+        "bm25-occurrences",
+    )
+    per_doc = occ.where(F.col("tok") == LENGTH_MARK)
+    post = occ.where(F.col("tok") != LENGTH_MARK)
     stats = per_doc.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
     n_docs, avgdl = stats["n"], stats["avgdl"]
     post = post.groupBy("tok", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
@@ -324,7 +302,7 @@ def search_ranked(docs: DataFrame, queries: DataFrame, k: int | None = 3,
     tfn = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avgdl))
     s = (
         post.join(dfs, "tok")
-        .join(bounded_broadcast(qw.withColumnRenamed("w", "tok")), "tok")
+        .join(qw.withColumnRenamed("w", "tok"), "tok")
         .groupBy("query_id", "id")
         .agg(F.sum(idf * tfn).alias("score"))
         .select("query_id", "id", F.round("score", 9).alias("score"))
@@ -384,10 +362,10 @@ def suggest(titles: DataFrame, requests: DataFrame, linked: DataFrame, k: int =
 
     ``titles(id, title)`` of one class; ``requests(person_id, term)``;
     ``linked(person_id, id)``. Ordered by title then id. Exact without
-    pairing each request with every candidate: a person's answer lies in
-    the first ``k + n_linked(person)`` candidates of the term, so each
-    term keeps its best ``k + max n_linked`` titles (window group limit)
-    and each request reads only its own bound.
+    pairing each request with every candidate: a person's answer lies in the
+    first ``k + n`` candidates of the term, n being the person's links among
+    the term's candidates. Candidates are ranked per term with
+    ``rank_within``; every request takes the ranks up to its own bound.
     """
     req = requests.where(F.length(strip_ws("term")) >= min_len).select("person_id", "term").distinct()
     terms = req.select(F.col("term").alias("text")).distinct()
@@ -399,14 +377,14 @@ def suggest(titles: DataFrame, requests: DataFrame, linked: DataFrame, k: int =
     # bound, the per-person counts and the final anti join
     linked = cut_lineage(linked.select("person_id", "id").join(req.select("person_id").distinct(), "person_id", "left_semi"),
                          "suggest-linked")
-    nl = linked.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_linked"))
-    max_linked = nl.agg(F.max("n_linked")).first()[0] or 0
-    bound = k + int(max_linked)
-    w = Window.partitionBy("term").orderBy("title", "id")
-    top = cand.withColumn("crank", F.row_number().over(w)).where(F.col("crank") <= bound)
-    r = req.join(nl, "person_id", "left").withColumn("bound", F.lit(k) + F.coalesce("n_linked", F.lit(0)))
-    pairs = r.join(top, "term").where(F.col("crank") <= F.col("bound"))
-    pairs = pairs.join(linked.select("person_id", "id"), ["person_id", "id"], "left_anti")
+    cand = cut_lineage(cand, "suggest-candidates")
+    owned = req.join(linked, "person_id").join(cand.select("term", "id"), ["term", "id"], "left_semi")
+    owned = cut_lineage(owned.distinct(), "suggest-owned")
+    nl = owned.groupBy("person_id", "term").agg(F.count(F.lit(1)).alias("n_linked"))
+    top = rank_within(cand, ["term"], [F.col("title").asc(), F.col("id").asc()], "crank")
+    bounds = req.join(nl, ["person_id", "term"], "left").withColumn("bound", F.lit(k) + F.coalesce("n_linked", F.lit(0)))
+    pairs = bounds.join(top, "term").where(F.col("crank") <= F.col("bound"))
+    pairs = pairs.join(owned.select("person_id", "term", "id"), ["person_id", "term", "id"], "left_anti")
     w2 = Window.partitionBy("person_id", "term").orderBy("crank")
     return pairs.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).select(
         "person_id", "term", "rank", "id", "title"

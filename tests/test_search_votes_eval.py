@@ -96,3 +96,24 @@ def test_parse_and_axes(spark):
     assert sc[("arts", "a")] == (80, 1, 1)
     bands = {(x["category"], x["band"]): x["n"] for x in EV.score_bands(p).collect()}
     assert bands[("arts", "high")] == 2 and bands[("care", "mid")] == 2
+
+
+def test_ranked_search_takes_a_batch_of_any_size(spark):
+    """10,001 distinct words in one batch, for the ranked and the given/family search."""
+    docs = spark.range(300).selectExpr("id", "concat('w', id, ' common') AS text")
+    queries = spark.range(10_001).selectExpr("id AS query_id", "concat('w', id) AS text")
+    hits = {(r["query_id"], r["id"]) for r in S.search_ranked(docs, queries, 3).collect()}
+    assert hits == {(i, i) for i in range(300)}
+    names = docs.withColumnRenamed("text", "name")
+    hits = {(r["query_id"], r["id"]) for r in S.search_given_family(names, queries, 3).collect()}
+    assert hits == {(i, i) for i in range(300)}
+    hits = {(r["query_id"], r["id"]) for r in S.search_substring(names, queries, None).collect()}
+    assert (7, 7) in hits and (7, 70) in hits and (299, 299) in hits and not any(q > 299 for q, _ in hits)
+
+
+def test_suggest_counts_links_of_the_term_only(spark):
+    titles = spark.range(50).selectExpr("id", "concat(CASE WHEN id < 20 THEN 'alpha ' ELSE 'beta ' END, lpad(id, 3, '0')) AS title")
+    linked = spark.range(50).selectExpr("7L AS person_id", "id").where("id >= 20 or id = 0")
+    req = spark.createDataFrame([(7, "alpha"), (8, "beta")], "person_id long, term string")
+    got = {(r["person_id"], r["rank"]): r["id"] for r in S.suggest(titles, req, linked, k=3).collect()}
+    assert got == {(7, 1): 1, (7, 2): 2, (7, 3): 3, (8, 1): 20, (8, 2): 21, (8, 3): 22}
