@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from scholargraph.llm.common import text_or_empty, written
 #: Separators and signs that prose has few of.
 _SIGNS = "|%&$#*!<>{}[]=\\/_~^@+"
 _DIGITS = "0123456789"
+#: Partitions of the rows that the model is fitted on.
+FIT_PARTITIONS = 4
 _STOPS = ".,;:?"
 
 
@@ -62,12 +64,10 @@ class Rule:
 
     terms: tuple[tuple[str, str, float], ...]
 
-    def column(self) -> Column:
-        out = None
-        for name, op, value in self.terms:
-            one = F.col(name) <= F.lit(value) if op == "<=" else F.col(name) > F.lit(value)
-            out = one if out is None else out & one
-        return out.cast("double")
+    def sql(self) -> str:
+        """1.0 where all terms hold, else 0.0."""
+        both = " AND ".join(f"{name} {op} {value!r}D" for name, op, value in self.terms)
+        return f"if({both}, 1D, 0D)"
 
 
 def simplified(terms: list[tuple[str, str, float]]) -> Rule:
@@ -106,12 +106,9 @@ class RuleEnsemble:
         """The probability of label 1 as one column over the statistics."""
         if self.constant is not None:
             return F.lit(self.constant)
-        total = F.lit(self.intercept)
-        for rule, weight in self.rules:
-            total = total + rule.column() * F.lit(weight)
-        for name, weight in self.linear:
-            total = total + F.col(name) * F.lit(weight)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        terms = [f"{rule.sql()} * {weight!r}D" for rule, weight in self.rules]
+        terms += [f"{name} * {weight!r}D" for name, weight in self.linear]
+        return F.expr(f"1D / (1D + exp(-({' + '.join([f'{self.intercept!r}D', *terms])})))")
 
 
 def fit(
@@ -143,13 +140,14 @@ def fit(
     )
     texts = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_whole"))
     rows, names = with_statistics(texts.join(F.broadcast(chosen), "_id"), ["_label"], F.col("_whole"))
-    rows = written(rows, "quality-rows")
+    # at most max_rows rows of a few numbers: few partitions, as every iteration of the fits is a job
+    rows = written(rows, "quality-rows").coalesce(FIT_PARTITIONS)
     n, ones = rows.agg(F.count(F.lit(1)), F.sum("_label")).first()
     if not n:
         return RuleEnsemble(0.0, (), (), 0.5)
     if ones in (0, n):
         return RuleEnsemble(0.0, (), (), float(ones / n))
-    data = VectorAssembler(inputCols=names, outputCol="_x").transform(rows).select("_x", "_label").cache()
+    data = rows.select(array_to_vector(F.array(*names)).alias("_x"), "_label").cache()
     forest = RandomForestClassifier(
         featuresCol="_x", labelCol="_label", numTrees=trees, maxDepth=depth, maxBins=64, minInstancesPerNode=5, seed=seed
     ).fit(data)
@@ -157,12 +155,12 @@ def fit(
     rules = list(dict.fromkeys(r for t in forest.trees for r in tree_rules(t.toDebugString, names)))
     if not rules:
         return RuleEnsemble(0.0, (), (), float(ones / n))
-    columns = [r.column().alias(f"_r{i}") for i, r in enumerate(rules)]
-    inputs = [f"_r{i}" for i in range(len(rules))] + names
-    data = VectorAssembler(inputCols=inputs, outputCol="_x").transform(rows.select("*", *columns)).select("_x", "_label")
+    inputs = F.expr(f"array({', '.join([r.sql() for r in rules] + names)})")
+    data = rows.select(array_to_vector(inputs).alias("_x"), "_label").cache()
     model = LogisticRegression(
-        featuresCol="_x", labelCol="_label", elasticNetParam=1.0, regParam=lasso, maxIter=100, standardization=True
+        featuresCol="_x", labelCol="_label", elasticNetParam=1.0, regParam=lasso, maxIter=60, standardization=True
     ).fit(data)
+    data.unpersist()
     weights = model.coefficients.toArray()
     return RuleEnsemble(
         float(model.intercept),
