@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholargraph.llm.common import split_rows, text_or_empty, written
+from scholargraph.llm.common import sieve, sifted, split_rows, text_or_empty, written
 from scholargraph.llm.words import hash_words, lower_ascii, mix
 
 #: Bytes of text and number of lines taken through the array operations at once.
@@ -82,12 +82,17 @@ class Lines:
         if len(ln):
             total = np.add.reduceat(mix(self.tokens + np.uint64(1)), self.first)
             self.key = mix(total + self.size.astype(np.uint64)).view(np.int64)
-            bit = np.uint64(1) << (self.tokens & np.uint64(63))
-            #: Parities of the tokens over 64 places: two sets differ in at
-            #: least as many tokens as places.
-            self.parity = np.bitwise_xor.reduceat(bit, self.first).view(np.int64)
+            #: Parities of the tokens over 128 places, two words of 64: two sets
+            #: differ in at least as many tokens as places.
+            place = (self.tokens & np.uint64(127)).astype(np.uint64)
+            bit = np.uint64(1) << (place & np.uint64(63))
+            self.parities = [
+                np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == w, bit, 0).astype(np.uint64), self.first).view(np.int64)
+                for w in (0, 1)
+            ]
         else:
-            self.key = self.parity = np.zeros(0, np.int64)
+            self.key = np.zeros(0, np.int64)
+            self.parities = [self.key, self.key]
 
     def heads(self, which: np.ndarray, lengths: np.ndarray, kind: type = np.int64) -> pa.ListArray:
         """The first ``lengths`` tokens of the lines ``which`` (their low bits,
@@ -129,11 +134,11 @@ def _lines(counts: np.ndarray, percent: int):
                         pa.array((lines.line - starts[doc]).astype(np.int32)),
                         pa.array(lines.key),
                         pa.array(lines.size.astype(np.int32)),
-                        pa.array(lines.parity),
+                        *map(pa.array, lines.parities),
                         # candidates may be too many but not too few: 32 bits of a token are enough
                         lines.heads(_new(lines.key, seen) & joins, prefix, np.int32),
                     ],
-                    ["_id", "line", "key", "size", "parity", "prefix"],
+                    ["_id", "line", "key", "size", "p", "q", "prefix"],
                 )
 
     return run
@@ -196,7 +201,7 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     1. A frequency sketch of all words gives the order of rarity.
     2. Lines with equal sets are one class, with its first occurrence. Classes
        meet on the tokens of their prefix (n - ceil(percent n) + 1 rarest); sizes
-       and positions must leave room for the threshold, and 64 parities must
+       and positions must leave room for the threshold, and 128 parities must
        not differ in more places than the sets may in tokens.
     3. What meets is confirmed on the whole sets, read again for those classes.
 
@@ -213,20 +218,33 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     # counts above 16 bits are as common as can be told
     counts = np.minimum(counts, 0xFFFF).astype(np.uint16)
 
-    lines = docs.mapInArrow(_lines(counts, percent), "_id long, line int, key long, size int, parity long, prefix array<int>")
+    lines = docs.mapInArrow(_lines(counts, percent), "_id long, line int, key long, size int, p long, q long, prefix array<int>")
     lines = written(lines, "lines")
     classes = lines.groupBy("key").agg(F.min(F.struct("_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "line-classes")
 
-    one = lines.where("prefix is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "parity", "prefix")])
-    met = one.select("key", "size", "parity", F.posexplode("prefix").alias("at", "token"))
-    x = met.select("token", F.col("key").alias("a"), F.col("size").alias("_n"), F.col("at").alias("_i"), F.col("parity").alias("_p"))
-    y = met.select("token", F.col("key").alias("b"), F.col("size").alias("_m"), F.col("at").alias("_j"), F.col("parity").alias("_q"))
-    both = F.col("_n") + F.col("_m")
+    # several tasks may bring a line that repeats; other lines need no shuffle to be brought once
+    heads = lines.where("prefix is not null").select("key", "size", "p", "q", "prefix")
+    heads = sifted(heads, sieve(classes.where("n > 1"), ["key"]), ["key"])
+    many = heads.where("_hit").groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "p", "q", "prefix")])
+    one = heads.where("not _hit").drop("_hit").unionByName(many)
+    # token, place and size in one word: what is shuffled is four words a row
+    met = one.select("key", "size", "p", "q", F.posexplode("prefix").alias("at", "token"))
+    token = F.shiftleft(F.col("token").cast("long"), 32)
+    # a place or a size too large for its bits counts as the largest that fits, which filters less
+    low = F.shiftleft(F.least("at", F.lit((1 << 12) - 1)).cast("long"), 20).bitwiseOR(F.least("size", F.lit((1 << 20) - 1)).cast("long"))
+    met = met.select(token.bitwiseOR(low).alias("w"), "key", "p", "q")
+    side = lambda names: met.select(*[F.col(c).alias(n) for c, n in zip(("w", "key", "p", "q"), names)])
+    x, y = side(("w", "a", "p", "q")), side(("v", "b", "r", "s"))
+    size = lambda w: F.col(w).bitwiseAND(F.lit((1 << 20) - 1))
+    at = lambda w: F.shiftrightunsigned(F.col(w), 20).bitwiseAND(F.lit((1 << 12) - 1))
+    both = size("w") + size("v")
     # the first token that two sets share has all their common tokens at or after it
-    room = F.least(F.col("_n") - F.col("_i"), F.col("_m") - F.col("_j")) * F.lit(100 + percent) >= F.lit(percent) * both
-    near = F.lit(100 + percent) * F.bit_count(F.col("_p").bitwiseXOR(F.col("_q"))) <= F.lit(100 - percent) * both
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & room & near)
+    room = F.least(size("w") - at("w"), size("v") - at("v")) * F.lit(100 + percent) >= F.lit(percent) * both
+    differ = F.bit_count(F.col("p").bitwiseXOR(F.col("r"))) + F.bit_count(F.col("q").bitwiseXOR(F.col("s")))
+    near = F.lit(100 + percent) * differ <= F.lit(100 - percent) * both
+    same = F.shiftright(F.col("w"), 32) == F.shiftright(F.col("v"), 32)
+    pairs = x.join(y, same & (F.col("a") < F.col("b")) & room & near)
     pairs = written(pairs.select("a", "b").distinct(), "line-pairs")
 
     wanted = _bits(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
