@@ -18,13 +18,14 @@ def _arr(c: Column, elem: str) -> Column:
     return F.coalesce(c, F.array().cast(f"array<{elem}>"))
 
 
-def canonical_person(rec: Column, score: Column | None = None) -> Column:
+def canonical_person(rec: Column, score: Column | None = None, items: Column | None = None) -> Column:
     """The 13-field canonical record of a decoded person.
 
     ``rec`` is a struct decoded with ``schemas.PERSON_OR_ENVELOPE``: an
     ``_source``/``_score`` envelope is unwrapped; missing strings become
     '' and missing lists empty arrays; ``topDomains`` is preferred over
-    ``top_domains``. ``items`` (matching graph items) is filled by J1.
+    ``top_domains``. ``items`` are the ids of the
+    graph items that match the person (J1), an empty list where not looked up.
     """
     env = rec.getField("_source")
     src = F.when(env.isNotNull(), env).otherwise(
@@ -34,6 +35,7 @@ def canonical_person(rec: Column, score: Column | None = None) -> Column:
     return F.struct(
         F.coalesce(src["id"], F.lit("")).alias("id"),
         sc.cast("double").alias("score"),
+        _arr(items if items is not None else F.lit(None).cast("array<bigint>"), "bigint").alias("items"),
         F.coalesce(src["firstName"], F.lit("")).alias("firstName"),
         F.coalesce(src["lastName"], F.lit("")).alias("lastName"),
         F.coalesce(src["fullName"], F.lit("")).alias("fullName"),

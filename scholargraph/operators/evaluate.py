@@ -13,7 +13,7 @@ CATEGORIES = ["arts", "care", "democratie", "transitions"]
 HIGH, MID = 70, 40
 FENCE = r"```(?:json)?\s*([\s\S]+?)\s*```"
 REPLY_SCHEMA = (
-    "evaluations ARRAY<STRUCT<id: STRING, name: STRING, scores: MAP<STRING, INT>, justification: STRING>>"
+    "evaluations ARRAY<STRUCT<id: STRING, name: STRING, scores: MAP<STRING, STRING>, justification: STRING>>"
 )
 PROFILE_LIMITS = {"keyword": 20, "publication": 10, "coauthor": 10, "axis": 10}
 
@@ -29,12 +29,9 @@ def profile(values: DataFrame, limits: dict[str, int] = PROFILE_LIMITS) -> DataF
     v = values.where(~is_blank("text")).groupBy("person_id", "kind", "text").agg(F.min("pos").alias("pos"))
     n = v.groupBy("person_id", "kind").agg(F.count(F.lit(1)).alias("n_distinct"))
     w = Window.partitionBy("person_id", "kind").orderBy("pos", "text")
-    # one literal bound per kind, so each ranking is planned as a window group limit
-    kinds = [v.where(F.col("kind") == k).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= lim)
-             for k, lim in limits.items()]
-    top = kinds[0]
-    for t in kinds[1:]:
-        top = top.unionByName(t)
+    # the largest limit bounds the window (a window group limit); each kind's own limit cuts the rest
+    own = F.element_at(F.create_map(*[F.lit(x) for kl in limits.items() for x in kl]), F.col("kind"))
+    top = v.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= max(limits.values())) & (F.col("_rn") <= own))
     lists = top.groupBy("person_id", "kind").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", "text"))), lambda s: s["text"]).alias("items")
     )
@@ -58,12 +55,20 @@ def text_keywords(docs: DataFrame, id_col: str, text_col: str, min_len: int = 5,
     ).where(F.col("n_distinct") > 0)
 
 
-def split_evaluated(people: DataFrame, evaluations: DataFrame, agent_title: str) -> DataFrame:
+def find_agent(agents: DataFrame, agent_title: str):
+    """The id of the agent item with that title, the smallest of several, or
+    else the hashed id that it is created under; a lazy scalar.
+    ``agents(item_id, title)``."""
+    known = agents.where(F.col("title") == agent_title).agg(F.min("item_id").alias("id"))
+    return F.coalesce(known.scalar(), stable_id(F.lit("agent"), F.lit(agent_title)))
+
+
+def split_evaluated(people: DataFrame, evaluations: DataFrame, agent_title: str, agents: DataFrame) -> DataFrame:
     """People already evaluated by the agent (reuse) and pending ones.
 
-    ``evaluations(eval_id, person_id, agent_title)``. The agent id is
-    hashed from its title (get-or-create without a lookup round trip).
-    Output ``(person_id, status, eval_id, agent_id)``; the smallest
+    ``evaluations(eval_id, person_id, agent_title)``; ``agents(item_id,
+    title)``: the agent items there are, of which the one with this title is
+    used, else one is created under an id hashed from the title. Output ``(person_id, status, eval_id, agent_id)``; the smallest
     evaluation id is reused when there are several.
     """
     ev = evaluations.where(F.col("agent_title") == agent_title).groupBy("person_id").agg(F.min("eval_id").alias("eval_id"))
@@ -72,7 +77,7 @@ def split_evaluated(people: DataFrame, evaluations: DataFrame, agent_title: str)
         "person_id",
         F.when(F.col("eval_id").isNotNull(), "reuse").otherwise("pending").alias("status"),
         "eval_id",
-        stable_id(F.lit("agent"), F.lit(agent_title)).alias("agent_id"),
+        find_agent(agents, agent_title).alias("agent_id"),
     )
 
 
@@ -107,64 +112,82 @@ def parse_evaluations(replies: DataFrame) -> DataFrame:
 
     A fenced block is unwrapped; the content must be JSON with a
     non-empty ``evaluations`` list; the first element is taken and the
-    person's axes attached. Output ``(person_id, agent_id, status, eval_id,
-    name, scores, justification, axes, reject_text)``; rejects keep the
-    first 300 characters of the content.
+    person's axes attached. Scores are decimals under whatever keys the reply
+    has; a null score counts as absent, one that is no number rejects the
+    reply. Output ``(person_id, agent_id, status, eval_id, name, scores
+    MAP<STRING, DOUBLE>, score_texts, justification, axes, raw, reason,
+    reject_text)``: ``score_texts`` has the scores as written, ``raw`` the
+    element's JSON; rejects keep the first 300 characters of the content.
     """
     r = F.col("reply")
     content = F.when(r.rlike(FENCE), F.regexp_extract(r, FENCE, 1)).otherwise(r)
     t = replies.withColumn("_c", content)
     parsed = F.from_json("_c", REPLY_SCHEMA)
     t = t.withColumn("_ok", F.try_parse_json("_c").isNotNull()).withColumn("_e", parsed["evaluations"])
+    first = F.get("_e", 0)
+    texts = F.map_filter(F.coalesce(first["scores"], F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
+    t = t.withColumn("_t", texts).withColumn("_s", F.transform_values("_t", lambda k, v: v.try_cast("double")))
     reason = (
         F.when(~F.col("_ok"), "undecodable")
         .when(F.col("_e").isNull(), "no evaluations")
         .when(F.size("_e") == 0, "empty evaluations")
+        .when(F.exists(F.map_values("_s"), lambda v: v.isNull()), "undecodable scores")
     )
-    first = F.get("_e", 0)
+    good = lambda c: F.when(reason.isNull(), c)
     return t.select(
         "person_id", "agent_id",
         F.when(reason.isNull(), "ok").otherwise("rejected").alias("status"),
-        F.when(reason.isNull(), first["id"]).alias("eval_id"),
-        F.when(reason.isNull(), first["name"]).alias("name"),
-        F.when(reason.isNull(), first["scores"]).alias("scores"),
-        F.when(reason.isNull(), first["justification"]).alias("justification"),
+        good(first["id"]).alias("eval_id"),
+        good(first["name"]).alias("name"),
+        good(F.col("_s")).alias("scores"),
+        good(F.col("_t")).alias("score_texts"),
+        good(first["justification"]).alias("justification"),
         "axes",
+        good(F.get_json_object("_c", "$.evaluations[0]")).alias("raw"),
         reason.alias("reason"),
         F.when(reason.isNotNull(), F.substring("_c", 1, 300)).alias("reject_text"),
     )
 
 
 def category_scores(evals: DataFrame) -> DataFrame:
-    """``(person_id, category, score)``: one row per category of an ok evaluation."""
+    """``(person_id, category, score)``: one row per category that an ok evaluation scores."""
     ok = evals.where(F.col("status") == "ok")
-    return ok.select(
-        "person_id", "name", "axes",
-        F.inline(F.array(*[F.struct(F.lit(c).alias("category"), F.col("scores")[c].alias("score")) for c in CATEGORIES])),
-    )
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), F.col("scores")[c].alias("score")) for c in CATEGORIES])
+    return ok.select("person_id", "name", "axes", F.inline(rows)).where(F.col("score").isNotNull())
+
 
+# Fixed value: the title of an evaluation item (agent, person, time).
+EVALUATION_TITLE = "Evaluation EUR convergences : %s —> %s — %s"
 
-def evaluation_statements(evals: DataFrame, source_prop: str = "dcterms:source", agent_prop: str = "dcterms:creator") -> DataFrame:
-    """An evaluation as long statement rows.
 
-    One ``category = score`` row per category (rank = the score), the
-    justification, the evaluated person (source) and the agent.
+def evaluation_statements(evals: DataFrame, agent_title: str, run_time: str, source_prop: str = "dcterms:source",
+                          agent_prop: str = "dcterms:creator") -> DataFrame:
+    """An evaluation as long statement rows ``(person_id, property, value, rank)``.
+
+    The title (agent, person's name, ``run_time``), one ``key = score`` row per
+    key the reply holds (rank = the score), the justification, the evaluated
+    person (source), the agent, and the evaluation's JSON.
     """
     ok = evals.where(F.col("status") == "ok")
-    nb = F.lit(None).cast("bigint")
-
-    def row(prop, value, rank):
-        return F.struct(prop.alias("property"), value.cast("string").alias("value"), rank.cast("bigint").alias("rank"))
-
-    rows = [row(F.lit(f"eval:{c}"), F.format_string("%s = %d", F.lit(c), F.col("scores")[c]), F.col("scores")[c])
-            for c in CATEGORIES]
-    rows += [
-        row(F.lit("eval:justification"), F.col("justification"), nb),
-        row(F.lit(source_prop), F.col("person_id"), nb),
-        row(F.lit(agent_prop), F.col("agent_id"), nb),
-    ]
+    none = F.lit(None).cast("double")
+
+    def row(prop, value, rank=none):
+        return F.struct(prop.alias("property"), value.cast("string").alias("value"), rank.alias("rank"))
+
+    title = F.format_string(EVALUATION_TITLE, F.lit(agent_title), F.coalesce("name", F.lit("")), F.lit(run_time))
+    scores = F.transform(
+        F.map_entries("score_texts"),
+        lambda e: row(F.concat(F.lit("eval:"), e["key"]), F.concat_ws(" = ", e["key"], e["value"]), F.col("scores")[e["key"]]),
+    )
+    others = F.array(
+        row(F.lit("dcterms:title"), title),
+        row(F.lit("eval:justification"), F.col("justification")),
+        row(F.lit(source_prop), F.col("person_id")),
+        row(F.lit(agent_prop), F.col("agent_id")),
+        row(F.lit("curation:data"), F.col("raw")),
+    )
     # one pass: every statement of an evaluation from its one row
-    return ok.select("person_id", F.inline(F.array(*rows)))
+    return ok.select("person_id", F.inline(F.concat(others, scores)))
 
 
 def score_bands(evals: DataFrame) -> DataFrame:
@@ -234,8 +257,8 @@ def attach_summaries(scores: DataFrame, summaries: DataFrame) -> DataFrame:
     return scores.where(F.col("level") == "axis").join(s, ["category", "axis"], "left")
 
 
-SECTION_FORMAT = "## %s / %s\n\nTotal %d, rows %d, people %d, mean %d/100\n\n%s"
-CATEGORY_FORMAT = "# %s\n\nTotal %d, rows %d, people %d, mean %d/100"
+SECTION_FORMAT = "## %s / %s\n\nTotal %.1f, rows %d, people %d, mean %d/100\n\n%s"
+CATEGORY_FORMAT = "# %s\n\nTotal %.1f, rows %d, people %d, mean %d/100"
 
 
 def report_sections(scores: DataFrame, with_summaries: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Organisation collaboration network, bounds and GeoJSON."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholargraph.functions.joins import bounded_broadcast
 from scholargraph.session import cut_lineage
 
 # Events with more organisations than this are split into salted slices.
@@ -38,8 +39,9 @@ def collaboration_edges(eo: DataFrame, chunk: int = SALT_CHUNK) -> tuple[DataFra
     and every pair is still produced once.
     """
     eo = cut_lineage(eo.select("event_id", "org_id"), "event-orgs")  # read by sizes, left and right
-    sizes = eo.groupBy("event_id").agg(F.count(F.lit(1)).alias("_k"))
-    s = eo.join(sizes, "event_id").withColumn("_s", F.greatest(F.ceil(F.col("_k") / chunk), F.lit(1)).cast("int"))
+    # only events with more than a chunk of organisations need their size
+    sizes = eo.groupBy("event_id").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > chunk)
+    s = eo.join(bounded_broadcast(sizes), "event_id", "left").withColumn("_s", F.ceil(F.coalesce("_k", F.lit(1)) / chunk).cast("int"))
     left = s.select("event_id", F.col("org_id").alias("src"), F.pmod(F.xxhash64("org_id"), F.col("_s")).cast("int").alias("_salt"))
     right = s.select("event_id", F.col("org_id").alias("dst"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_salt"))
     pairs = left.join(right, ["event_id", "_salt"]).where(F.col("src") < F.col("dst")).select("src", "dst", "event_id")
@@ -62,41 +64,50 @@ def bounds(points: DataFrame) -> DataFrame:
     )
 
 
-def filter_network(orgs: DataFrame, edges: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """organisations whose title, acronym or address contains ``text``
-    (case-insensitive) and the edges with both ends kept.
-
-    ``orgs(item_id, title, acronym, address)``. Returns ``(kept_edges,
-    kept_orgs)``; counts are ``kept_orgs.count()`` against ``orgs.count()``.
-    """
+def mark_network(orgs: DataFrame, text: str) -> DataFrame:
+    """``(item_id, kept)``: whether an organisation's title, acronym or
+    address contains ``text`` (case-insensitive). ``orgs(item_id, title,
+    acronym, address)``; written once, as the edges and the counts read it."""
     t = F.lower(F.lit(text.strip()))
     hit = F.lit(False)
     for c in ("title", "acronym", "address"):
         hit = hit | F.coalesce(F.lower(F.col(c)).contains(t), F.lit(False))
-    kept = orgs.where(hit).select("item_id")
-    ke = edges.join(kept.withColumnRenamed("item_id", "src"), "src", "left_semi").join(
-        kept.withColumnRenamed("item_id", "dst"), "dst", "left_semi"
-    )
-    return ke, kept
+    return cut_lineage(orgs.select("item_id", hit.alias("kept")), "network-marks")
 
 
-GEOJSON_FORMAT = (
-    '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[%.6f,%.6f],[%.6f,%.6f]]},'
-    '"properties":{"weight":%d,"events":%d,"label":"%s"}}'
-)
+def filter_network(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """the edges with both ends kept."""
+    kept = marked.where("kept").select("item_id")
+    return edges.join(kept.withColumnRenamed("item_id", "src"), "src", "left_semi").join(
+        kept.withColumnRenamed("item_id", "dst"), "dst", "left_semi"
+    )
 
 
-def edges_geojson(edges: DataFrame, orgs: DataFrame) -> DataFrame:
-    """One GeoJSON LineString feature per edge, ``[lng, lat]`` order.
+def edges_geojson(edges: DataFrame, edge_events: DataFrame, orgs: DataFrame, max_titles: int = 50) -> DataFrame:
+    """One GeoJSON LineString feature per edge, ``[lng, lat]`` order, with
+    the titles of both ends (``from``, ``to``), the display weight, the number
+    of events and the titles of the first ``max_titles`` events (a display
+    length: ``n_events`` is complete and ``edge_events`` has them all).
 
-    ``orgs(item_id, title, lat, lng)``; both ends are joined in (two
-    equi-joins). Output ``(src, dst, feature)``; write with ``write.text``.
+    ``edge_events(src, dst, event_id, title)``; ``orgs(item_id, title, lat,
+    lng)``, joined in for both ends. ``to_json`` writes the feature, so any
+    title is escaped. Output ``(src, dst, feature)``; write with ``write.text``.
     """
     a = orgs.select(F.col("item_id").alias("src"), F.col("title").alias("t1"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"))
     b = orgs.select(F.col("item_id").alias("dst"), F.col("title").alias("t2"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
-    j = edges.join(a, "src").join(b, "dst")
-    label = F.concat_ws(" / ", "t1", "t2")
-    return j.select(
-        "src", "dst",
-        F.format_string(GEOJSON_FORMAT, "lng1", "lat1", "lng2", "lat2", "weight", "n_events", label).alias("feature"),
+    order = Window.partitionBy("src", "dst").orderBy("event_id")
+    shown = edge_events.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max_titles)
+    titles = shown.groupBy("src", "dst").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_k", "title"))), lambda x: F.coalesce(x["title"], F.lit(""))).alias("titles")
+    )
+    j = edges.join(a, "src").join(b, "dst").join(titles, ["src", "dst"], "left")
+    point = lambda lng, lat: F.array(F.col(lng), F.col(lat))
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.lit("LineString").alias("type"), F.array(point("lng1", "lat1"), point("lng2", "lat2")).alias("coordinates")).alias("geometry"),
+        F.struct(
+            F.col("t1").alias("from"), F.col("t2").alias("to"), F.col("weight"), F.col("n_events").alias("events"),
+            F.coalesce("titles", F.array().cast("array<string>")).alias("titles"),
+        ).alias("properties"),
     )
+    return j.select("src", "dst", F.to_json(feature).alias("feature"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholargraph.functions.ids import rank_within
 from scholargraph.functions.text import is_blank, strip_ws
 
 
@@ -19,7 +20,7 @@ def merge_domains(domains: DataFrame) -> DataFrame:
     Output ``(person_id, rank, label, type, code, count, first_pos)``.
     One shuffle on (person_id, key) with map-side partial aggregation, so a
     person or label holding a large share of rows is combined before the
-    shuffle; the ranking window then sees one row per distinct label.
+    shuffle; ranks come from one global sort, not from a window per person.
     """
     d = domains.where(F.col("label").isNotNull()).withColumn("_key", F.lower("label"))
     g = d.groupBy("person_id", "_key").agg(
@@ -28,10 +29,11 @@ def merge_domains(domains: DataFrame) -> DataFrame:
         F.max_by("code", F.when(F.col("code").isNotNull(), F.col("pos"))).alias("code"),
         F.min("pos").alias("first_pos"),
     )
-    w = Window.partitionBy("person_id").orderBy(F.desc("count"), F.asc("first_pos"))
+    # label and code break ties that only repeated positions can leave
+    g = rank_within(g, ["person_id"], [F.desc("count"), F.asc("first_pos"), F.asc("_key")])
     return g.select(
         "person_id",
-        F.row_number().over(w).alias("rank"),
+        "rank",
         F.col("_first.label").alias("label"),
         F.col("_first.type").alias("type"),
         "code",
@@ -43,25 +45,27 @@ def merge_domains(domains: DataFrame) -> DataFrame:
 def group_publications(pubs: DataFrame) -> DataFrame:
     """A2: one row per (person, publication) with first title/year and roles.
 
-    Input ``pubs(person_id, pos, publication, title, year, role)``. Untitled
-    entries are skipped. Title and year come from the first entry; roles are
+    Input ``pubs(person_id, pos, publication, title, year, role)``. Entries
+    without a title are skipped, an empty title is one. Title and year come from the first entry; roles are
     the distinct non-empty roles in first-seen order.
     """
-    p = pubs.where(~is_blank("title"))
-    # One aggregation per (person, publication). The role list of one pair is
-    # bounded by that person's entries for one publication; sorted by
-    # position, array_distinct keeps each role's first occurrence.
-    g = p.groupBy("person_id", "publication").agg(
-        F.min_by(F.struct("title", "year"), "pos").alias("_f"),
+    p = pubs.where(F.col("title").isNotNull())
+    # per (person, publication, role) first, so that what is gathered for a
+    # pair are its different roles, however many entries repeat them
+    r = p.withColumn("role", F.when(~is_blank("role"), F.col("role"))).groupBy("person_id", "publication", "role").agg(
+        F.min("pos").alias("pos"), F.min_by(F.struct("title", "year"), "pos").alias("_f")
+    )
+    g = r.groupBy("person_id", "publication").agg(
+        F.min_by("_f", "pos").alias("_f"),
         F.min("pos").alias("first_pos"),
-        F.array_sort(F.collect_list(F.when(~is_blank("role"), F.struct("pos", "role")))).alias("_r"),
+        F.array_sort(F.collect_list(F.when(F.col("role").isNotNull(), F.struct("pos", "role")))).alias("_r"),
     )
     return g.select(
         "person_id",
         "publication",
         F.col("_f.title").alias("title"),
         F.col("_f.year").alias("year"),
-        F.array_distinct(F.transform("_r", lambda s: s["role"])).alias("roles"),
+        F.transform("_r", lambda s: s["role"]).alias("roles"),
         "first_pos",
     )
 

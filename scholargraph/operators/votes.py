@@ -1,9 +1,10 @@
 """Expertise votes: last ranks, first links, scoreboards, permissions, change logs."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholargraph.functions.ids import rank_within
 from scholargraph.functions.joins import bounded_broadcast
 from scholargraph.session import cut_lineage
 
@@ -81,12 +82,14 @@ def scoreboard(first_links: DataFrame, votes: DataFrame, evaluator_id: int, allo
     )
 
 
-def filter_scoreboard(board: DataFrame, titles: DataFrame, text: str, status: str) -> DataFrame:
-    """visible and total keyword counts per person for a text and a status.
+STATUSES = ("all", "todo", "done", "pos", "neg")
 
-    ``titles(concept_id, title)``. Status: ``all``, ``todo`` (no vote of
-    mine), ``done``, ``pos`` (rank > 0) or ``neg``. Counts by conditional
-    sums in one aggregation.
+
+def filter_scoreboard(board: DataFrame, titles: DataFrame, text: str, statuses: tuple[str, ...] = STATUSES) -> DataFrame:
+    """visible and total keyword counts per person for a text and each
+    status: ``all``, ``todo`` (no vote of mine), ``done``, ``pos`` (rank > 0)
+    or ``neg``. ``titles(concept_id, title)``. Conditional sums of one
+    aggregation, one row per (person, status).
     """
     t = text.strip().lower()
     b = board.join(titles, "concept_id", "left")
@@ -97,22 +100,24 @@ def filter_scoreboard(board: DataFrame, titles: DataFrame, text: str, status: st
         "done": F.col("has_mine") == 1,
         "pos": F.col("rank_sum") > 0,
         "neg": F.col("rank_sum") <= 0,
-    }[status]
-    return b.groupBy("person_id").agg(
-        F.sum((match_text & match_status).cast("int")).alias("n_visible"),
+    }
+    counts = b.groupBy("person_id").agg(
         F.count(F.lit(1)).alias("n_total"),
-    ).withColumn("status", F.lit(status))
+        *[F.sum((match_text & match_status[st]).cast("int")).alias(f"_{st}") for st in statuses],
+    )
+    rows = F.array(*[F.struct(F.col(f"_{st}").alias("n_visible"), F.lit(st).alias("status")) for st in statuses])
+    return counts.select("person_id", "n_total", F.inline(rows))
 
 
 def sort_scoreboard(board: DataFrame, titles: DataFrame, by: str = "title", ascending: bool = True,
                     collation: str = "fr") -> DataFrame:
     """Position of each keyword in a person's list, by title (locale
-    collation) or by summed rank, in either direction; ties by concept id."""
+    collation) or by summed rank, in either direction; ties by concept id.
+    Ranked by one global sort, so a long list is not one task's."""
     b = board.join(titles, "concept_id", "left")
     key = F.collate(F.coalesce("title", F.lit("")), collation) if by == "title" else F.col("rank_sum")
     key = key.asc() if ascending else key.desc()
-    w = Window.partitionBy("person_id").orderBy(key, F.col("concept_id").asc())
-    return b.withColumn("position", F.row_number().over(w))
+    return rank_within(b, ["person_id"], [key, F.col("concept_id").asc()], "position")
 
 
 # ------------------------------------------------------------- F14 access
@@ -160,13 +165,14 @@ def can_edit(pairs: DataFrame, rules: DataFrame, person_labs: DataFrame) -> Data
     return pairs.join(allowed, ["user_id", "person_id"], "left_semi")
 
 
-def editable_persons(rules: DataFrame, person_labs: DataFrame, user_id: int) -> DataFrame:
-    """``(person_id)`` one user may edit: everyone if the user has an
-    ``all`` rule (an uncorrelated EXISTS subquery, not a join), members of
-    the user's labs (semi join on lab), and the user's own persons."""
+def editable_persons(rules: DataFrame, person_labs: DataFrame, persons: DataFrame, user_id: int) -> DataFrame:
+    """``(person_id)`` one user may edit: everyone of ``persons`` (with or
+    without a lab) if the user has an ``all`` rule (an uncorrelated EXISTS
+    subquery, not a join), members of the user's labs (semi join on lab), and
+    the user's own persons."""
     r = rules.where(F.col("user_id") == F.lit(user_id))
     is_admin = r.where(F.col("scope") == "all").exists()
-    everyone = person_labs.where(is_admin).select("person_id")
+    everyone = persons.where(is_admin).select("person_id")
     by_lab = person_labs.join(r.where(F.col("scope") == "lab").select("lab_id"), "lab_id", "left_semi").select("person_id")
     own = r.where(F.col("scope") == "person").select("person_id")
     return everyone.unionByName(by_lab).unionByName(own).distinct()
@@ -175,23 +181,112 @@ def editable_persons(rules: DataFrame, person_labs: DataFrame, user_id: int) ->
 # ------------------------------------------------------------- C1 changes
 
 
-def apply_vote_changes(votes: DataFrame, changes: DataFrame, rules: DataFrame, person_labs: DataFrame,
-                       title_format: str = "%d / %d / %d") -> DataFrame:
-    """Apply a create/update/delete change log to a vote table.
+# The titles of a created and of an updated vote.
+CREATED_TITLE = "Expertise - %s = %d - pour %s fait par %s le %s"
+UPDATED_TITLE = "Expertise -> %s = %d - pour %s fait par %s le %s"
+
+
+def vote_changes(votes: DataFrame, changes: DataFrame, rules: DataFrame, person_labs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a create/update/delete change log does to a vote table.
 
     ``votes(vote_id, person_id, concept_id, rank, owner_id)``;
-    ``changes(op, vote_id, person_id, concept_id, rank, user_id, seq)``.
-    Changes by users not allowed to edit the person (F14) are dropped;
-    the last allowed change of each vote wins (create and update upsert,
-    delete removes). Titles are ``title_format % (person, concept, rank)``.
+    ``changes(op, vote_id, person_id, concept_id, rank, user_id, day, seq)``.
+
+    * A create needs the right to edit its person and an id that no vote has
+      then; its user owns the vote.
+    * An update or a delete needs a vote that is stored or was created before
+      it; rights are tested on that vote's person, whatever person the change
+      names. An update sets the rank, and nothing else; a deleted vote is gone,
+      until its id is created again.
+
+    Returns ``(decided, errors)``: ``decided(vote_id, person_id, concept_id,
+    rank, owner_id, kind, user_id, day)`` has every vote left, ``kind`` null
+    for untouched ones, else ``create`` or ``update`` with the user and day of
+    its last change; ``errors(vote_id, op, seq, user_id, reason)`` the changes
+    without effect (``not allowed``, ``vote exists``, ``unknown vote``).
+    """
+    creates = changes.where(F.col("op") == "create")
+    allowed = cut_lineage(can_edit(creates, rules, person_labs), "vote-creates")
+    stored = votes.select("vote_id", "person_id", "concept_id", "rank", "owner_id")
+    since = F.lit(None).cast(changes.schema["seq"].dataType).alias("since")
+    lives = stored.select("*", F.lit(None).cast("string").alias("day"), since).unionByName(
+        allowed.select("vote_id", "person_id", "concept_id", "rank", F.col("user_id").alias("owner_id"), "day", F.col("seq").alias("since"))
+    ).withColumn("_order", F.struct(F.col("since").isNotNull(), F.col("since")))
+    lives = cut_lineage(lives, "vote-lives")
+    edits = changes.where(F.col("op") != "create").select(
+        "op", "vote_id", "user_id", F.col("rank").alias("new_rank"), F.col("day").alias("new_day"), "seq"
+    )
+    # the life of the vote that a change meets is the last one begun before it
+    met = edits.join(lives.select("vote_id", "person_id", "since", "_order"), "vote_id")
+    met = met.where(F.col("since").isNull() | (F.col("seq") > F.col("since")))
+    known = met.groupBy("vote_id", "seq", "op", "user_id", "new_rank", "new_day").agg(F.max_by("person_id", "_order").alias("person_id"))
+    valid = cut_lineage(can_edit(known, rules, person_labs), "vote-edits")
+    gone = valid.where(F.col("op") == "delete").groupBy("vote_id").agg(F.max("seq").alias("gone"))
+    left = lives.join(gone, "vote_id", "left").where(F.col("gone").isNull() | (F.col("since") > F.col("gone")))
+    base = left.groupBy("vote_id").agg(
+        F.min_by(F.struct("person_id", "concept_id", "rank", "owner_id", "day", "since"), "_order").alias("_b")
+    ).select("vote_id", "_b.*")
+    base = cut_lineage(base, "vote-base")
+    updates = valid.where(F.col("op") == "update").join(base.select("vote_id", "since"), "vote_id")
+    updates = updates.where(F.col("since").isNull() | (F.col("seq") > F.col("since")))
+    last = updates.groupBy("vote_id").agg(F.max_by(F.struct("new_rank", "user_id", "new_day"), "seq").alias("_u"))
+    updated, created = F.col("_u").isNotNull(), F.col("since").isNotNull()
+    decided = base.join(last, "vote_id", "left").select(
+        "vote_id", "person_id", "concept_id",
+        F.when(updated, F.col("_u.new_rank")).otherwise(F.col("rank")).alias("rank"),
+        "owner_id",
+        F.when(updated, "update").when(created, "create").alias("kind"),
+        F.when(updated, F.col("_u.user_id")).when(created, F.col("owner_id")).alias("user_id"),
+        F.when(updated, F.col("_u.new_day")).otherwise(F.col("day")).alias("day"),
+    )
+    row, key = ["vote_id", "op", "seq", "user_id"], ["vote_id", "seq"]
+    denied = creates.join(allowed.select(*key), key, "left_anti").select(*row)
+    refused = known.join(valid.select(*key), key, "left_anti").select(*row)
+    exists = allowed.join(base.select("vote_id", "since"), "vote_id").where(F.col("since").isNull() | (F.col("seq") > F.col("since"))).select(*row)
+    unmet = edits.join(known.select(*key), key, "left_anti").select(*row)
+    late = valid.where(F.col("op") == "update").join(gone, "vote_id").where(F.col("seq") > F.col("gone"))
+    late = late.join(updates.select(*key), key, "left_anti").select(*row)
+    reasons = [(denied.unionByName(refused), "not allowed"), (exists, "vote exists"), (unmet.unionByName(late), "unknown vote")]
+    errors = [df.withColumn("reason", F.lit(reason)) for df, reason in reasons]
+    return decided, errors[0].unionByName(errors[1]).unionByName(errors[2])
+
+
+def with_vote_titles(decided: DataFrame, concepts: DataFrame, persons: DataFrame, users: DataFrame) -> DataFrame:
+    """Titles of changed votes, with the names of concept, person and user and
+    the day; null for untouched votes, whose stored title stays.
+    ``concepts(concept_id, concept)``, ``persons(person_id, person)``,
+    ``users(user_id, name)``."""
+    j = decided.join(concepts, "concept_id", "left").join(persons, "person_id", "left").join(users.select("user_id", "name"), "user_id", "left")
+    parts = [F.coalesce("concept", F.lit("")), F.col("rank"), F.coalesce("person", F.lit("")), F.coalesce("name", F.lit("")), F.col("day")]
+    title = F.when(F.col("kind") == "create", F.format_string(CREATED_TITLE, *parts)).when(
+        F.col("kind") == "update", F.format_string(UPDATED_TITLE, *parts)
+    )
+    return j.select(*decided.columns, title.alias("title"))
+
+
+def vote_list(board: DataFrame, votes: DataFrame, users: DataFrame, evaluator_id: int) -> DataFrame:
+    """A3: the votes shown under each linked (person, concept), in long form.
+
+    ``board`` from ``scoreboard``; ``votes(vote_id, person_id, concept_id,
+    owner_id, rank, created)``. Rows: every vote of a linked concept, the
+    link's own rank as a vote of owner 0 where it is not 0, and an empty one
+    (id null, rank 0, ``pos``) where the evaluator may add theirs. Output
+    ``(person_id, concept_id, vote_id, owner_id, owner_name, created, rank,
+    cls, sign)``; ``created`` is text, ``-`` when unknown.
     """
-    ok = can_edit(changes, rules, person_labs)
-    last = ok.groupBy("vote_id").agg(
-        F.max_by(F.struct("op", "person_id", "concept_id", "rank", "user_id"), "seq").alias("_c")
-    ).select("vote_id", "_c.*")
-    keep = votes.join(last.select("vote_id"), "vote_id", "left_anti").select("vote_id", "person_id", "concept_id", "rank", "owner_id")
-    upserts = last.where(F.col("op") != "delete").select(
-        "vote_id", "person_id", "concept_id", "rank", F.col("user_id").alias("owner_id")
+    key = ["person_id", "concept_id"]
+    nb = F.lit(None).cast("bigint")
+    given = votes.join(board.select(*key), key, "left_semi").select(
+        *key, "vote_id", F.col("owner_id").cast("bigint"), F.coalesce("created", F.lit("-")).alias("created"), F.col("rank").cast("bigint")
+    )
+    linked = board.where(F.coalesce("base_rank", F.lit(0)) != 0).select(
+        *key, nb.alias("vote_id"), F.lit(0).cast("bigint").alias("owner_id"), F.lit("-").alias("created"), F.col("base_rank").cast("bigint").alias("rank")
+    )
+    shown = given.unionByName(linked).withColumn("cls", F.when(F.col("rank") > 0, "pos").otherwise("neg"))
+    slot = board.where(F.col("slot") == 1).select(
+        *key, nb.alias("vote_id"), F.lit(evaluator_id).cast("bigint").alias("owner_id"), F.lit("-").alias("created"),
+        F.lit(0).cast("bigint").alias("rank"), F.lit("pos").alias("cls"),
     )
-    out = keep.unionByName(upserts)
-    return out.withColumn("title", F.format_string(title_format, "person_id", "concept_id", "rank"))
+    names = users.select(F.col("user_id").cast("bigint").alias("owner_id"), F.col("name").alias("owner_name"))
+    out = shown.unionByName(slot).withColumn("sign", F.when(F.col("rank") > 0, "+").otherwise(""))
+    return out.join(names, "owner_id", "left").select(*key, "vote_id", "owner_id", "owner_name", "created", "rank", "cls", "sign")

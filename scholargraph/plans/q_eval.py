@@ -83,12 +83,19 @@ def evaluations(spark, sf):
 
 
 def split(spark, sf):
-    return EV.split_evaluated(people(spark, sf), evaluations(spark, sf), AGENT)
+    return EV.split_evaluated(people(spark, sf), evaluations(spark, sf), AGENT, agents(spark, sf))
+
+
+def agents(spark, sf):
+    """Agent items: one per supplier nation, the agent's own title among them."""
+    n = table(spark, sf, "nation")
+    title = F.when(F.col("n_nationkey") % 7 == 3, F.lit(AGENT)).otherwise(F.concat(F.lit("Agent "), F.col("n_name")))
+    return n.select((F.col("n_nationkey") + 5000).cast("bigint").alias("item_id"), title.alias("title"))
 
 
 J11_SQL = f"""
 SELECT d.doc_id AS person_id, CASE WHEN e.eval_id IS NOT NULL THEN 'reuse' ELSE 'pending' END AS status, e.eval_id,
-       {AGENT_ID_SQL} AS agent_id
+       (SELECT CAST(min(n_nationkey) + 5000 AS BIGINT) FROM nation WHERE n_nationkey % 7 = 3) AS agent_id
 FROM documents d LEFT JOIN (SELECT doc_id, min(doc_id * 10 + 7) AS eval_id FROM labels GROUP BY 1) e ON e.doc_id = d.doc_id
 """
 
@@ -128,8 +135,11 @@ def replies(spark, sf):
     s = lambda x: x.cast("string")
     body = F.concat(
         F.lit('{"evaluations":[{"id":"'), s(di), F.lit('","name":"Doc '), s(di), F.lit('","scores":{"arts":'),
-        s(F.col("quality") * 60 + di % 40), F.lit(',"care":'), s(F.col("toxic") * 50 + di % 50),
-        F.lit(',"democratie":'), s(di * 7 % 101), F.lit(',"transitions":'), s(di * 13 % 101),
+        s(F.col("quality") * 60 + di % 40), F.when(di % 5 == 0, ".5").otherwise(""),
+        F.when(di % 11 == 0, "").otherwise(F.concat(F.lit(',"care":'), s(F.col("toxic") * 50 + di % 50))),
+        F.lit(',"democratie":'), F.when(di % 10 == 7, "null").otherwise(s(di * 7 % 101)),
+        F.when(di % 6 == 0, F.concat(F.lit(',"extra":'), s(di % 7))).otherwise(""),
+        F.lit(',"transitions":'), F.when(di % 19 == 0, '"n/a"').otherwise(s(di * 13 % 101)),
         F.lit('},"justification":"quality '), s(F.col("quality")), F.lit(", toxic "), s(F.col("toxic")), F.lit('"}]}'),
     )
     j = j.withColumn("_b", body)
@@ -161,23 +171,28 @@ REPLIES_SQL = f"""
   FROM (SELECT *, CASE WHEN doc_id % 9 = 0 THEN substr(b, 1, length(b) // 2) WHEN doc_id % 13 = 0 THEN '{{"results":[]}}'
                        WHEN doc_id % 17 = 0 THEN '{{"evaluations":[]}}' ELSE b END AS b2
         FROM (SELECT l.doc_id, l.quality, l.toxic, d.lang, d.source,
-                     '{{"evaluations":[{{"id":"' || l.doc_id || '","name":"Doc ' || l.doc_id || '","scores":{{"arts":' || (l.quality * 60 + l.doc_id % 40)
-                     || ',"care":' || (l.toxic * 50 + l.doc_id % 50) || ',"democratie":' || (l.doc_id * 7 % 101)
-                     || ',"transitions":' || (l.doc_id * 13 % 101) || '}},"justification":"quality ' || l.quality || ', toxic ' || l.toxic || '"}}]}}' AS b
+                     '{{"evaluations":[{{"id":"' || l.doc_id || '","name":"Doc ' || l.doc_id || '","scores":{{"arts":' || (l.quality * 60 + l.doc_id % 40) || CASE WHEN l.doc_id % 5 = 0 THEN '.5' ELSE '' END
+                     || CASE WHEN l.doc_id % 11 = 0 THEN '' ELSE ',"care":' || (l.toxic * 50 + l.doc_id % 50) END
+                     || ',"democratie":' || CASE WHEN l.doc_id % 10 = 7 THEN 'null' ELSE CAST(l.doc_id * 7 % 101 AS VARCHAR) END
+                     || CASE WHEN l.doc_id % 6 = 0 THEN ',"extra":' || (l.doc_id % 7) ELSE '' END
+                     || ',"transitions":' || CASE WHEN l.doc_id % 19 = 0 THEN '"n/a"' ELSE CAST(l.doc_id * 13 % 101 AS VARCHAR) END || '}},"justification":"quality ' || l.quality || ', toxic ' || l.toxic || '"}}]}}' AS b
               FROM labels l JOIN documents d ON d.doc_id = l.doc_id))
 """
+SCORE_KEYS = [*EV.CATEGORIES, "extra"]
 FENCE_SQL = EV.FENCE.replace("'", "''")
 PARSED_SQL = f"""
   SELECT *, CASE WHEN NOT json_valid(c) THEN 'undecodable'
                  WHEN json_type(c, '$.evaluations') IS DISTINCT FROM 'ARRAY' THEN 'no evaluations'
-                 WHEN json_array_length(c, '$.evaluations') = 0 THEN 'empty evaluations' END AS reason
+                 WHEN json_array_length(c, '$.evaluations') = 0 THEN 'empty evaluations'
+                 WHEN {" OR ".join(f"(json_extract_string(c, '$.evaluations[0].scores.{k}') IS NOT NULL AND TRY_CAST(json_extract_string(c, '$.evaluations[0].scores.{k}') AS DOUBLE) IS NULL)" for k in SCORE_KEYS)}
+                 THEN 'undecodable scores' END AS reason
   FROM (SELECT *, CASE WHEN regexp_matches(reply, '{FENCE_SQL}') THEN regexp_extract(reply, '{FENCE_SQL}', 1) ELSE reply END AS c
         FROM ({REPLIES_SQL}))
 """
 
 
 def _score_sql(cat: str) -> str:
-    return f"CAST(json_extract_string(c, '$.evaluations[0].scores.{cat}') AS BIGINT)"
+    return f"TRY_CAST(json_extract_string(c, '$.evaluations[0].scores.{cat}') AS DOUBLE)"
 
 
 E2_SQL = f"""
@@ -207,21 +222,26 @@ def q_parse(spark, sf):
 
 OK_SQL = f"SELECT * FROM ({PARSED_SQL}) WHERE reason IS NULL"
 CS_SQL = " UNION ALL ".join(
-    f"SELECT person_id, lang, source, n_axes, '{c}' AS category, {_score_sql(c)} AS score FROM ok" for c in EV.CATEGORIES
+    f"SELECT person_id, lang, source, n_axes, '{c}' AS category, {_score_sql(c)} AS score FROM ok WHERE {_score_sql(c)} IS NOT NULL" for c in EV.CATEGORIES
 )
+RUN_TIME = "01/03/2024 10:00"
+_ELEMENT = "json_extract_string(c, '$.evaluations[0].{}')"
 E3_SQL = f"""
-WITH ok AS ({OK_SQL}), cs AS ({CS_SQL})
-SELECT person_id, 'eval:' || category AS property, category || ' = ' || score AS value, score AS rank FROM cs
-UNION ALL SELECT person_id, 'eval:justification', json_extract_string(c, '$.evaluations[0].justification'), NULL FROM ok
+WITH ok AS ({OK_SQL}), sc AS ({" UNION ALL ".join(
+    f"SELECT person_id, '{k}' AS key, {_ELEMENT.format('scores.' + k)} AS txt FROM ok" for k in SCORE_KEYS)})
+SELECT person_id, 'eval:' || key AS property, key || ' = ' || txt AS value, CAST(txt AS DOUBLE) AS rank FROM sc WHERE txt IS NOT NULL
+UNION ALL SELECT person_id, 'dcterms:title', printf('{EV.EVALUATION_TITLE}', '{AGENT}', {_ELEMENT.format('name')}, '{RUN_TIME}'), NULL FROM ok
+UNION ALL SELECT person_id, 'eval:justification', {_ELEMENT.format('justification')}, NULL FROM ok
 UNION ALL SELECT person_id, 'dcterms:source', CAST(person_id AS VARCHAR), NULL FROM ok
 UNION ALL SELECT person_id, 'dcterms:creator', CAST(agent_id AS VARCHAR), NULL FROM ok
+UNION ALL SELECT person_id, 'curation:data', CAST(json_extract(c, '$.evaluations[0]') AS VARCHAR), NULL FROM ok
 """
 
 
 @register("E3_evaluation_statements", E3_SQL)
 def q_eval_statements(spark, sf):
     """Each parsed evaluation as long statement rows."""
-    return EV.evaluation_statements(parsed(spark, sf))
+    return EV.evaluation_statements(parsed(spark, sf), AGENT, RUN_TIME)
 
 
 E4_SQL = f"""
@@ -244,10 +264,10 @@ AX_SQL = f"""
 """
 A5_SQL = f"""
 {AX_SQL}
-SELECT category, NULL::VARCHAR AS axis, 'category' AS level, CAST(sum(score) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n_rows,
+SELECT category, NULL::VARCHAR AS axis, 'category' AS level, sum(score) AS total, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(count(DISTINCT person_id) AS BIGINT) AS n_people, CAST(round(sum(score) / count(*)) AS BIGINT) AS mean FROM ax GROUP BY 1
 UNION ALL
-SELECT category, axis, 'axis', CAST(sum(score) AS BIGINT), CAST(count(*) AS BIGINT), CAST(count(DISTINCT person_id) AS BIGINT),
+SELECT category, axis, 'axis', sum(score), CAST(count(*) AS BIGINT), CAST(count(DISTINCT person_id) AS BIGINT),
        CAST(round(sum(score) / count(*)) AS BIGINT) FROM ax GROUP BY 1, 2
 """
 

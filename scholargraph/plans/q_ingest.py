@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholargraph import schemas
-from scholargraph.operators import canon, lookup, upsert
+from scholargraph.operators import canon, graph, lookup, upsert
 from scholargraph.plans.registry import register, table
 from scholargraph.sources import jsonl
 from scholargraph.sources import register as reg
@@ -403,10 +403,12 @@ def q_build_dimension(spark, sf):
 
 P1_SQL = f"""
 WITH l AS ({LINES_SQL}), t AS (SELECT seq, {TRIM_SQL} AS line FROM l)
-SELECT seq, coalesce(json_extract_string(line, '$.id'), '') AS id, CAST(0.0 AS DOUBLE) AS score, '' AS firstName, '' AS lastName,
+SELECT seq, coalesce(json_extract_string(line, '$.id'), '') AS id, CAST(0.0 AS DOUBLE) AS score, items.item_id, '' AS firstName, '' AS lastName,
        coalesce(json_extract_string(line, '$.fullName'), '') AS fullName, CAST(0 AS BIGINT) AS n_top_domains,
        CAST(0 AS BIGINT) AS n_external_ids, CAST(0 AS BIGINT) AS n_affiliations, '[]' AS awards
-FROM t WHERE line <> '' AND json_valid(line)
+FROM t LEFT JOIN (SELECT 'user ' || c_custkey AS k, min(c_custkey) AS item_id FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1) items
+       ON items.k = lower(json_extract_string(line, '$.fullName'))
+WHERE line <> '' AND json_valid(line)
 """
 
 
@@ -414,10 +416,14 @@ FROM t WHERE line <> '' AND json_valid(line)
 def q_canonical_person(spark, sf):
     """Canonical 13-field records of every decodable dump line (defaults filled)."""
     s = jsonl.scan_jsonl(dump_lines(spark, sf), schemas.PERSON_OR_ENVELOPE)
-    p = canon.canonical_person(F.col("rec")).alias("p")
-    c = s.select("seq", p)
+    c = table(spark, sf, "customer").where("c_custkey % 3 <> 0")
+    titles = c.select(F.col("c_custkey").alias("item_id"), F.lit(graph.TITLE).alias("property"), F.concat(F.lit("User "), F.col("c_custkey").cast("string")).alias("value"))
+    names = s.select(F.col("seq").alias("id"), F.col("rec.fullName").alias("fullName"))
+    found = graph.match_items_by_name(names, titles).where("item_id is not null").select(F.col("person_id").alias("seq"), F.array("item_id").alias("items"))
+    p = canon.canonical_person(F.col("rec"), items=F.col("items")).alias("p")
+    c = s.join(found, "seq", "left").select("seq", p)
     return c.select(
-        "seq", "p.id", "p.score", "p.firstName", "p.lastName", "p.fullName",
+        "seq", "p.id", "p.score", F.try_element_at("p.items", F.lit(1)).alias("item_id"), "p.firstName", "p.lastName", "p.fullName",
         F.size("p.top_domains").alias("n_top_domains"), F.size("p.externalIds").alias("n_external_ids"),
         F.size("p.affiliations").alias("n_affiliations"), "p.awards",
     )

@@ -343,27 +343,49 @@ def q_filter_network(spark, sf):
     addr = G.postal_address(st).select("item_id", "address")
     located = org_items(spark, sf).select("item_id", "title").join(points(spark, sf).select("item_id"), "item_id", "left_semi")
     c = located.join(acr, "item_id", "left").join(addr, "item_id", "left")
+    marked = N.mark_network(c, NETWORK_TEXT)
     e = cut_lineage(edges(spark, sf), "edges")
-    ke, kept = N.filter_network(c, e, NETWORK_TEXT)
-    n = lambda df: df.select(F.count(F.lit(1))).scalar()  # noqa: E731  (lazy scalar subqueries)
-    return ke.select("src", "dst", "n_events", "weight", n(kept).alias("kept_orgs"), n(c).alias("total_orgs"),
-                     n(e).alias("total_edges"))
+    ke = N.filter_network(marked, e)
+    # all counts from one pass over each frame
+    orgs = marked.agg(F.count(F.lit(1)).alias("total"), F.count_if("kept").alias("kept")).select(F.struct("total", "kept").alias("n")).scalar()
+    n_edges = e.select(F.count(F.lit(1))).scalar()
+    return ke.select("src", "dst", "n_events", "weight", orgs["kept"].alias("kept_orgs"), orgs["total"].alias("total_orgs"), n_edges.alias("total_edges"))
 
 
+# Titles with what JSON must escape: quotes, a backslash, a line break.
 S7_SQL = f"""
 WITH {EO_SQL}, pt AS ({POINTS_SQL}),
-o AS (SELECT s.s_suppkey AS item_id, s.s_name AS title, pt.lat, pt.lng FROM supplier s JOIN pt ON pt.item_id = s.s_suppkey)
-SELECT e.src, e.dst,
-       printf('{N.GEOJSON_FORMAT}', a.lng, a.lat, b.lng, b.lat, e.weight, e.n_events, a.title || ' / ' || b.title) AS feature
-FROM edges e JOIN o a ON a.item_id = e.src JOIN o b ON b.item_id = e.dst
+o AS (SELECT s.s_suppkey AS item_id, s.s_name || CASE s.s_suppkey % 4 WHEN 0 THEN ' "A"' WHEN 1 THEN ' \\ b' WHEN 2 THEN chr(10) || 'c' ELSE '' END AS title,
+             pt.lat, pt.lng FROM supplier s JOIN pt ON pt.item_id = s.s_suppkey),
+ev AS (SELECT src, dst, string_agg('Event "' || event_id || '"', '|' ORDER BY event_id) AS titles FROM (
+         SELECT a.org_id AS src, b.org_id AS dst, a.event_id,
+                row_number() OVER (PARTITION BY a.org_id, b.org_id ORDER BY a.event_id) AS k
+         FROM eo a JOIN eo b ON a.event_id = b.event_id AND a.org_id < b.org_id) WHERE k <= 3 GROUP BY 1, 2)
+SELECT e.src, e.dst, 'LineString' AS geometry, a.lng AS lng1, a.lat AS lat1, b.lng AS lng2, b.lat AS lat2,
+       a.title AS from_title, b.title AS to_title, e.weight, e.n_events AS events, ev.titles
+FROM edges e JOIN o a ON a.item_id = e.src JOIN o b ON b.item_id = e.dst JOIN ev ON ev.src = e.src AND ev.dst = e.dst
 """
+FEATURE = (
+    "geometry struct<type: string, coordinates: array<array<double>>>, "
+    "properties struct<`from`: string, `to`: string, weight: bigint, events: bigint, titles: array<string>>"
+)
 
 
 @register("S7_edges_geojson", S7_SQL)
 def q_geojson(spark, sf):
-    """One GeoJSON LineString per collaboration edge."""
-    pts = points(spark, sf).join(org_items(spark, sf), "item_id")
-    return N.edges_geojson(edges(spark, sf), pts)
+    """One GeoJSON LineString per collaboration edge, read back from its JSON text."""
+    k = F.col("item_id") % 4
+    suffix = F.when(k == 0, ' "A"').when(k == 1, " \\ b").when(k == 2, "\nc").otherwise("")
+    pts = points(spark, sf).join(org_items(spark, sf), "item_id").withColumn("title", F.concat("title", suffix))
+    e, pairs = N.collaboration_edges(event_orgs(spark, sf))
+    titled = pairs.withColumn("title", F.concat(F.lit('Event "'), F.col("event_id").cast("string"), F.lit('"')))
+    f = N.edges_geojson(e, titled, pts, 3).withColumn("f", F.from_json("feature", FEATURE))
+    c, p = F.col("f.geometry.coordinates"), F.col("f.properties")
+    return f.select(
+        "src", "dst", F.col("f.geometry.type").alias("geometry"), c[0][0].alias("lng1"), c[0][1].alias("lat1"), c[1][0].alias("lng2"), c[1][1].alias("lat2"),
+        p["from"].alias("from_title"), p["to"].alias("to_title"), p["weight"].alias("weight"), p["events"].alias("events"),
+        F.array_join(p["titles"], "|").alias("titles"),
+    )
 
 
 # ----------------------------------------------------------------- J5 / A7

@@ -102,7 +102,7 @@ PUBS_SQL = f"""
 """
 
 A2_SQL = f"""
-WITH p AS ({PUBS_SQL}), t AS (SELECT * FROM p WHERE trim(title) <> ''),
+WITH p AS ({PUBS_SQL}), t AS (SELECT * FROM p WHERE title IS NOT NULL),
 f AS (SELECT person_id, publication, arg_min(title, pos) AS title, arg_min(year, pos) AS year
       FROM t GROUP BY 1, 2),
 r AS (SELECT person_id, publication, role, min(pos) AS rpos FROM t GROUP BY 1, 2, 3),

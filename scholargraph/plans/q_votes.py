@@ -17,7 +17,6 @@ from scholargraph.plans.q_ingest import CUTOFF
 from scholargraph.plans.q_persons import LINE_POS_SQL, line_pos
 from scholargraph.plans.registry import register, table
 from scholargraph.plans.sqltext import values_sql
-from scholargraph.session import cut_lineage
 
 KEYWORD_PROPS = ["dcterms:subject", "curation:keyword"]
 EVALUATOR = 3
@@ -102,8 +101,13 @@ def users(spark, sf):
 
 def persons(spark, sf):
     c = table(spark, sf, "customer")
+    lab = F.when(F.col("c_custkey") % 11 != 0, F.col("c_nationkey").cast("bigint"))
     return c.select(F.col("c_custkey").alias("person_id"), F.concat(F.lit("acct"), F.col("c_custkey").cast("string")).alias("account"),
-                    F.col("c_nationkey").cast("bigint").alias("lab_id"))
+                    lab.alias("lab_id"), F.col("c_name").alias("person"))
+
+
+def person_labs(spark, sf):
+    return persons(spark, sf).where("lab_id is not null").select("person_id", "lab_id")
 
 
 USERS_SQL = """
@@ -113,7 +117,7 @@ USERS_SQL = """
          CAST(s_nationkey AS BIGINT) AS lab1, CAST((s_nationkey + 1) % 25 AS BIGINT) AS lab2
   FROM supplier
 """
-PERSONS_SQL = "SELECT c_custkey AS person_id, 'acct' || c_custkey AS account, CAST(c_nationkey AS BIGINT) AS lab FROM customer"
+PERSONS_SQL = "SELECT c_custkey AS person_id, 'acct' || c_custkey AS account, CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_nationkey AS BIGINT) END AS lab, c_name AS person FROM customer"
 F14_SQL = f"""
 WITH u AS ({USERS_SQL}), p AS ({PERSONS_SQL})
 SELECT user_id, 'all' AS scope, NULL::BIGINT AS lab_id, NULL::BIGINT AS person_id FROM u WHERE role IN ('global_admin', 'site_admin')
@@ -138,18 +142,18 @@ ALLOWED_SQL = f"""
 
 def allowed_for(spark, sf, user_id, person_ids):
     rules = V.access_rules(users(spark, sf), persons(spark, sf))
-    ok = V.editable_persons(rules, persons(spark, sf).select("person_id", "lab_id"), user_id)
+    ok = V.editable_persons(rules, person_labs(spark, sf), persons(spark, sf), user_id)
     return person_ids.select("person_id").distinct().join(ok, "person_id", "left_semi")
 
 
 # ------------------------------------------------------------ A3 board
 
 
-def board(spark, sf):
+def board(spark, sf, evaluator=EVALUATOR):
     links = V.first_link(keyword_links(spark, sf), KEYWORD_PROPS)
     votes = V.last_rank(vote_ranks(spark, sf))
-    allowed = allowed_for(spark, sf, EVALUATOR, links)
-    return V.scoreboard(links, votes, EVALUATOR, allowed)
+    allowed = allowed_for(spark, sf, evaluator, links)
+    return V.scoreboard(links, votes, evaluator, allowed)
 
 
 BOARD_SQL = f"""
@@ -179,12 +183,42 @@ def q_scoreboard(spark, sf):
     return board(spark, sf)
 
 
+# An administrator without votes of their own: gets an empty slot everywhere.
+LIST_EVALUATOR = 25
+LIST_SQL = f"""
+WITH fl AS ({FIRST_SQL}), u AS ({USERS_SQL}), p AS ({PERSONS_SQL}),
+lv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vote_id ORDER BY ts DESC, event_id DESC) AS rn FROM ({VOTES_SQL})) WHERE rn = 1),
+al AS (SELECT p.person_id FROM p, u WHERE u.user_id = {LIST_EVALUATOR} AND (u.role IN ('global_admin', 'site_admin')
+        OR (u.role = 'reviewer' AND p.lab IN (u.lab1, u.lab2)) OR (u.role = 'author' AND p.account = u.name))),
+given AS (SELECT lv.person_id, lv.concept_id, lv.vote_id, CAST(lv.owner_id AS BIGINT) AS owner_id, strftime(lv.ts, '%d/%m/%Y') AS created,
+                 CAST(lv.rank AS BIGINT) AS rank FROM lv JOIN fl USING (person_id, concept_id)),
+linked AS (SELECT person_id, concept_id, NULL::BIGINT AS vote_id, 0::BIGINT AS owner_id, '-' AS created, base_rank AS rank FROM fl WHERE base_rank <> 0),
+shown AS (SELECT *, CASE WHEN rank > 0 THEN 'pos' ELSE 'neg' END AS cls FROM (SELECT * FROM given UNION ALL SELECT * FROM linked)),
+slots AS (SELECT person_id, concept_id, NULL::BIGINT, {LIST_EVALUATOR}::BIGINT, '-', 0::BIGINT, 'pos' FROM fl
+          WHERE person_id IN (SELECT person_id FROM al)
+            AND NOT EXISTS (SELECT 1 FROM given g WHERE g.person_id = fl.person_id AND g.concept_id = fl.concept_id AND g.owner_id = {LIST_EVALUATOR}))
+SELECT s.person_id, s.concept_id, s.vote_id, s.owner_id, u.name AS owner_name, s.created, s.rank, s.cls,
+       CASE WHEN s.rank > 0 THEN '+' ELSE '' END AS sign
+FROM (SELECT * FROM shown UNION ALL SELECT * FROM slots) s LEFT JOIN u ON u.user_id = s.owner_id
+"""
+
+
+@register("A3_vote_list", LIST_SQL)
+def q_vote_list(spark, sf):
+    """The votes behind every linked (person, concept), with the empty slot of user 25."""
+    created = F.date_format(F.col("seq.ts"), "dd/MM/yyyy")
+    votes = vote_ranks(spark, sf).groupBy("vote_id").agg(
+        F.max_by(F.struct("person_id", "concept_id", "owner_id", "rank", created.alias("created")), "seq").alias("_v")
+    ).select("vote_id", "_v.*")
+    return V.vote_list(board(spark, sf, LIST_EVALUATOR), votes, users(spark, sf), LIST_EVALUATOR)
+
+
 def concept_titles(spark):
     return spark.createDataFrame(list(enumerate(CONCEPT_TITLES)), "concept_id bigint, title string")
 
 
 TITLES_SQL = values_sql(list(enumerate(CONCEPT_TITLES)), ["concept_id", "title"])
-F11_STATUSES = ["all", "todo", "done", "pos", "neg"]
+F11_STATUSES = V.STATUSES
 F11_TEXT = "o"
 _COND = {"all": "TRUE", "todo": "has_mine = 0", "done": "has_mine = 1", "pos": "rank_sum > 0", "neg": "rank_sum <= 0"}
 F11_SQL = "\nUNION ALL\n".join(
@@ -198,13 +232,7 @@ FROM ({BOARD_SQL}) b LEFT JOIN {TITLES_SQL} t USING (concept_id) GROUP BY person
 @register("F11_filter_scoreboard", F11_SQL)
 def q_filter_board(spark, sf):
     """Visible/total keyword counts per person for text 'o' under each status."""
-    b = cut_lineage(board(spark, sf), "board")  # read once per status
-    t = concept_titles(spark)
-    out = None
-    for st in F11_STATUSES:
-        r = V.filter_scoreboard(b, t, F11_TEXT, st)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return V.filter_scoreboard(board(spark, sf), concept_titles(spark), F11_TEXT)
 
 
 W6_SQL = f"""
@@ -225,46 +253,66 @@ def q_sort_board(spark, sf):
 
 
 def vote_events(spark, sf, before: bool):
+    """Changes after the cutoff name a person of their own for updates and
+    deletes; only the stored vote's person counts."""
     e = table(spark, sf, "events")
     cond = F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")
     e = e.where(cond if before else ~cond)
     op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("update")
+    person = F.col("user_id") if before else F.when(op == "create", F.col("user_id")).otherwise(F.col("event_id") % 100)
     return e.select(
-        op.alias("op"), (F.col("user_id") * 10 + _k() % 10).alias("vote_id"), F.col("user_id").alias("person_id"),
+        op.alias("op"), (F.col("user_id") * 10 + _k() % 10).alias("vote_id"), person.alias("person_id"),
         (_k() % 10).cast("bigint").alias("concept_id"), (F.floor("value") - 50).cast("bigint").alias("rank"),
-        (F.col("event_id") % 10).alias("user_id"), F.struct("ts", "event_id").alias("seq"),
+        (F.col("event_id") % 10).alias("user_id"), F.date_format("ts", "dd/MM/yyyy").alias("day"), F.struct("ts", "event_id").alias("seq"),
     )
 
 
 def _vote_events_sql(where: str) -> str:
     return f"""SELECT CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS op,
          user_id * 10 + k AS vote_id, user_id AS person_id, CAST(k AS BIGINT) AS concept_id,
-         CAST(floor(value) - 50 AS BIGINT) AS rank, event_id % 10 AS changer, ts, event_id
+         CAST(floor(value) - 50 AS BIGINT) AS rank, event_id % 10 AS changer, strftime(ts, '%d/%m/%Y') AS day, ts, event_id
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS k FROM events) WHERE {where}"""
 
 
+_MAY_EDIT = """u.role IN ('global_admin', 'site_admin') OR (u.role = 'reviewer' AND p.lab IN (u.lab1, u.lab2))
+          OR (u.role = 'author' AND p.account = u.name)"""
 C1_SQL = f"""
 WITH pre AS ({_vote_events_sql(f"ts < TIMESTAMP '{CUTOFF}'")}),
 target AS (SELECT vote_id, person_id, concept_id, rank, changer AS owner_id FROM (
     SELECT *, row_number() OVER (PARTITION BY vote_id ORDER BY ts DESC, event_id DESC) AS rn FROM pre) WHERE rn = 1),
 ch AS ({_vote_events_sql(f"ts >= TIMESTAMP '{CUTOFF}'")}),
-u AS ({USERS_SQL}), p AS ({PERSONS_SQL}),
-ok AS (SELECT ch.* FROM ch JOIN u ON u.user_id = ch.changer LEFT JOIN p ON p.person_id = ch.person_id
-       WHERE u.role IN ('global_admin', 'site_admin') OR (u.role = 'reviewer' AND p.lab IN (u.lab1, u.lab2))
-          OR (u.role = 'author' AND p.account = u.name)),
-last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vote_id ORDER BY ts DESC, event_id DESC) AS rn FROM ok) WHERE rn = 1),
-res AS (SELECT * FROM target WHERE vote_id NOT IN (SELECT vote_id FROM last)
-        UNION ALL SELECT vote_id, person_id, concept_id, rank, changer FROM last WHERE op <> 'delete')
-SELECT vote_id, person_id, concept_id, rank, owner_id, printf('%d / %d / %d', person_id, concept_id, rank) AS title FROM res
+u AS ({USERS_SQL}), p AS ({PERSONS_SQL}), t AS (SELECT * FROM {values_sql(list(enumerate(CONCEPT_TITLES)), ["concept_id", "title"])}),
+may AS (SELECT ch.* FROM ch JOIN u ON u.user_id = ch.changer LEFT JOIN p ON p.person_id = ch.person_id WHERE ch.op = 'create' AND ({_MAY_EDIT})),
+inc AS (SELECT *, NULL::STRUCT(ts TIMESTAMP, e BIGINT) AS since, NULL::VARCHAR AS day FROM target
+        UNION ALL SELECT vote_id, person_id, concept_id, rank, changer, {{'ts': ts, 'e': event_id}}, day FROM may),
+met AS (SELECT ch.op, ch.vote_id, ch.rank, ch.changer, ch.day, {{'ts': ch.ts, 'e': ch.event_id}} AS moment, i.person_id,
+               row_number() OVER (PARTITION BY ch.event_id ORDER BY i.since DESC NULLS LAST) AS rn
+        FROM ch JOIN inc i USING (vote_id) WHERE ch.op <> 'create' AND (i.since IS NULL OR {{'ts': ch.ts, 'e': ch.event_id}} > i.since)),
+ok AS (SELECT met.* FROM met JOIN u ON u.user_id = met.changer LEFT JOIN p ON p.person_id = met.person_id WHERE rn = 1 AND ({_MAY_EDIT})),
+del AS (SELECT vote_id, max(moment) AS gone FROM ok WHERE op = 'delete' GROUP BY 1),
+base AS (SELECT * FROM (SELECT inc.*, row_number() OVER (PARTITION BY inc.vote_id ORDER BY since NULLS FIRST) AS rn
+         FROM inc LEFT JOIN del ON del.vote_id = inc.vote_id WHERE del.gone IS NULL OR inc.since > del.gone) WHERE rn = 1),
+up AS (SELECT * FROM (SELECT ok.vote_id, ok.rank, ok.changer, ok.day, row_number() OVER (PARTITION BY ok.vote_id ORDER BY ok.moment DESC) AS rn
+       FROM ok JOIN base b ON b.vote_id = ok.vote_id WHERE ok.op = 'update' AND (b.since IS NULL OR ok.moment > b.since)) WHERE rn = 1),
+res AS (SELECT b.vote_id, b.person_id, b.concept_id, coalesce(up.rank, b.rank) AS rank, b.owner_id,
+               CASE WHEN up.vote_id IS NOT NULL THEN 'update' WHEN b.since IS NOT NULL THEN 'create' END AS kind,
+               CASE WHEN up.vote_id IS NOT NULL THEN up.changer WHEN b.since IS NOT NULL THEN b.owner_id END AS by_user, coalesce(up.day, b.day) AS day
+        FROM base b LEFT JOIN up ON up.vote_id = b.vote_id)
+SELECT res.vote_id, res.person_id, res.concept_id, res.rank, res.owner_id, res.kind, res.by_user AS user_id, res.day,
+       CASE WHEN kind IS NOT NULL THEN printf(CASE kind WHEN 'create' THEN '{V.CREATED_TITLE}' ELSE '{V.UPDATED_TITLE}' END,
+            coalesce(t.title, ''), res.rank, coalesce(p.person, ''), coalesce(u.name, ''), res.day) END AS title
+FROM res LEFT JOIN t ON t.concept_id = res.concept_id LEFT JOIN p ON p.person_id = res.person_id LEFT JOIN u ON u.user_id = res.by_user
 """
 
 
 @register("C1_apply_vote_changes", C1_SQL)
 def q_vote_changes(spark, sf):
-    """Votes before the cutoff with the later allowed create/update/delete changes applied."""
+    """Votes before the cutoff with the later create/update/delete changes applied, by the stored vote's rights."""
     pre = vote_events(spark, sf, True)
     target = pre.groupBy("vote_id").agg(
         F.max_by(F.struct("person_id", "concept_id", "rank", F.col("user_id").alias("owner_id")), "seq").alias("_v")
     ).select("vote_id", "_v.*")
     rules = V.access_rules(users(spark, sf), persons(spark, sf))
-    return V.apply_vote_changes(target, vote_events(spark, sf, False), rules, persons(spark, sf).select("person_id", "lab_id"))
+    decided, _ = V.vote_changes(target, vote_events(spark, sf, False), rules, person_labs(spark, sf))
+    concepts = concept_titles(spark).withColumnRenamed("title", "concept")
+    return V.with_vote_titles(decided, concepts, persons(spark, sf).select("person_id", "person"), users(spark, sf))

@@ -1,4 +1,6 @@
 """Search, votes and evaluation operators on hand-made rows."""
+from pyspark.sql import functions as F
+
 from scholargraph.operators import evaluate as EV
 from scholargraph.operators import search as S
 from scholargraph.operators import votes as V
@@ -75,12 +77,43 @@ def test_access_rules_and_changes(spark):
     ch = spark.createDataFrame(
         [("create", 100, 31, 1, 5, 2, 1), ("update", 100, 31, 1, 6, 4, 2), ("create", 101, 30, 1, 1, 3, 1),
          ("delete", 101, 30, 1, 1, 1, 2), ("create", 101, 30, 1, 7, 3, 3), ("create", 102, 30, 2, 1, 2, 1)],
-        "op string, vote_id bigint, person_id bigint, concept_id bigint, rank bigint, user_id bigint, seq bigint")
+        "op string, vote_id bigint, person_id bigint, concept_id bigint, rank bigint, user_id bigint, seq bigint").withColumn("day", F.lit("01/02/2024"))
     empty = spark.createDataFrame([], "vote_id bigint, person_id bigint, concept_id bigint, rank bigint, owner_id bigint")
-    out = {r["vote_id"]: (r["rank"], r["owner_id"]) for r in V.apply_vote_changes(empty, ch, rules, persons.select("person_id", "lab_id")).collect()}
+    out = {r["vote_id"]: (r["rank"], r["owner_id"]) for r in V.vote_changes(empty, ch, rules, persons.select("person_id", "lab_id"))[0].collect()}
     assert out == {100: (5, 2), 101: (7, 3)}
 
 
+def test_vote_changes_go_by_the_stored_vote(spark):
+    """Rights come from the stored vote's person, whatever person a change claims;
+    an update sets the rank alone; unknown ids are errors."""
+    users = spark.createDataFrame([(1, "adm", "global_admin", []), (3, "p3", "author", [])], "user_id bigint, name string, role string, labs array<bigint>")
+    persons = spark.createDataFrame([(30, "p3"), (31, "x")], "person_id bigint, account string")
+    labs = spark.createDataFrame([], "person_id bigint, lab_id bigint")
+    rules = V.access_rules(users, persons)
+    stored = spark.createDataFrame([(1, 31, 5, 2, 9), (2, 30, 6, 1, 9)], "vote_id bigint, person_id bigint, concept_id bigint, rank bigint, owner_id bigint")
+    ch = spark.createDataFrame(
+        [("delete", 1, 30, 5, 0, 3, 1), ("update", 2, 31, 7, 4, 3, 2), ("update", 77, 30, 5, 1, 1, 3), ("create", 2, 30, 6, 9, 3, 4)],
+        "op string, vote_id bigint, person_id bigint, concept_id bigint, rank bigint, user_id bigint, seq bigint").withColumn("day", F.lit("01/02/2024"))
+    decided, errors = V.vote_changes(stored, ch, rules, labs)
+    rows = {r["vote_id"]: r for r in decided.collect()}
+    assert set(rows) == {1, 2} and rows[1]["kind"] is None
+    assert tuple(rows[2])[:6] == (2, 30, 6, 4, 9, "update")
+    assert {(r["vote_id"], r["op"]): r["reason"] for r in errors.collect()} == {
+        (1, "delete"): "not allowed", (77, "update"): "unknown vote", (2, "create"): "vote exists"}
+    concepts = spark.createDataFrame([(6, "Six")], "concept_id bigint, concept string")
+    names = persons.select("person_id", F.col("account").alias("person"))
+    titles = {r["vote_id"]: r["title"] for r in V.with_vote_titles(decided, concepts, names, users).collect()}
+    assert titles == {1: None, 2: "Expertise -> Six = 4 - pour p3 fait par p3 le 01/02/2024"}
+
+
+def test_administrators_edit_persons_without_a_lab(spark):
+    users = spark.createDataFrame([(1, "adm", "global_admin", [])], "user_id bigint, name string, role string, labs array<bigint>")
+    persons = spark.createDataFrame([(30, "a"), (31, "b")], "person_id bigint, account string")
+    labs = spark.createDataFrame([(30, 6)], "person_id bigint, lab_id bigint")
+    got = V.editable_persons(V.access_rules(users, persons), labs, persons, 1).collect()
+    assert sorted(r[0] for r in got) == [30, 31]
+
+
 def test_parse_and_axes(spark):
     good = '{"evaluations":[{"id":"1","name":"N","scores":{"arts":80,"care":40,"democratie":10,"transitions":0},"justification":"j"}]}'
     rows = [(1, 9, ["a", "b"], "```json\n" + good + "\n```"), (2, 9, [], good), (3, 9, ["a"], good[:30]),
