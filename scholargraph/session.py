@@ -2,24 +2,26 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(master: str | None = None, partitions: int = 8, app: str = "scholargraph") -> SparkSession:
+def get_session(master: str | None = None, partitions: int | None = None, app: str = "scholargraph") -> SparkSession:
     """Session tuned for the library: AQE on, UTC clock, no web UI.
 
-    On a cluster the master and memory come from spark-submit; only the
-    settings below are ours.
+    On a cluster the master, memory and number of shuffle partitions come from
+    spark-submit; only the settings below are ours, and ``partitions`` if given.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     spark = (
-        builder.config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -36,11 +38,14 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "scho
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (tests, local runs) a scratch
-    folder is created here.
+    A cluster names it. Only a local run, where driver and executors are one
+    process, gets a scratch folder when it is unset; elsewhere executors would
+    write to disks of their own, so that is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="sg-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     try:

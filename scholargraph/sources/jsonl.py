@@ -44,12 +44,13 @@ def scan_jsonl(lines: DataFrame, schema: str = schemas.PERSON) -> DataFrame:
     )
 
 
-def import_persons(lines: DataFrame, schema: str = schemas.PERSON) -> tuple[DataFrame, DataFrame]:
+def import_persons(lines: DataFrame, schema: str = schemas.PERSON, name_max: int | None = NAME_MAX) -> tuple[DataFrame, DataFrame]:
     """Split lines into valid person rows and rejects.
 
     Valid: decodes and has a non-empty id (null, '' and '0' are empty).
-    Output valid ``(seq, id, fullName, data)`` with the name cut to 512
-    characters and the trimmed line as ``data``; rejects ``(seq, line,
+    Output valid ``(seq, id, fullName, data)`` with the trimmed line as
+    ``data``, which keeps the whole name; ``fullName`` is cut to ``name_max``
+    characters, the width of the person table's column (None: not cut); rejects ``(seq, line,
     reason)``. Blank lines are neither.
     """
     t = lines.select("seq", strip_ws("value").alias("line")).where(F.col("line") != "")
@@ -64,7 +65,7 @@ def import_persons(lines: DataFrame, schema: str = schemas.PERSON) -> tuple[Data
     reason = F.when(~F.col("_ok"), F.lit("undecodable")).when(php_empty("id"), F.lit("empty id"))
     t = t.withColumn("reason", reason)
     valid = t.where(F.col("reason").isNull()).select(
-        "seq", "id", F.substring("fullName", 1, NAME_MAX).alias("fullName"), F.col("line").alias("data")
+        "seq", "id", (F.substring("fullName", 1, name_max) if name_max else F.col("fullName")).alias("fullName"), F.col("line").alias("data")
     )
     rejects = t.where(F.col("reason").isNotNull()).select("seq", "line", "reason")
     return valid, rejects

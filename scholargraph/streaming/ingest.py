@@ -5,9 +5,11 @@ The stream is ``readStream.text(drop_dir)`` with ``trigger(availableNow=True)``:
 each run processes the files that arrived since the last one, then stops.
 The checkpoint (in the shared folder named by ``spark.checkpoint.dir``
 unless given) records which files were done, so a restarted or failed run
-resumes exactly there. Each micro-batch writes a new table version
-``<table>/v=<batch_id>``; a rerun of the same batch overwrites only that
-version, so the write is idempotent.
+resumes exactly there. Each micro-batch writes the table's next version
+``<table>/v=<n>``, numbered from the versions there are and not from the
+batch, so a new checkpoint goes on with the table as it is. A batch that runs
+again upserts the same rows and changes nothing. Rejected lines go to
+``<table>_rejects/v=<n>``.
 """
 from __future__ import annotations
 
@@ -47,21 +49,26 @@ def read_current(spark: SparkSession, table_dir: str) -> DataFrame | None:
 
 
 def merge_batch(spark: SparkSession, table_dir: str, batch: DataFrame, batch_id: int) -> None:
-    """Validate one micro-batch of lines and upsert it into a new table version."""
+    """Validate one micro-batch of lines and upsert it into the next table version.
+
+    Later lines win: lines are ordered by batch, file, place of their block in
+    the file, and row (which ascends within a block)."""
     lines = batch.select(
         "value",
-        F.struct(F.lit(batch_id).cast("bigint").alias("batch"), F.col("_file").alias("file"),
+        F.struct(F.lit(batch_id).cast("bigint").alias("batch"), F.col("_file").alias("file"), F.col("_block").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("seq"),
     )
-    valid, _rejects = import_persons(lines)
+    valid, rejects = import_persons(lines)
+    versions = _versions(spark, table_dir)
+    version = versions[-1] + 1 if versions else 0
     new = valid.withColumn("imported_at", F.current_timestamp()).select(*TABLE_COLS, "seq")
-    prev = [v for v in _versions(spark, table_dir) if v < batch_id]
-    if prev:
-        current = spark.read.parquet(f"{table_dir.rstrip('/')}/v={prev[-1]}")
+    if versions:
+        current = spark.read.parquet(f"{table_dir.rstrip('/')}/v={versions[-1]}")
         out = upsert_by_key(current, new, ["id"], "seq")
     else:
         out = upsert_by_key(new.limit(0).drop("seq"), new, ["id"], "seq")
-    out.select(*TABLE_COLS).write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v={batch_id}")
+    rejects.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}_rejects/v={version}")
+    out.select(*TABLE_COLS).write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v={version}")
 
 
 def start_import(spark: SparkSession, drop_dir: str, table_dir: str, checkpoint: str | None = None,
@@ -72,7 +79,8 @@ def start_import(spark: SparkSession, drop_dir: str, table_dir: str, checkpoint:
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.load(drop_dir).select("value", F.col("_metadata.file_path").alias("_file"))
+    lines = reader.load(drop_dir).select("value", F.col("_metadata.file_path").alias("_file"),
+                                          F.col("_metadata.file_block_start").alias("_block"))
     return (
         lines.writeStream.foreachBatch(lambda df, bid: merge_batch(spark, table_dir, df, bid))
         .option("checkpointLocation", checkpoint)

@@ -105,7 +105,7 @@ def main(argv=None):
     from scholargraph.plans import catalog
     from scholargraph.session import get_session
 
-    spark = get_session("local[8]")
+    spark = get_session("local[8]", partitions=8)
     spark.sparkContext.setLogLevel("OFF")
     bad = 0
     for name, fn in sorted(catalog.QUERIES.items()):

@@ -37,3 +37,14 @@ def test_one_file_per_batch_chains_versions(spark, tmp_path):
     start_import(spark, str(drop), table, str(tmp_path / "ck"), max_files_per_trigger=1).awaitTermination()
     got = {r["id"]: r["fullName"] for r in read_current(spark, table).collect()}
     assert got == {"k": "v2", "a": "a", "b": "b", "c": "c"}
+
+
+def test_a_new_checkpoint_goes_on_with_the_table(spark, tmp_path):
+    drop, table = tmp_path / "drop", str(tmp_path / "table")
+    drop.mkdir()
+    _write(drop / "a.jsonl", [{"id": "1", "fullName": "A"}, "{broken"])
+    start_import(spark, str(drop), table, str(tmp_path / "ck1")).awaitTermination()
+    assert [r["reason"] for r in spark.read.parquet(f"{table}_rejects/v=0").collect()] == ["undecodable"]
+    _write(drop / "b.jsonl", [{"id": "2", "fullName": "B"}])
+    start_import(spark, str(drop), table, str(tmp_path / "ck2")).awaitTermination()
+    assert {r["id"] for r in read_current(spark, table).collect()} == {"1", "2"}
