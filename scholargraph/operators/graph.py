@@ -208,14 +208,17 @@ def resolve_orgs(structures: DataFrame, statements: DataFrame, exact: bool = Fal
     'id%'``, wildcards literal) is an equi-join: each stored reference is
     cut to every distinct structure-id length of the batch (a short list
     read from the batch) and joined on equality. ``exact=True`` asks for
-    equal references. Returns ``(resolved, new_statements)`` as J2.
+    equal references. Oldest is the smallest ``value_id`` where statements
+    have one, else the smallest item. Label and kinds come from one record.
+    Returns ``(resolved, new_statements)`` as J2.
     """
     s = structures.where(F.col("structure_id").isNotNull()).groupBy("structure_id").agg(
-        F.min("label").alias("label"), F.min("kinds").alias("kinds")
-    )
-    refs = statements.where((F.col("property") == REFERENCED_BY) & F.col("value").isNotNull()).select("item_id", "value")
+        F.min(F.struct("label", "kinds")).alias("_r")
+    ).select("structure_id", "_r.label", "_r.kinds")
+    age = F.col("value_id") if "value_id" in statements.columns else F.col("item_id")
+    refs = statements.where((F.col("property") == REFERENCED_BY) & F.col("value").isNotNull()).select("item_id", "value", age.alias("_age"))
     if exact:
-        cut = refs.select("item_id", F.col("value").alias("structure_id"))
+        cut = refs.select("item_id", "_age", F.col("value").alias("structure_id"))
     else:
         lens = [r[0] for r in s.select(F.length("structure_id")).distinct().collect()]
         if not lens:
@@ -223,10 +226,11 @@ def resolve_orgs(structures: DataFrame, statements: DataFrame, exact: bool = Fal
         arr = F.array(*[F.lit(n) for n in sorted(lens)])
         cut = refs.select(
             "item_id",
+            "_age",
             F.explode(F.transform(F.filter(arr, lambda n: n <= F.length("value")), lambda n: F.substring("value", 1, n))).alias("structure_id"),
         )
     found = cut.join(s.select("structure_id"), "structure_id", "left_semi").groupBy("structure_id").agg(
-        F.min("item_id").alias("found_id")
+        F.min_by("item_id", F.struct("_age", "item_id")).alias("found_id")
     )
     r = s.join(found, "structure_id", "left")
     resolved = r.select(

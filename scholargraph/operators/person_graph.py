@@ -71,13 +71,14 @@ def group_publications(pubs: DataFrame) -> DataFrame:
 
 
 def affiliation_links(affiliations: DataFrame, org_ids: DataFrame) -> DataFrame:
-    """P5: one person-to-organisation link per affiliation having a label.
+    """P5: one person-to-organisation link per affiliation with a label (an
+    empty label is one).
 
     ``affiliations(person_id, pos, structure_id, structure_label,
     publications_count, start_date, end_date)``; ``org_ids(structure_id,
     item_id)`` from J3. The link carries the annotation values.
     """
-    a = affiliations.where(~is_blank("structure_label"))
+    a = affiliations.where(F.col("structure_label").isNotNull())
     return a.join(org_ids, "structure_id", "left").select(
         "person_id",
         "pos",

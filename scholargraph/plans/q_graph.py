@@ -231,7 +231,8 @@ def org_structures(spark, sf):
 def org_ref_statements(spark, sf):
     s = table(spark, sf, "supplier").where(F.col("s_suppkey") % 4 != 0)
     ref = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("-"), F.col("s_nationkey").cast("string"))
-    return _stmt(s, F.col("s_suppkey") * 10 + 4, G.REFERENCED_BY, "literal", ref)
+    # later items hold older values, so the oldest value is not the smallest item
+    return _stmt(s, F.col("s_suppkey") * 10 + 4, G.REFERENCED_BY, "literal", ref).withColumn("value_id", -F.col("item_id"))
 
 
 J3_CORE_SQL = f"""
@@ -240,7 +241,7 @@ J3_CORE_SQL = f"""
         FROM (SELECT DISTINCT l_suppkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey),
   refs AS (SELECT s_suppkey * 10 + 4 AS item_id, 'S' || s_suppkey || '-' || s_nationkey AS value
            FROM supplier WHERE s_suppkey % 4 <> 0),
-  f AS (SELECT s.structure_id, min(refs.item_id) AS found_id FROM s JOIN refs ON starts_with(refs.value, s.structure_id) GROUP BY 1),
+  f AS (SELECT s.structure_id, max(refs.item_id) AS found_id FROM s JOIN refs ON starts_with(refs.value, s.structure_id) GROUP BY 1),
   j3 AS (SELECT s.structure_id, s.label,
                 coalesce(f.found_id, {_hash_sql("'org' || chr(1) || s.structure_id")}) AS item_id,
                 CASE WHEN f.found_id IS NULL THEN 'created' ELSE 'found' END AS status,
@@ -260,14 +261,14 @@ def q_resolve_orgs(spark, sf):
 P5_SQL = f"""
 WITH {J3_CORE_SQL},
 a AS (SELECT o.o_custkey AS person_id, {STRUCTURE_ID_SQL} AS structure_id,
-             CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE any_value(s_name) END AS label,
+             CASE WHEN s_suppkey % 22 = 0 THEN '' WHEN s_suppkey % 11 <> 0 THEN any_value(s_name) END AS label,
              count(*) AS publications_count, strftime(min(l_shipdate), '%Y-%m-%d') AS start_date,
              strftime(max(l_shipdate), '%Y-%m-%d') AS end_date
       FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier ON l.l_suppkey = s_suppkey
       GROUP BY o.o_custkey, s_suppkey)
 SELECT a.person_id, a.structure_id, j3.item_id AS org_item_id, CAST(a.publications_count AS VARCHAR) AS publications_count,
        a.start_date, a.end_date
-FROM a LEFT JOIN j3 USING (structure_id) WHERE trim(a.label) <> ''
+FROM a LEFT JOIN j3 USING (structure_id) WHERE a.label IS NOT NULL
 """
 
 
@@ -281,7 +282,7 @@ def q_affiliations(spark, sf):
     a = affiliation_entries(spark, sf)
     a = a.withColumn("structure_id", F.when(F.col("l_suppkey") % 9 == 0, F.concat(F.lit("ED"), F.col("l_suppkey").cast("string")))
                      .otherwise(F.col("structure_id")))
-    a = a.withColumn("structure_label", F.when(F.col("l_suppkey") % 11 == 0, F.lit("")).otherwise(F.col("structure_label")))
+    a = a.withColumn("structure_label", F.when(F.col("l_suppkey") % 22 == 0, F.lit("")).when(F.col("l_suppkey") % 11 != 0, F.col("structure_label")))
     resolved, _ = G.resolve_orgs(org_structures(spark, sf), org_ref_statements(spark, sf))
     links = pg.affiliation_links(a, resolved.select("structure_id", "item_id"))
     return links.drop("pos")
@@ -316,7 +317,7 @@ def q_coauthors(spark, sf):
 
 
 def new_person_statements(spark, sf):
-    c = table(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0)
+    c = table(spark, sf, "customer")
     ck = F.col("c_custkey")
     k = ck.cast("string")
     return long_statements(c, ck * 10 + 1, [
@@ -330,14 +331,14 @@ def new_person_statements(spark, sf):
 
 NEW_STMTS_SQL = """
   SELECT c_custkey * 10 + 1 AS item_id, 'dcterms:title' AS property, 'literal' AS type, c_name AS value,
-         NULL::VARCHAR AS uri, NULL::VARCHAR AS label FROM customer WHERE c_custkey % 3 <> 0
-  UNION ALL SELECT c_custkey * 10 + 1, 'foaf:familyName', 'literal', c_mktsegment, NULL, NULL FROM customer WHERE c_custkey % 3 <> 0
+         NULL::VARCHAR AS uri, NULL::VARCHAR AS label FROM customer
+  UNION ALL SELECT c_custkey * 10 + 1, 'foaf:familyName', 'literal', c_mktsegment, NULL, NULL FROM customer
   UNION ALL SELECT c_custkey * 10 + 1, 'foaf:familyName', 'literal', c_mktsegment, NULL, NULL FROM customer
-    WHERE c_custkey % 3 <> 0 AND c_custkey % 11 = 0
+    WHERE c_custkey % 11 = 0
   UNION ALL SELECT c_custkey * 10 + 1, 'dcterms:isReferencedBy', 'uri', NULL, 'https://orcid.org/' || c_custkey, 'orcid:' || c_custkey
-    FROM customer WHERE c_custkey % 3 <> 0
+    FROM customer
   UNION ALL SELECT c_custkey * 10 + 1, 'dcterms:identifier', 'literal', 'person:' || c_custkey, NULL, NULL FROM customer
-    WHERE c_custkey % 3 <> 0 AND c_custkey % 5 = 0
+    WHERE c_custkey % 5 = 0
 """
 KEY_SQL = "CASE WHEN type = 'uri' THEN 'u:' || coalesce(uri, '') ELSE 'v:' || coalesce(value, '') END"
 

@@ -69,9 +69,40 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+#: Folders of the intermediate tables that this process has written.
+_WRITTEN: list[str] = []
+
+
+class IntermediateTables:
+    """Deletes, at the end of the block, the intermediate tables written in it.
+
+    For use around a result that has been written somewhere else: what is
+    built in the block must not be read afterwards. ``keep`` names a frame
+    whose own table stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept, self.start = spark, set(), len(_WRITTEN)
+
+    def __enter__(self) -> IntermediateTables:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept |= {p for p in _WRITTEN[self.start :] if any(p.rpartition("/")[2] in f for f in df.inputFiles()[:1])}
+        return df
+
+    def __exit__(self, *error) -> None:
+        jvm = self.spark._jvm
+        for path in [p for p in _WRITTEN[self.start :] if p not in self.kept]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _WRITTEN.remove(path)
+
+
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 
