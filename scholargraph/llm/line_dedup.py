@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholargraph.llm.common import sieve, sifted, split_rows, text_or_empty, written
@@ -13,6 +13,8 @@ from scholargraph.llm.words import hash_words, lower_ascii, mix
 
 #: Bytes of text and number of lines taken through the array operations at once.
 _CHUNK_BYTES, _CHUNK_LINES = 1 << 21, 1 << 16
+#: Lines of a bucket that the others of it are compared with before the join.
+_HUBS = 8
 #: Counters of the word-frequency sketch (a power of two) and bits of a token hash.
 _COUNTERS, _HASH_BITS = 1 << 17, 48
 
@@ -90,9 +92,11 @@ class Lines:
                 np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == w, bit, 0).astype(np.uint64), self.first).view(np.int64)
                 for w in (0, 1)
             ]
+            #: Smallest token under two hash functions: near copies mostly share one.
+            self.mins = [np.minimum.reduceat(mix(self.tokens ^ np.uint64(r)), self.first).view(np.int64) for r in (0x5DEECE66D, 0xB5026F5AA)]
         else:
             self.key = np.zeros(0, np.int64)
-            self.parities = [self.key, self.key]
+            self.parities = self.mins = [self.key, self.key]
 
     def heads(self, which: np.ndarray, lengths: np.ndarray, kind: type = np.int64) -> pa.ListArray:
         """The first ``lengths`` tokens of the lines ``which`` (their low bits,
@@ -135,10 +139,11 @@ def _lines(counts: np.ndarray, percent: int):
                         pa.array(lines.key),
                         pa.array(lines.size.astype(np.int32)),
                         *map(pa.array, lines.parities),
+                        *map(pa.array, lines.mins),
                         # candidates may be too many but not too few: 32 bits of a token are enough
                         lines.heads(_new(lines.key, seen) & joins, prefix, np.int32),
                     ],
-                    ["_id", "line", "key", "size", "p", "q", "prefix"],
+                    ["_id", "line", "key", "size", "p", "q", "m1", "m2", "prefix"],
                 )
 
     return run
@@ -205,6 +210,11 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
        not differ in more places than the sets may in tokens.
     3. What meets is confirmed on the whole sets, read again for those classes.
 
+    Before step 2 every class is compared with the first 8 lines that share its
+    smallest token under either of two hash functions. Lines that this settles
+    are not paired with each other any more, so a group of near copies costs
+    its size and not its square; what is found does not depend on it.
+
     Null texts are empty; rows that share an id count as one document; rows
     with a null id are left alone; other columns are not read.
     """
@@ -218,50 +228,72 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     # counts above 16 bits are as common as can be told
     counts = np.minimum(counts, 0xFFFF).astype(np.uint16)
 
-    lines = docs.mapInArrow(_lines(counts, percent), "_id long, line int, key long, size int, p long, q long, prefix array<int>")
+    lines = docs.mapInArrow(_lines(counts, percent), "_id long, line int, key long, size int, p long, q long, m1 long, m2 long, prefix array<int>")
     lines = written(lines, "lines")
     classes = lines.groupBy("key").agg(F.min(F.struct("_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "line-classes")
 
     # several tasks may bring a line that repeats; other lines need no shuffle to be brought once
-    heads = lines.where("prefix is not null").select("key", "size", "p", "q", "prefix")
-    heads = sifted(heads, sieve(classes.where("n > 1"), ["key"]), ["key"])
-    many = heads.where("_hit").groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "p", "q", "prefix")])
-    one = heads.where("not _hit").drop("_hit").unionByName(many)
-    # token, place and size in one word: what is shuffled is four words a row
-    met = one.select("key", "size", "p", "q", F.posexplode("prefix").alias("at", "token"))
-    token = F.shiftleft(F.col("token").cast("long"), 32)
+    rows = lines.where("prefix is not null").withColumn("place", F.struct("_id", "line"))
+    rows = rows.select("key", "place", "size", "p", "q", "m1", "m2", "prefix")
+    rows = sifted(rows, sieve(classes.where("n > 1"), ["key"]), ["key"])
+    many = rows.where("_hit").groupBy("key").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in rows.columns[2:-1]])
+    one = rows.where("not _hit").drop("_hit").unionByName(many)
+
+    def near(n, p, q, m, r, s):
+        """Whether sets of n and m tokens with these parities can reach the threshold."""
+        differ = F.bit_count(p.bitwiseXOR(r)) + F.bit_count(q.bitwiseXOR(s))
+        return F.lit(100 + percent) * differ <= F.lit(100 - percent) * (n + m)
+
+    def later(pairs: DataFrame) -> DataFrame:
+        """Of every pair (a, b) that is similar, the class that comes later."""
+        wanted = _bits(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
+        sets = docs.select("_text").mapInArrow(_sets(counts, wanted), "key long, tokens array<long>").dropDuplicates(["key"])
+        sets = written(sets, "line-sets")
+        x = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
+        y = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
+        similar = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+        firsts = classes.select("key", "first")
+        found = (
+            similar.join(firsts.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a")
+            .join(firsts.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
+            .select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("key"))
+        )
+        return written(found.distinct(), "later-lines")
+
+    # near copies meet the first lines that share their smallest token under a hash function
+    buckets = one.select("key", "place", "size", "p", "q", F.explode(F.array("m1", "m2")).alias("m"))
+    by_place = Window.partitionBy("m").orderBy("place")
+    firsts = buckets.withColumn("_k", F.row_number().over(by_place)).where(F.col("_k") <= _HUBS)
+    hubs = firsts.select("m", F.struct("place", "key", "size", "p", "q").alias("hub"))
+    stars = buckets.join(hubs, "m").where(F.col("hub.place") < F.col("place"))
+    stars = stars.where(near(*[F.col(c) for c in ("size", "p", "q", "hub.size", "hub.p", "hub.q")]))
+    ends = F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")
+    settled = later(written(stars.select(*ends).distinct(), "line-stars"))
+
+    # token, place, size and whether the line is settled in one word: four words a row are shuffled
+    flagged = sifted(one, sieve(settled, ["key"]), ["key"])
+    sure = flagged.where("_hit").drop("_hit").join(settled.withColumn("_settled", F.lit(1)), "key", "left")
+    flagged = flagged.where("not _hit").drop("_hit").withColumn("_settled", F.lit(0)).unionByName(sure)
+    met = flagged.select("key", "size", "p", "q", F.coalesce("_settled", F.lit(0)).alias("_settled"), F.posexplode("prefix").alias("at", "token"))
     # a place or a size too large for its bits counts as the largest that fits, which filters less
-    low = F.shiftleft(F.least("at", F.lit((1 << 12) - 1)).cast("long"), 20).bitwiseOR(F.least("size", F.lit((1 << 20) - 1)).cast("long"))
-    met = met.select(token.bitwiseOR(low).alias("w"), "key", "p", "q")
+    low = F.shiftleft(F.least("at", F.lit((1 << 12) - 1)).cast("long"), 20)
+    low = low.bitwiseOR(F.shiftleft(F.least("size", F.lit((1 << 19) - 1)).cast("long"), 1)).bitwiseOR(F.col("_settled").cast("long"))
+    met = met.select(F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(low).alias("w"), "key", "p", "q")
     side = lambda names: met.select(*[F.col(c).alias(n) for c, n in zip(("w", "key", "p", "q"), names)])
     x, y = side(("w", "a", "p", "q")), side(("v", "b", "r", "s"))
-    size = lambda w: F.col(w).bitwiseAND(F.lit((1 << 20) - 1))
-    at = lambda w: F.shiftrightunsigned(F.col(w), 20).bitwiseAND(F.lit((1 << 12) - 1))
-    both = size("w") + size("v")
+    size = lambda w: F.shiftrightunsigned(F.col(w), 1).bitwiseAND(F.lit((1 << 19) - 1))
+    left = lambda w: size(w) - F.shiftrightunsigned(F.col(w), 20).bitwiseAND(F.lit((1 << 12) - 1))
     # the first token that two sets share has all their common tokens at or after it
-    room = F.least(size("w") - at("w"), size("v") - at("v")) * F.lit(100 + percent) >= F.lit(percent) * both
-    differ = F.bit_count(F.col("p").bitwiseXOR(F.col("r"))) + F.bit_count(F.col("q").bitwiseXOR(F.col("s")))
-    near = F.lit(100 + percent) * differ <= F.lit(100 - percent) * both
+    room = F.least(left("w"), left("v")) * F.lit(100 + percent) >= F.lit(percent) * (size("w") + size("v"))
+    # of two settled lines neither has anything left to find
+    open_ = F.col("w").bitwiseAND(F.col("v")).bitwiseAND(F.lit(1)) == 0
     same = F.shiftright(F.col("w"), 32) == F.shiftright(F.col("v"), 32)
-    pairs = x.join(y, same & (F.col("a") < F.col("b")) & room & near)
-    pairs = written(pairs.select("a", "b").distinct(), "line-pairs")
-
-    wanted = _bits(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
-    sets = docs.select("_text").mapInArrow(_sets(counts, wanted), "key long, tokens array<long>").dropDuplicates(["key"])
-    sets = written(sets, "line-sets")
-    x, y = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
-    similar = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
-    # the class whose first occurrence is the later one loses that one too
-    firsts = classes.select("key", "first")
-    later = (
-        similar.join(firsts.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a")
-        .join(firsts.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
-        .select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("key"))
-        .distinct()
-        .withColumn("_later", F.lit(True))
-    )
-    decided = classes.join(later, "key", "left").where("n > 1 or _later")
+    close = near(size("w"), F.col("p"), F.col("q"), size("v"), F.col("r"), F.col("s"))
+    pairs = x.join(y, same & (F.col("a") < F.col("b")) & open_ & room & close)
+    found = later(written(pairs.select("a", "b").distinct(), "line-pairs"))
+    later_ones = settled.unionByName(found).distinct().withColumn("_later", F.lit(True))
+    decided = classes.join(later_ones, "key", "left").where("n > 1 or _later")
     removed = lines.select("_id", "line", "key").join(decided, "key")
     removed = removed.where("_later or first._id <> _id or first.line <> line")
     return removed.groupBy(F.col("_id").alias(id_col)).agg(F.array_sort(F.collect_set("line")).alias("removed"))
