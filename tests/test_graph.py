@@ -23,10 +23,13 @@ def test_merge_domains_rules(spark):
 
 
 def test_group_publications_roles_first_seen(spark):
-    rows = [(1, 1, "p", "T1", "2020", "B"), (1, 2, "p", "T2", "2021", "A"), (1, 3, "p", "T3", "2022", "B"), (1, 4, "q", "", "2020", "A")]
+    rows = [(1, 1, "p", "T1", "2020", "B"), (1, 2, "p", "T2", "2021", "A"), (1, 3, "p", "T3", "2022", "B"), (1, 4, "q", "", "2020", "A"),
+            (1, 5, "r", None, "2020", "A")]
     d = spark.createDataFrame(rows, "person_id bigint, pos bigint, publication string, title string, year string, role string")
-    out = pg.group_publications(d).collect()
-    assert len(out) == 1 and out[0]["title"] == "T1" and out[0]["roles"] == ["B", "A"]
+    # an entry is untitled when its title is not set; an empty title is set
+    out = {r["publication"]: r for r in pg.group_publications(d).collect()}
+    assert set(out) == {"p", "q"} and out["q"]["title"] == ""
+    assert out["p"]["title"] == "T1" and out["p"]["roles"] == ["B", "A"]
 
 
 def test_resolve_orgs_prefix_and_exact(spark):
