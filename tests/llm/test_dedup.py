@@ -209,3 +209,73 @@ def test_spans_and_edits():
     assert passages.edits(a, np.array([1, 2, 9, 4, 5])) == 1
     assert passages.edits(a, np.array([1, 3, 4, 5, 6])) == 2
     assert passages.edits(a, np.array([], int)) == 5
+
+
+def found_words(docs, **more):
+    spans = merged_spans(passages.repeated_passages(docs, **more)).collect()
+    return {(r["doc"], w) for r in spans for s in r["spans"] for w in range(s["start"], s["end"])}
+
+
+def test_passages_quoted_in_part_by_other_documents_are_found(spark):
+    """Against brute force over all runs of 50 words, with partial quotes of
+    every passage before and after several whole copies."""
+    rnd, texts = random.Random(5), []
+    for g in range(12):
+        whole = prose(500 + g, 80).split()
+        cut = 40 + rnd.randrange(-8, 9)
+        parts = [whole[:cut], whole[80 - cut :], whole, whole, whole, whole, whole[:cut], whole[80 - cut :]]
+        for i, part in enumerate(parts):
+            texts.append((100 * i + g, " ".join([prose(1000 + 10 * g + i, 30), *part, prose(2000 + 10 * g + i, 30)])))
+    texts.append((900, texts[2][1] + " " + texts[3][1]))
+    first, expected = {}, set()
+    for i, t in sorted(texts):
+        ws = words(t)
+        for j in range(len(ws) - 49):
+            if first.setdefault(tuple(ws[j : j + 50]), i) < i:
+                expected |= {(i, w) for w in range(j, j + 50)}
+    assert len(expected) > 12 * 3 * 80
+    got = found_words(documents(spark, texts))
+    assert expected <= got
+    # what is more must be near repeats at the ends of those
+    assert len(got - expected) < 0.02 * len(expected)
+
+
+def alike(same):
+    """Places in stretches of 50 or more of which every beginning and every end
+    agrees in 80 % or more."""
+    score, out = np.concatenate(([0], np.cumsum(np.where(same, 1, -4)))), set()
+    for a in range(len(same) - 49):
+        for b in range(a + 50, len(same) + 1):
+            part = score[a : b + 1]
+            if part.min() == part[0] and part.max() == part[-1]:
+                out |= set(range(a, b))
+    return out
+
+
+def test_near_passages_against_brute_force(spark):
+    """Copies with changes at even steps and at random, 80 to 90 % alike."""
+    rnd, texts, truth = random.Random(8), [], {}
+    cells = [(percent, n, even) for percent in (80, 85, 90) for n in (50, 60, 80, 120) for even in (True, False)]
+    for c, (percent, n, even) in enumerate(cells):
+        for i in range(6):
+            seed = 10_000 + 100 * c + 4 * i
+            whole = prose(seed, n).split()
+            changes = n * (100 - percent) // 100
+            step = n / changes
+            at = [int(step * j + step / 2) for j in range(changes)] if even else rnd.sample(range(n), changes)
+            near = ["w%d" % j if j in set(at) else w for j, w in enumerate(whole)]
+            head = [prose(seed + j, 40) for j in (1, 2, 3)]
+            texts.append((1000 * c + 2 * i, " ".join([head[0], *whole, head[1]])))
+            texts.append((1000 * c + 2 * i + 1, " ".join([head[2], *near, head[0][::-1]])))
+            same = np.array([j not in set(at) for j in range(n)])
+            truth[1000 * c + 2 * i + 1] = (c, {40 + w for w in alike(same)})
+    got = found_words(documents(spark, texts))
+    have, all_words = Counter(), Counter()
+    for doc, (c, expected) in truth.items():
+        key = cells[c][0]
+        all_words[key] += len(expected)
+        have[key] += sum((doc, w) in got for w in expected)
+    recall = {key: have[key] / all_words[key] for key in all_words}
+    print(recall)
+    assert min(recall.values()) >= 0.98
+    assert {doc for doc, _ in got} <= set(truth)
