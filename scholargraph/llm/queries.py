@@ -16,6 +16,7 @@ from scholargraph.llm.packing import pack_documents
 from scholargraph.llm.passages import repeated_passages
 from scholargraph.llm.quality import fit, held_out, score
 from scholargraph.llm.sharding import shard_by_bytes
+from scholargraph.llm.spelling import spelling_variants
 from scholargraph.llm.substrings import repeated_spans, without_spans
 
 #: Folder of public tokenizer files, the same on every node; None: that of the installed package.
@@ -159,3 +160,54 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 4-word shingles reach 0.8."""
     return near_duplicates(documents(spark, sf_dir), k=4, percent=80)
+
+
+@query(
+    "op11_spelling_variants",
+    r"""
+    WITH RECURSIVE crc AS (
+      SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j:
+               CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+    runs AS (
+      SELECT doc_id, run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+      GROUP BY ALL),
+    hashed AS (
+      SELECT run, n, xor(4294967295, list_reduce(
+               list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'),
+                              lambda x: CAST('0x' || x AS BIGINT)),
+               lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]), 4294967295)) AS h
+      FROM runs, crc),
+    words AS (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n
+      FROM (SELECT CASE WHEN h % 199 = 0
+                        THEN left(run, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2)
+                        ELSE run END AS word, n
+            FROM hashed)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    cuts AS (
+      SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS rest
+      FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+    near AS (
+      SELECT DISTINCT word, n, other, other_n FROM (
+        SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b USING (rest, i) WHERE a.word <> b.word
+        UNION ALL SELECT a.word, a.n, w.word, w.n FROM cuts a JOIN words w ON w.word = a.rest
+        UNION ALL SELECT w.word, w.n, a.word, a.n FROM cuts a JOIN words w ON w.word = a.rest)),
+    best AS (
+      SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n
+      FROM near GROUP BY word),
+    forms AS (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form,
+             CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+      FROM words w LEFT JOIN best USING (word)),
+    steps AS (
+      SELECT word, word AS at FROM forms
+      UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.at WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n
+    FROM forms f JOIN steps s USING (word) JOIN forms e ON e.word = s.at WHERE e.form IS NULL
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one run in 199 damaged, with the form each varies."""
+    return spelling_variants(documents(spark, sf_dir), damage=199)
