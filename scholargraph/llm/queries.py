@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scholargraph.llm.bpe import encode_documents
 from scholargraph.llm.common import documents, merged_spans
 from scholargraph.llm.exact_dedup import exact_dedup
+from scholargraph.llm.lexical import ranked_search
 from scholargraph.llm.line_dedup import repeated_lines
 from scholargraph.llm.minhash import near_duplicates
 from scholargraph.llm.neighbours import nearest
@@ -18,6 +19,7 @@ from scholargraph.llm.quality import fit, held_out, score
 from scholargraph.llm.sharding import shard_by_bytes
 from scholargraph.llm.spelling import spelling_variants
 from scholargraph.llm.substrings import repeated_spans, without_spans
+from scholargraph.llm.syncmers import fingerprints
 
 #: Folder of public tokenizer files, the same on every node; None: that of the installed package.
 TOKENIZERS: str | None = None
@@ -211,3 +213,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, one run in 199 damaged, with the form each varies."""
     return spelling_variants(documents(spark, sf_dir), damage=199)
+
+
+@query("op12_syncmer_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, compared."""
+    return fingerprints(documents(spark, sf_dir))
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+    WITH terms AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM documents WHERE doc_id IS NOT NULL),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+    n AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY ALL),
+    stats AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+    m AS (SELECT doc_id, 100 - 90 + ((90 * n * docs) // total) AS m FROM n, stats),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+          FROM (SELECT term, count(*) AS df FROM tf GROUP BY ALL), stats),
+    items AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark WHERE item_id IS NOT NULL),
+    scored AS (
+      SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM items JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id)
+      GROUP BY ALL HAVING score > 0),
+    ranked AS (
+      SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+      FROM scored)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranked_search(documents(spark, sf_dir), items)
