@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from scholargraph.functions.ids import stable_id
 from scholargraph.functions.text import fold, is_blank, php_empty, strip_ws
-from scholargraph.session import cut_lineage
 
 # Property terms of the vocabulary used by the graph.
 TITLE = "dcterms:title"
@@ -419,26 +418,3 @@ def missing_ids(requested: DataFrame, existing: DataFrame, id_col: str = "item_i
     return requested.select(id_col).where(F.col(id_col).isNotNull()).distinct().join(
         existing.select(id_col), id_col, "left_anti"
     )
-
-
-def merge_batch(items: DataFrame, statements: DataFrame, names: DataFrame, records: DataFrame,
-                search, person_class: str = "foaf:Person", id_prefix: str = "person:") -> DataFrame:
-    """Enrich many person items at once.
-
-    ``items(item_id, class, title)``: the batch; ``statements`` of the
-    graph; ``names(id, name)`` the searchable person table; ``records(id,
-    person)`` canonical persons; ``search(names, queries, k)`` a batch
-    search (F3). Each person item's title is searched (top 1), the hit is
-    mapped to statements (P3) and merged with ``replace`` (J6). Items of
-    other classes are not merged here (organisations go to J5); items with
-    no hit are left as they are. Output: the batch items' merged statements.
-    """
-    persons = items.where(F.col("class") == person_class)
-    q = persons.select(F.col("item_id").alias("query_id"), F.col("title").alias("text"))
-    # one row per item; written once because four consumers read it
-    hits = cut_lineage(search(names, q, 1).select(F.col("query_id").alias("item_id"), F.col("id").alias("person_id")),
-                       "merge-hits")
-    recs = hits.join(records.withColumnRenamed("id", "person_id"), "person_id").select("item_id", "person")
-    own = statements.join(persons.select("item_id"), "item_id", "left_semi")
-    new = person_statements(recs, own, id_prefix)
-    return merge_statements(own, new, "replace")

@@ -43,8 +43,3 @@ def build_dimension(entries: DataFrame, key: str, label: str, id_name: str = "di
         .agg(F.min(label).alias(label), F.count(F.lit(1)).alias("n_entries"))
         .withColumn(id_name, stable_id(key))
     )
-
-
-def missing_ids(requested: DataFrame, existing: DataFrame, id_col: str = "id") -> DataFrame:
-    """Requested ids that do not exist (distinct)."""
-    return requested.select(id_col).distinct().join(existing.select(id_col), id_col, "left_anti")

@@ -8,19 +8,16 @@ from scholargraph.functions.ids import rank_within
 from scholargraph.functions.text import is_blank, strip_ws
 
 
-def merge_domains(domains: DataFrame) -> DataFrame:
-    """A1: merge a person's domains by lower-case label and rank them.
+def domain_sums(domains: DataFrame) -> DataFrame:
+    """The domains of a person merged by lower-case label, without a rank.
 
     Input ``domains(person_id, pos, label, code, type, count)``, one row per
     domain entry, ``pos`` its position in the person's list. Entries with
     no label are skipped. Per (person, lower(label)): counts are summed,
     label and type come from the first entry, the code is the last
-    non-null one. Ranked by summed count desc, then first position.
-
-    Output ``(person_id, rank, label, type, code, count, first_pos)``.
-    One shuffle on (person_id, key) with map-side partial aggregation, so a
-    person or label holding a large share of rows is combined before the
-    shuffle; ranks come from one global sort, not from a window per person.
+    non-null one. One shuffle on (person_id, key) with map-side partial
+    aggregation, so a person or label holding a large share of rows is
+    combined before the shuffle.
     """
     d = domains.where(F.col("label").isNotNull()).withColumn("_key", F.lower("label"))
     g = d.groupBy("person_id", "_key").agg(
@@ -29,17 +26,18 @@ def merge_domains(domains: DataFrame) -> DataFrame:
         F.max_by("code", F.when(F.col("code").isNotNull(), F.col("pos"))).alias("code"),
         F.min("pos").alias("first_pos"),
     )
-    # label and code break ties that only repeated positions can leave
-    g = rank_within(g, ["person_id"], [F.desc("count"), F.asc("first_pos"), F.asc("_key")])
-    return g.select(
-        "person_id",
-        "rank",
-        F.col("_first.label").alias("label"),
-        F.col("_first.type").alias("type"),
-        "code",
-        "count",
-        "first_pos",
-    )
+    return g.select("person_id", "_key", F.col("_first.label").alias("label"), F.col("_first.type").alias("type"), "code", "count", "first_pos")
+
+
+def merge_domains(domains: DataFrame) -> DataFrame:
+    """A1: ``domain_sums``, ranked by summed count desc, then first position.
+
+    Output ``(person_id, rank, label, type, code, count, first_pos)``. Ranks
+    come from one global sort, not from a window per person.
+    """
+    # the key breaks ties that only repeated positions can leave
+    g = rank_within(domain_sums(domains), ["person_id"], [F.desc("count"), F.asc("first_pos"), F.asc("_key")])
+    return g.select("person_id", "rank", "label", "type", "code", "count", "first_pos")
 
 
 def group_publications(pubs: DataFrame) -> DataFrame:

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from scholargraph.operators import canon
 from scholargraph.operators import graph as G
-from scholargraph.operators import search as S
 from scholargraph.plans.q_ingest import person_table
-from scholargraph.plans.q_search import prefix_sql
 from scholargraph.plans.registry import register, table
 from scholargraph.plans.sqltext import fold_sql
 
@@ -399,36 +397,6 @@ def q_person_statements(spark, sf):
     return G.person_statements(recs, person_item_statements(spark, sf)).select(*STMT_OUT)
 
 
-# --------------------------------------------------------------- J7
-
-J7_SQL = f"""
-WITH items AS ({PERSON_ITEMS_SQL}),
-e AS (SELECT * FROM ({PERSON_STMTS_SQL}) WHERE item_id IN (SELECT item_id FROM items)),
-hits AS {prefix_sql("SELECT item_id AS query_id, title AS text FROM items", "SELECT c_custkey AS id, c_name AS name FROM customer", 1)},
-h AS (SELECT hits.query_id AS item_id, c.c_custkey, c.c_name, c.c_mktsegment FROM hits JOIN customer c ON c.c_custkey = hits.id),
-has AS (SELECT DISTINCT item_id, property FROM e),
-sc AS (SELECT item_id, 'dcterms:title' AS property, c_name AS value FROM h
-       UNION ALL SELECT item_id, 'foaf:firstName', 'F' || c_custkey FROM h
-       UNION ALL SELECT item_id, 'foaf:familyName', c_mktsegment FROM h
-       UNION ALL SELECT item_id, 'dcterms:identifier', 'person:' || c_custkey FROM h WHERE c_custkey <> 0),
-n AS (SELECT item_id, property, 'literal' AS type, value, NULL::VARCHAR AS uri, NULL::VARCHAR AS label FROM sc
-      WHERE NOT EXISTS (SELECT 1 FROM has WHERE has.item_id = sc.item_id AND has.property = sc.property)
-      UNION ALL SELECT item_id, 'dcterms:isReferencedBy', 'uri', NULL, 'https://orcid.org/' || c_custkey,
-                       'orcid:' || lpad(CAST(c_custkey AS VARCHAR), 16, '0') FROM h)
-SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.item_id = e.item_id AND n.property = e.property)
-UNION ALL SELECT * FROM n
-"""
-
-
-@register("J7_merge_batch", J7_SQL)
-def q_merge_batch(spark, sf):
-    """Every person item enriched from its top-1 name hit in the person table."""
-    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    m = G.merge_batch(person_items(spark, sf), person_item_statements(spark, sf), names, person_records(spark, sf),
-                      S.search_auto)
-    return m.select(*STMT_OUT)
-
-
 # --------------------------------------------------------------- J12
 
 LINKS_SQL = """
