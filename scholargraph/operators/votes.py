@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scholargraph.functions.ids import rank_within
 from scholargraph.functions.joins import bounded_broadcast
+from scholargraph.operators.vote_log import replay
 from scholargraph.session import cut_lineage
 
 # Roles that may edit every person, and the editing roles.
@@ -199,56 +200,18 @@ def vote_changes(votes: DataFrame, changes: DataFrame, rules: DataFrame, person_
       names. An update sets the rank, and nothing else; a deleted vote is gone,
       until its id is created again.
 
+    Changes take effect one after another, in order of ``seq``: what a change
+    meets is the vote as it stands then. Stored votes may bring ``kind``,
+    ``user_id`` and ``day`` of an earlier change.
+
     Returns ``(decided, errors)``: ``decided(vote_id, person_id, concept_id,
     rank, owner_id, kind, user_id, day)`` has every vote left, ``kind`` null
     for untouched ones, else ``create`` or ``update`` with the user and day of
     its last change; ``errors(vote_id, op, seq, user_id, reason)`` the changes
-    without effect (``not allowed``, ``vote exists``, ``unknown vote``).
+    without effect: ``unknown vote`` (none stands), ``not allowed`` or ``vote
+    exists``.
     """
-    creates = changes.where(F.col("op") == "create")
-    allowed = cut_lineage(can_edit(creates, rules, person_labs), "vote-creates")
-    stored = votes.select("vote_id", "person_id", "concept_id", "rank", "owner_id")
-    since = F.lit(None).cast(changes.schema["seq"].dataType).alias("since")
-    lives = stored.select("*", F.lit(None).cast("string").alias("day"), since).unionByName(
-        allowed.select("vote_id", "person_id", "concept_id", "rank", F.col("user_id").alias("owner_id"), "day", F.col("seq").alias("since"))
-    ).withColumn("_order", F.struct(F.col("since").isNotNull(), F.col("since")))
-    lives = cut_lineage(lives, "vote-lives")
-    edits = changes.where(F.col("op") != "create").select(
-        "op", "vote_id", "user_id", F.col("rank").alias("new_rank"), F.col("day").alias("new_day"), "seq"
-    )
-    # the life of the vote that a change meets is the last one begun before it
-    met = edits.join(lives.select("vote_id", "person_id", "since", "_order"), "vote_id")
-    met = met.where(F.col("since").isNull() | (F.col("seq") > F.col("since")))
-    known = met.groupBy("vote_id", "seq", "op", "user_id", "new_rank", "new_day").agg(F.max_by("person_id", "_order").alias("person_id"))
-    valid = cut_lineage(can_edit(known, rules, person_labs), "vote-edits")
-    gone = valid.where(F.col("op") == "delete").groupBy("vote_id").agg(F.max("seq").alias("gone"))
-    left = lives.join(gone, "vote_id", "left").where(F.col("gone").isNull() | (F.col("since") > F.col("gone")))
-    base = left.groupBy("vote_id").agg(
-        F.min_by(F.struct("person_id", "concept_id", "rank", "owner_id", "day", "since"), "_order").alias("_b")
-    ).select("vote_id", "_b.*")
-    base = cut_lineage(base, "vote-base")
-    updates = valid.where(F.col("op") == "update").join(base.select("vote_id", "since"), "vote_id")
-    updates = updates.where(F.col("since").isNull() | (F.col("seq") > F.col("since")))
-    last = updates.groupBy("vote_id").agg(F.max_by(F.struct("new_rank", "user_id", "new_day"), "seq").alias("_u"))
-    updated, created = F.col("_u").isNotNull(), F.col("since").isNotNull()
-    decided = base.join(last, "vote_id", "left").select(
-        "vote_id", "person_id", "concept_id",
-        F.when(updated, F.col("_u.new_rank")).otherwise(F.col("rank")).alias("rank"),
-        "owner_id",
-        F.when(updated, "update").when(created, "create").alias("kind"),
-        F.when(updated, F.col("_u.user_id")).when(created, F.col("owner_id")).alias("user_id"),
-        F.when(updated, F.col("_u.new_day")).otherwise(F.col("day")).alias("day"),
-    )
-    row, key = ["vote_id", "op", "seq", "user_id"], ["vote_id", "seq"]
-    denied = creates.join(allowed.select(*key), key, "left_anti").select(*row)
-    refused = known.join(valid.select(*key), key, "left_anti").select(*row)
-    exists = allowed.join(base.select("vote_id", "since"), "vote_id").where(F.col("since").isNull() | (F.col("seq") > F.col("since"))).select(*row)
-    unmet = edits.join(known.select(*key), key, "left_anti").select(*row)
-    late = valid.where(F.col("op") == "update").join(gone, "vote_id").where(F.col("seq") > F.col("gone"))
-    late = late.join(updates.select(*key), key, "left_anti").select(*row)
-    reasons = [(denied.unionByName(refused), "not allowed"), (exists, "vote exists"), (unmet.unionByName(late), "unknown vote")]
-    errors = [df.withColumn("reason", F.lit(reason)) for df, reason in reasons]
-    return decided, errors[0].unionByName(errors[1]).unionByName(errors[2])
+    return replay(votes, changes, rules, person_labs)
 
 
 def with_vote_titles(decided: DataFrame, concepts: DataFrame, persons: DataFrame, users: DataFrame) -> DataFrame:

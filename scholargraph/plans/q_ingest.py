@@ -10,13 +10,17 @@ are registry documents; part brands are a dimension.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scholargraph import schemas
 from scholargraph.operators import canon, graph, lookup, upsert
 from scholargraph.plans.registry import register, table
+from scholargraph.session import ensure_checkpoint_dir
 from scholargraph.sources import jsonl
 from scholargraph.sources import register as reg
+from scholargraph.streaming.buckets import BucketTable
 
 CUTOFF = "2024-01-20 00:00:00"
 
@@ -132,6 +136,20 @@ def q_upsert_by_key(spark, sf):
     return upsert.upsert_by_key(target, batch, ["id"], "seq")
 
 
+@register("S3_bucketed_upsert", S3_SQL)
+def q_bucketed_upsert(spark, sf):
+    """The same upsert on a bucketed table: begun with the earlier events, changed
+    by the later ones in two batches, each rewriting the buckets it touches."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/user-events-{uuid.uuid4().hex}"
+    store = BucketTable(spark, path, "id bigint, event_id bigint, kind string, value double", ["id"], 16)
+    store.upsert(keyed_events(spark, sf, True))
+    later = keyed_events(spark, sf, False)
+    middle = F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
+    store.upsert(later.where(F.col("seq.ts") < middle), batch=("events", 0))
+    store.upsert(later.where(F.col("seq.ts") >= middle), batch=("events", 1))
+    return store.read()
+
+
 def event_points(spark, sf, before: bool):
     e = table(spark, sf, "events")
     cond = F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")

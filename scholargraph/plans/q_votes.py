@@ -10,6 +10,8 @@ delete change log by user event_id % 10.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scholargraph.operators import votes as V
@@ -17,6 +19,8 @@ from scholargraph.plans.q_ingest import CUTOFF
 from scholargraph.plans.q_persons import LINE_POS_SQL, line_pos
 from scholargraph.plans.registry import register, table
 from scholargraph.plans.sqltext import values_sql
+from scholargraph.session import ensure_checkpoint_dir
+from scholargraph.streaming import votes as stream
 
 KEYWORD_PROPS = ["dcterms:subject", "curation:keyword"]
 EVALUATOR = 3
@@ -305,14 +309,36 @@ FROM res LEFT JOIN t ON t.concept_id = res.concept_id LEFT JOIN p ON p.person_id
 """
 
 
-@register("C1_apply_vote_changes", C1_SQL)
-def q_vote_changes(spark, sf):
-    """Votes before the cutoff with the later create/update/delete changes applied, by the stored vote's rights."""
+def vote_target(spark, sf):
+    """The votes before the cutoff, with their owners."""
     pre = vote_events(spark, sf, True)
-    target = pre.groupBy("vote_id").agg(
+    return pre.groupBy("vote_id").agg(
         F.max_by(F.struct("person_id", "concept_id", "rank", F.col("user_id").alias("owner_id")), "seq").alias("_v")
     ).select("vote_id", "_v.*")
-    rules = V.access_rules(users(spark, sf), persons(spark, sf))
-    decided, _ = V.vote_changes(target, vote_events(spark, sf, False), rules, person_labs(spark, sf))
+
+
+def titled(spark, sf, decided):
     concepts = concept_titles(spark).withColumnRenamed("title", "concept")
     return V.with_vote_titles(decided, concepts, persons(spark, sf).select("person_id", "person"), users(spark, sf))
+
+
+@register("C1_apply_vote_changes", C1_SQL)
+def q_vote_changes(spark, sf):
+    """Votes before the cutoff with the later create/update/delete changes applied, by the stored vote's rights."""
+    rules = V.access_rules(users(spark, sf), persons(spark, sf))
+    decided, _ = V.vote_changes(vote_target(spark, sf), vote_events(spark, sf, False), rules, person_labs(spark, sf))
+    return titled(spark, sf, decided)
+
+
+@register("C1_vote_changes_in_batches", C1_SQL)
+def q_vote_changes_in_batches(spark, sf):
+    """The same changes in two batches on a bucketed vote table: the log cut anywhere gives the one-shot result."""
+    rules, labs = V.access_rules(users(spark, sf), persons(spark, sf)), person_labs(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/votes-{uuid.uuid4().hex}"
+    store = stream.vote_store(spark, path, 16)
+    target = vote_target(spark, sf).withColumns({"kind": F.lit(None).cast("string"), "user_id": F.lit(None).cast("bigint"), "day": F.lit(None).cast("string")})
+    store.upsert(target.withColumn("seq", F.lit(0)))
+    changes, middle = vote_events(spark, sf, False), F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
+    stream.apply_changes(store, changes.where(F.col("seq.ts") < middle), rules, labs, ("log", 0))
+    stream.apply_changes(store, changes.where(F.col("seq.ts") >= middle), rules, labs, ("log", 1))
+    return titled(spark, sf, store.read())

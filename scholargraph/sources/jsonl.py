@@ -1,11 +1,12 @@
 """JSON-lines person dumps (plain or gzip) into validated rows."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scholargraph import schemas
 from scholargraph.functions.text import php_empty, strip_ws
+from scholargraph.session import cut_lineage
 
 NAME_MAX = 512
 
@@ -44,6 +45,17 @@ def scan_jsonl(lines: DataFrame, schema: str = schemas.PERSON) -> DataFrame:
     )
 
 
+def _checked(lines: DataFrame, schema: str, name_max: int | None) -> DataFrame:
+    """Every line that is not blank, with its id, name and why it is rejected (null: it is valid)."""
+    t = lines.select("seq", strip_ws("value").alias("line")).where(F.col("line") != "")
+    rec = F.from_json("line", schema)
+    name = rec["fullName"]
+    t = t.select("seq", "line", F.try_parse_json("line").isNotNull().alias("_ok"), rec["id"].alias("id"),
+                 (F.substring(name, 1, name_max) if name_max else name).alias("fullName"))
+    reason = F.when(~F.col("_ok"), F.lit("undecodable")).when(php_empty("id"), F.lit("empty id"))
+    return t.withColumn("reason", reason).drop("_ok")
+
+
 def import_persons(lines: DataFrame, schema: str = schemas.PERSON, name_max: int | None = NAME_MAX) -> tuple[DataFrame, DataFrame]:
     """Split lines into valid person rows and rejects.
 
@@ -53,22 +65,28 @@ def import_persons(lines: DataFrame, schema: str = schemas.PERSON, name_max: int
     characters, the width of the person table's column (None: not cut); rejects ``(seq, line,
     reason)``. Blank lines are neither.
     """
-    t = lines.select("seq", strip_ws("value").alias("line")).where(F.col("line") != "")
-    rec = F.from_json("line", schema)
-    t = t.select(
-        "seq",
-        "line",
-        F.try_parse_json("line").isNotNull().alias("_ok"),
-        rec["id"].alias("id"),
-        rec["fullName"].alias("fullName"),
-    )
-    reason = F.when(~F.col("_ok"), F.lit("undecodable")).when(php_empty("id"), F.lit("empty id"))
-    t = t.withColumn("reason", reason)
-    valid = t.where(F.col("reason").isNull()).select(
-        "seq", "id", (F.substring("fullName", 1, name_max) if name_max else F.col("fullName")).alias("fullName"), F.col("line").alias("data")
-    )
-    rejects = t.where(F.col("reason").isNotNull()).select("seq", "line", "reason")
-    return valid, rejects
+    t = _checked(lines, schema, name_max)
+    return _split(t)
+
+
+def _split(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    valid = t.where(F.col("reason").isNull()).select("seq", "id", "fullName", F.col("line").alias("data"))
+    return valid, t.where(F.col("reason").isNotNull()).select("seq", "line", "reason")
+
+
+def split_lines(lines: DataFrame, schema: str = schemas.PERSON, name_max: int | None = NAME_MAX) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S2 and A7 in one pass over the lines: ``(valid, rejects, counters)``.
+
+    The checked lines are written once (both outputs read them); ``imported``
+    and ``skipped`` are observed by that job while it writes, so nothing is
+    scanned or grouped for them.
+    """
+    seen = Observation()
+    skipped = F.col("reason").isNotNull()
+    watched = _checked(lines, schema, name_max).observe(seen, F.count_if(~skipped).alias("imported"), F.count_if(skipped).alias("skipped"))
+    valid, rejects = _split(cut_lineage(watched, "checked-lines"))
+    counters = [(name, int(n)) for name, n in seen.get.items() if n]
+    return valid, rejects, lines.sparkSession.createDataFrame(counters, "counter string, n bigint")
 
 
 def import_counters(valid: DataFrame, rejects: DataFrame) -> DataFrame:
