@@ -182,6 +182,95 @@ def q_geocode(spark, sf):
     return geocoded(spark, sf)
 
 
+# Streets of towns are part names with a number; an address is a part's street,
+# misspelt by its key: one letter less, two others, one more, cut to two
+# characters, or none that exists. Every third part's street is not in the gazetteer.
+
+
+def town_streets(spark, sf):
+    key = F.col("p_partkey")
+    town = key % 40
+    return table(spark, sf, "part").select(
+        key, F.concat(F.col("p_name"), F.lit(" "), (key % 97).cast("string")).alias("street"),
+        F.lpad((town * 100).cast("string"), 5, "0").alias("postcode"), F.concat(F.lit("Town "), town.cast("string")).alias("town"),
+    )
+
+
+def street_gazetteer(spark, sf):
+    s, key = town_streets(spark, sf), F.col("p_partkey")
+    place = lambda street: s.select(
+        street.alias("street"), "postcode", "town", (key % 180 / 4.0 - 20).alias("lat"), (key % 90 * 1.0).alias("lng"), F.concat(F.lit("place "), key.cast("string")).alias("label"), key.alias("_k"))
+    full = place(F.when(key % 19 == 0, F.substring("street", 1, 2)).otherwise(F.upper("street"))).where(F.col("_k") % 3 != 0)
+    return full.unionByName(place(F.lit("")).where((F.col("_k") < 35))).drop("_k")
+
+
+def misspelt_addresses(spark, sf):
+    s, key, st = town_streets(spark, sf), F.col("p_partkey"), F.col("street")
+    end = F.char_length(st)
+    written = (
+        F.when(key % 19 == 0, F.substring(st, 1, 3))
+        .when(key % 17 == 0, F.lit("nowhere at all"))
+        .when(key % 4 == 1, F.concat(F.substring(st, 1, 2), F.substring(st, F.lit(4), end)))
+        .when(key % 4 == 2, F.concat(F.lit("x"), F.substring(st, F.lit(2), F.lit(3)), F.lit("y"), F.substring(st, F.lit(6), end)))
+        .when(key % 4 == 3, F.concat(st, F.lit("0")))
+        .otherwise(st)
+    )
+    return s.select(key.alias("item_id"), written.alias("street"), "postcode", "town")
+
+
+STREETS_SQL = f"""
+  ts AS (SELECT p_partkey, p_name || ' ' || (p_partkey % 97) AS street, lpad(CAST(p_partkey % 40 * 100 AS VARCHAR), 5, '0') AS postcode,
+                'Town ' || (p_partkey % 40) AS town FROM part),
+  gz AS (SELECT {_norm("CASE WHEN p_partkey % 19 = 0 THEN left(street, 2) ELSE upper(street) END")} AS st, postcode, town,
+                CAST(p_partkey % 180 / 4.0 - 20 AS DOUBLE) AS lat, CAST(p_partkey % 90 AS DOUBLE) AS lng, 'place ' || p_partkey AS label
+         FROM ts WHERE p_partkey % 3 <> 0
+         UNION ALL SELECT '', postcode, town, CAST(p_partkey % 180 / 4.0 - 20 AS DOUBLE), CAST(p_partkey % 90 AS DOUBLE), 'place ' || p_partkey FROM ts WHERE p_partkey < 35),
+  ma AS (SELECT p_partkey AS item_id, postcode, town, street AS full_street, {_norm("""CASE WHEN p_partkey % 19 = 0 THEN left(street, 3) WHEN p_partkey % 17 = 0 THEN 'nowhere at all'
+                WHEN p_partkey % 4 = 1 THEN left(street, 2) || substr(street, 4)
+                WHEN p_partkey % 4 = 2 THEN 'x' || substr(street, 2, 3) || 'y' || substr(street, 6)
+                WHEN p_partkey % 4 = 3 THEN street || '0' ELSE street END""")} AS st FROM ts),
+  pairs AS (SELECT item_id, levenshtein(ma.st, gz.st) AS edits, label, lat, lng FROM ma JOIN gz USING (postcode, town) WHERE gz.st <> ''),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY edits, label, lat, lng) AS rn FROM pairs WHERE edits <= 2) WHERE rn = 1),
+  centre AS (SELECT postcode, town, arg_min({{'lat': lat, 'lng': lng, 'label': label}}, (label, lat, lng)) AS c FROM gz WHERE st = '' GROUP BY 1, 2),
+  placed AS (SELECT item_id, lat, lng, label, CASE WHEN edits = 0 THEN 'street' ELSE 'near' END AS level FROM best
+             UNION ALL SELECT item_id, c.lat, c.lng, c.label, 'town' FROM ma JOIN centre USING (postcode, town) WHERE item_id NOT IN (SELECT item_id FROM best))
+"""
+
+
+@register("J9_near_streets", f"WITH {STREETS_SQL} SELECT * FROM placed")
+def q_near_streets(spark, sf):
+    """Misspelt addresses to the nearest street of their town within two edits, else the town's point."""
+    return P.geocode(misspelt_addresses(spark, sf), street_gazetteer(spark, sf), max_edits=2)
+
+
+J9_COMPARE_SQL = f"""
+WITH {SN}, ost AS ({ORG_STMTS_SQL}), {P7_CORE}, {GEO_CORE},
+have AS (SELECT item_id, lat + CASE WHEN item_id % 3 = 0 THEN 0.0001 WHEN item_id % 3 = 1 THEN 0.5 ELSE 0 END AS clat, lng AS clng
+         FROM geo WHERE item_id % 4 <> 3 UNION ALL SELECT s_suppkey, 1.5, 2.5 FROM supplier WHERE s_suppkey NOT IN (SELECT item_id FROM geo)),
+j AS (SELECT s.s_suppkey AS item_id, p7.address, p7.address IS NOT NULL AS asked, geo.lat, geo.lng, geo.label, have.clat, have.clng, have.item_id IS NOT NULL AS has_feature
+      FROM supplier s LEFT JOIN p7 ON p7.item_id = s.s_suppkey LEFT JOIN geo ON geo.item_id = s.s_suppkey LEFT JOIN have ON have.item_id = s.s_suppkey),
+hv AS (SELECT *, pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lng - clng) / 2), 2) AS h FROM j),
+d AS (SELECT *, 2 * {P.EARTH_RADIUS} * asin(sqrt(CASE WHEN h > 1 THEN 1.0 ELSE h END)) AS m FROM hv)
+SELECT item_id, address, CASE WHEN asked THEN lat END AS lat, CASE WHEN asked THEN lng END AS lng, CASE WHEN asked THEN label END AS label,
+       clat AS current_lat, clng AS current_lng, has_feature, CASE WHEN asked THEN CAST(round(m) AS BIGINT) END AS metres,
+       CASE WHEN NOT asked THEN 'no address' WHEN lat IS NULL THEN 'no result' WHEN m IS NULL THEN 'new' WHEN m <= 50 THEN 'same' ELSE 'moved' END AS status
+FROM d
+"""
+
+
+@register("J9_compare_points", J9_COMPARE_SQL)
+def q_compare_points(spark, sf):
+    """What geocoding proposes for every organisation beside the point it has: same, moved, new, or nothing found."""
+    geo = cut_lineage(geocoded(spark, sf), "proposed-points")
+    key = F.col("item_id")
+    off = F.when(key % 3 == 0, 0.0001).when(key % 3 == 1, 0.5).otherwise(0.0)
+    orgs = org_items(spark, sf)
+    have = geo.where(key % 4 != 3).select("item_id", (F.col("lat") + off).alias("lat"), "lng")
+    have = have.unionByName(orgs.join(geo.select("item_id"), "item_id", "left_anti").select("item_id", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng")))
+    out = P.compare_points(orgs, G.postal_address(org_statements(spark, sf)), geo, have)
+    return out.withColumn("metres", F.round("metres").cast("bigint"))
+
+
 def markers(spark, sf):
     s = table(spark, sf, "supplier").where(F.col("s_suppkey") % 3 == 0)
     sk = F.col("s_suppkey")
