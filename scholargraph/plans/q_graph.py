@@ -10,6 +10,8 @@ subset of parts (J2); suppliers are structures with stored references
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scholargraph.operators import canon
@@ -17,6 +19,8 @@ from scholargraph.operators import graph as G
 from scholargraph.plans.q_ingest import person_table
 from scholargraph.plans.registry import register, table
 from scholargraph.plans.sqltext import fold_sql
+from scholargraph.session import ensure_checkpoint_dir
+from scholargraph.sources import layout
 
 
 def _nul():
@@ -370,6 +374,25 @@ register("J6_merge_append_distinct", J6_APPEND_DISTINCT_SQL)(_merge("append_dist
 register("J6_merge_append", J6_APPEND_SQL)(_merge("append"))
 
 
+def laid_out(spark, statements, buckets: int):
+    """Statements as a bucketed table of a name of its own."""
+    name = f"statements_{uuid.uuid4().hex}"
+    return layout.write_statements(statements, name, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}", buckets)
+
+
+def _merge_laid_out(mode, buckets=16):
+    def q(spark, sf):
+        held = laid_out(spark, person_item_statements(spark, sf), buckets)
+        return G.merge_statements(held, layout.deal(new_person_statements(spark, sf), buckets), mode).select(*STMT_OUT)
+
+    q.__doc__ = f"The same merge ({mode}) with the stored statements in buckets of their item, read without an exchange."
+    return q
+
+
+register("J6_laid_out_replace", J6_REPLACE_SQL)(_merge_laid_out("replace"))
+register("J6_laid_out_append_distinct", J6_APPEND_DISTINCT_SQL)(_merge_laid_out("append_distinct"))
+
+
 def person_records(spark, sf):
     """Canonical persons of the (unique-id) person table."""
     d = canon.decode_person_table(person_table(spark, sf, repeat_ids=False))
