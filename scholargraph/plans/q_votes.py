@@ -1,9 +1,10 @@
 """Vote queries: last ranks, first links, scoreboards, permissions, change logs.
 
-Bindings: events are rank values of votes (person = event id % 5, concept
-= k % 10, owner = user % 20, rank = floor(value) - 50, ordered by time and
-event id); line items are keyword links of persons to concepts (two
-properties by line parity, base rank = line number - 4); suppliers are users
+Bindings: events are rank values of votes (person = user, concept = k, owner =
+one of three users per person, rank = floor(value) - 50, ordered by time and
+event id); line items are keyword links of persons (supplier key) to concepts
+(the last two digits of the part key; two properties by line parity, base rank =
+line number - 4), so there are as many (person, concept) keys as the tables give; suppliers are users
 (role by key % 5, two labs from the nation), customers are persons (lab =
 nation, account by key); events after a cutoff are a create / update /
 delete change log by user event_id % 10.
@@ -24,8 +25,9 @@ from scholargraph.streaming import votes as stream
 
 KEYWORD_PROPS = ["dcterms:subject", "curation:keyword"]
 EVALUATOR = 3
-# Titles of the ten concepts (accents and capitals exercise the locale sort).
+# Titles of concepts (accents and capitals exercise the locale sort).
 CONCEPT_TITLES = ["Écologie", "economie", "Énergie", "art", "Zoologie", "éthique", "Biologie", "chimie", "Droit", "histoire"]
+CONCEPTS = [(i, f"{CONCEPT_TITLES[i % 10]} {i}") for i in range(100)]
 
 
 def _k():
@@ -33,22 +35,20 @@ def _k():
 
 
 def vote_ranks(spark, sf):
-    """Events as rank values of votes: person event_id%5, concept k%10,
-    owner user_id%20; vote id = person-concept-owner."""
+    """Events as rank values of votes; vote id = person-concept-owner."""
     e = table(spark, sf, "events")
-    person = F.col("event_id") % 5
-    concept = _k() % 10
-    owner = F.col("user_id") % 20
+    person, concept = F.col("user_id"), _k() % 100
+    owner = F.col("user_id") % 8 * 3 + F.col("event_id") % 3
     return e.select(
-        (person * 10000 + concept * 100 + owner).alias("vote_id"), person.alias("person_id"), concept.cast("bigint").alias("concept_id"),
+        ((person * 1000 + concept) * 100 + owner).alias("vote_id"), person.alias("person_id"), concept.cast("bigint").alias("concept_id"),
         owner.alias("owner_id"), (F.floor("value") - 50).cast("int").alias("rank"), F.struct("ts", "event_id").alias("seq"),
     )
 
 
 VOTES_SQL = """
-  SELECT (event_id % 5) * 10000 + k * 100 + user_id % 20 AS vote_id, event_id % 5 AS person_id, CAST(k AS BIGINT) AS concept_id,
-         user_id % 20 AS owner_id, CAST(floor(value) - 50 AS INT) AS rank, ts, event_id
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS k FROM events)
+  SELECT (user_id * 1000 + k) * 100 + user_id % 8 * 3 + event_id % 3 AS vote_id, user_id AS person_id, CAST(k AS BIGINT) AS concept_id,
+         user_id % 8 * 3 + event_id % 3 AS owner_id, CAST(floor(value) - 50 AS INT) AS rank, ts, event_id
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) % 100 AS k FROM events)
 """
 LAST_SQL = f"""
   SELECT vote_id, person_id, concept_id, owner_id, CAST(rank AS BIGINT) AS rank FROM (
@@ -66,7 +66,7 @@ def keyword_links(spark, sf):
     li = table(spark, sf, "lineitem")
     even = F.col("l_linenumber") % 2 == 0
     return li.select(
-        (F.col("l_suppkey") % 5).alias("person_id"), (F.col("l_partkey") % 10).alias("concept_id"),
+        F.col("l_suppkey").alias("person_id"), (F.col("l_partkey") % 100).alias("concept_id"),
         F.when(even, F.lit(KEYWORD_PROPS[0])).otherwise(F.lit(KEYWORD_PROPS[1])).alias("property"),
         line_pos().alias("pos"), (F.col("l_linenumber") - 4).alias("rank"),
     )
@@ -74,10 +74,10 @@ def keyword_links(spark, sf):
 
 FIRST_SQL = f"""
   SELECT person_id, concept_id, property, CAST(base_rank AS BIGINT) AS base_rank FROM (
-    SELECT l_suppkey % 5 AS person_id, l_partkey % 10 AS concept_id,
+    SELECT l_suppkey AS person_id, l_partkey % 100 AS concept_id,
            CASE WHEN l_linenumber % 2 = 0 THEN '{KEYWORD_PROPS[0]}' ELSE '{KEYWORD_PROPS[1]}' END AS property,
            l_linenumber - 4 AS base_rank,
-           row_number() OVER (PARTITION BY l_suppkey % 5, l_partkey % 10
+           row_number() OVER (PARTITION BY l_suppkey, l_partkey % 100
                               ORDER BY CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 2 END, {LINE_POS_SQL}) AS rn
     FROM lineitem l) WHERE rn = 1
 """
@@ -218,10 +218,10 @@ def q_vote_list(spark, sf):
 
 
 def concept_titles(spark):
-    return spark.createDataFrame(list(enumerate(CONCEPT_TITLES)), "concept_id bigint, title string")
+    return spark.createDataFrame(CONCEPTS, "concept_id bigint, title string")
 
 
-TITLES_SQL = values_sql(list(enumerate(CONCEPT_TITLES)), ["concept_id", "title"])
+TITLES_SQL = values_sql(CONCEPTS, ["concept_id", "title"])
 F11_STATUSES = V.STATUSES
 F11_TEXT = "o"
 _COND = {"all": "TRUE", "todo": "has_mine = 0", "done": "has_mine = 1", "pos": "rank_sum > 0", "neg": "rank_sum <= 0"}
@@ -285,7 +285,7 @@ WITH pre AS ({_vote_events_sql(f"ts < TIMESTAMP '{CUTOFF}'")}),
 target AS (SELECT vote_id, person_id, concept_id, rank, changer AS owner_id FROM (
     SELECT *, row_number() OVER (PARTITION BY vote_id ORDER BY ts DESC, event_id DESC) AS rn FROM pre) WHERE rn = 1),
 ch AS ({_vote_events_sql(f"ts >= TIMESTAMP '{CUTOFF}'")}),
-u AS ({USERS_SQL}), p AS ({PERSONS_SQL}), t AS (SELECT * FROM {values_sql(list(enumerate(CONCEPT_TITLES)), ["concept_id", "title"])}),
+u AS ({USERS_SQL}), p AS ({PERSONS_SQL}), t AS (SELECT * FROM {values_sql(CONCEPTS, ["concept_id", "title"])}),
 may AS (SELECT ch.* FROM ch JOIN u ON u.user_id = ch.changer LEFT JOIN p ON p.person_id = ch.person_id WHERE ch.op = 'create' AND ({_MAY_EDIT})),
 inc AS (SELECT *, NULL::STRUCT(ts TIMESTAMP, e BIGINT) AS since, NULL::VARCHAR AS day FROM target
         UNION ALL SELECT vote_id, person_id, concept_id, rank, changer, {{'ts': ts, 'e': event_id}}, day FROM may),
