@@ -125,12 +125,38 @@ def _visit(forest: Forest, counts: np.ndarray, rows: int):
     return run
 
 
+#: Candidates that a task holds before it cuts every query's to its best ones.
+_HELD = 1 << 20
+
+
+def _cut(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (query, row, score) every query's ``k`` best rows, each once, and
+    those as good as the last of them."""
+    q, r, score = found
+    order = np.lexsort((r, -score, q))
+    q, r, score = q[order], r[order], score[order]
+    # a row met in several trees has one score, so its copies lie together
+    new = np.concatenate(([True], (q[1:] != q[:-1]) | (r[1:] != r[:-1]))) if len(q) else np.zeros(0, bool)
+    q, r, score = q[new], r[new], score[new]
+    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(q)))
+    last = score[first + np.minimum(sizes, k) - 1]
+    keep = score >= np.repeat(last, sizes)
+    return [q[keep], r[keep], score[keep]]
+
+
 def _rerank(k: int):
     """Over rows sorted by (tree, leaf, is_query): a leaf's rows are kept, its
-    queries scored against them a batch at a time."""
+    queries scored against them a batch at a time. A task passes on the best
+    rows that each query has in all its leaves together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, ids, rows = None, [], []
+        held: list[list[np.ndarray]] = [[], [], []]
+
+        def best() -> list[np.ndarray]:
+            return _cut([np.concatenate(h) if h else np.zeros(0, t) for h, t in zip(held, (np.int64, np.int64, np.float64))], k)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -138,7 +164,6 @@ def _rerank(k: int):
             key |= batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             vec, own = _matrix(batch.column(4)), batch.column(3).to_numpy()
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-            found = ([], [], [])
             for a, b in zip(cuts[:-1], cuts[1:]):
                 leaf, is_query = key[a] >> 1, key[a] & 1
                 if leaf != here:
@@ -152,15 +177,17 @@ def _rerank(k: int):
                     for s in range(a, b, 256):
                         scores = vec[s : min(b, s + 256)] @ rows[0].T
                         n = min(k, scores.shape[1])
-                        best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                        # ties at the edge: all rows as good as the last one taken
-                        edge = np.take_along_axis(scores, best, axis=1).min(axis=1)
-                        q, r = np.nonzero(scores >= edge[:, None])
-                        found[0].append(own[s + q])
-                        found[1].append(ids[0][r])
-                        found[2].append(scores[q, r])
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], ["qid", "cls", "score"])
+                        least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+                        q, r = np.nonzero(scores >= least[:, None])
+                        for h, x in zip(held, (own[s + q], ids[0][r], scores[q, r])):
+                            h.append(x)
+            if sum(map(len, held[0])) > _HELD:
+                cut = best()
+                if len(cut[0]) > _HELD // 2:  # many queries: what they have so far goes on
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cut], ["qid", "cls", "score"])
+                    cut = [c[:0] for c in cut]
+                held = [[c] for c in cut]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best()], ["qid", "cls", "score"])
 
     return run
 
@@ -234,6 +261,11 @@ def nearest(
     found = found.groupBy("qid", "cls").agg(F.max("score").alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "cls")
     found = found.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k + 1)
+    # a matrix product's last bits depend on its shape and the machine: what is left is
+    # scored once more, component by component in order, and ranked by that
+    pairs = found.join(classes.select("cls", "vector"), "cls").join(asked.select(F.col("id").alias("qid"), F.col("vector").alias("_q")), "qid")
+    products = F.zip_with("vector", "_q", lambda x, y: x.cast("double") * y.cast("double"))
+    found = pairs.select("qid", "cls", F.aggregate(products, F.lit(0.0), lambda s, x: s + x).alias("score"))
     members = found.join(classes.select("cls", "members"), "cls")
     # at most (k + 1)^2 ids a query
     answers = members.groupBy("qid").agg(
