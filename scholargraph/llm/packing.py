@@ -34,6 +34,25 @@ def encoder(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...])
     return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
+@functools.lru_cache(maxsize=4)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def encoded(text: str, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...], library_path: str | None) -> list[int]:
+    """The ids of a text. The pattern's look-ahead gives up on very long runs of
+    blanks; such a text is encoded by the tokenizers library from the vocabulary's
+    ``library_path``, which gives the same ids."""
+    try:
+        return encoder(ranks_path, pattern, special).encode(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        if library_path is None:
+            raise
+        return _library(library_path).encode(text, add_special_tokens=False).ids
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens: the first takes the rest, the others are full."""
     first = n % capacity or capacity
@@ -50,6 +69,7 @@ def tokenised_pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_ids: bool = False,
+    library_path: str | None = None,
 ) -> DataFrame:
     """Every text's tokens and ``end_id``, in pieces of at most ``capacity``.
 
@@ -63,11 +83,10 @@ def tokenised_pieces(
     specials = tuple(sorted(special.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path, pattern, specials)
         for batch in batches:
             out = {k: [] for k in ("id", "piece", "start", "length", "crc", "ids")}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.encode(text.as_py(), allowed_special="all", disallowed_special=())
+                ids = list(encoded(text.as_py(), ranks_path, pattern, specials, library_path))
                 ids.append(end_id)
                 ids = np.array(ids, dtype="<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
@@ -213,15 +232,17 @@ def pack_documents(
     capacity: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
+    library_path: str | None = None,
 ) -> DataFrame:
     """All documents in few sequences of at most ``capacity`` tokens.
 
     Returns a row per piece: ``id_col``, piece, start, length, ids_crc32,
     sequence_id (from 0), offset. Repeated rows are packed each for itself;
     an empty table gives no rows; null ids are packed too; other columns are
-    not read.
+    not read. ``library_path``: the vocabulary for texts the pattern gives up on
+    (``encoded``).
     """
-    pieces = tokenised_pieces(df, ranks_path, pattern, special, end_id, capacity, id_col, text_col)
+    pieces = tokenised_pieces(df, ranks_path, pattern, special, end_id, capacity, id_col, text_col, library_path=library_path)
     placed = place_pieces(written(pieces, "packing"), capacity, ["_id", "piece"])
     return placed.select(
         F.col("_id").alias(id_col),

@@ -138,6 +138,7 @@ def packed(df: DataFrame) -> DataFrame:
         {"<|endoftext|>": 50256},
         END_ID,
         CAPACITY,
+        library_path=tokenizer_file("byte_bpe_50k.json"),
     )
 
 

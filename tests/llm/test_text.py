@@ -1,4 +1,5 @@
 """Sharding, tokens, packing, the quality classifier and nearest neighbours."""
+import functools
 import random
 import zlib
 
@@ -45,6 +46,16 @@ def test_tokens_equal_the_library(spark):
     assert bpe.encode_documents(documents(spark, []), path, digest=True).collect() == []
 
 
+def test_packing_stands_long_runs_of_one_character(spark):
+    """The pattern of the fast encoder gives up on these; the library does not."""
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [(0, " " * 1_000_000 + "x"), (1, "a" * 200_000), (2, "!" * 200_000), (3, "\n" * 300_000 + "end"), (4, "plain words")]
+    rows = tokenised_pieces(documents(spark, texts), capacity=1024, keep_ids=True, library_path=P.path("byte_bpe_50k.json"), **PACK).collect()
+    for i, t in texts:
+        ids = [x for r in sorted((r for r in rows if r["_id"] == i), key=lambda r: r["piece"]) for x in r["ids"]]
+        assert ids == library.encode(t, add_special_tokens=False).ids + [2], i
+
+
 def test_long_words_stream_with_bounded_state():
     own = bpe.Encoder(P.path("word_bpe_49k.json"))
     given = 0
@@ -146,12 +157,32 @@ def test_nearest_neighbours(spark):
     for r in nearest(df, df.where("vec_id % 20 = 0"), k=10, leaf_rows=32, trees=4).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 600, 20))
-    exact = vectors.astype(float) @ vectors.astype(float).T
+    # one component after the other, so that equal vectors have equal scores on every machine
+    exact = lambda q, i: functools.reduce(lambda s, ab: s + float(ab[0]) * float(ab[1]), zip(vectors[q], vectors[i]), 0.0)
     for q, found in got.items():
-        order = sorted((i for i in range(600) if i != q), key=lambda i: (-exact[q, i], i))[:10]
+        scores = [exact(q, i) for i in range(600)]
+        order = sorted((i for i in range(600) if i != q), key=lambda i: (-scores[i], i))[:10]
         assert [rank for rank, _, _ in sorted(found)] == list(range(1, 11))
         assert [i for _, i, _ in sorted(found)] == order  # a small table is searched whole
-        assert all(abs(s - exact[q, i]) < 1e-9 for _, i, s in found)
+        assert all(s == scores[i] for _, i, s in found)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, score string")
     assert len(nearest(few, few, k=10).collect()) == 6
     assert nearest(few.limit(0), few, k=10).collect() == []
+
+
+def test_approximate_search_reaches_its_recall(spark):
+    """Clustered vectors, no floor: a small share of the rows is looked at."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 24)) * 3
+    vectors = (centres[rng.integers(0, 60, 6000)] + rng.standard_normal((6000, 24)) * 0.5).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest(df, df.where("vec_id % 100 = 0"), k=20, leaf_rows=64, trees=8, share=0.5, least_rows=0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    exact = vectors.astype(float) @ vectors.astype(float).T
+    hits = 0
+    for q in range(0, 6000, 100):
+        scores = exact[q].copy()
+        scores[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 60
