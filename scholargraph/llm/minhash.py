@@ -123,7 +123,9 @@ def near_duplicates(
 
     Returns ``id_col``, n_shingles, component_id (smallest id reachable,
     itself included), kept (the id is its component's). Null texts are empty.
-    Rows with a null id are linked with nothing: component null, kept.
+    Rows with a null id are linked with nothing: component null, kept. Repeated
+    rows of one id each have their row, all kept or none; an empty table gives
+    no rows; other columns are not read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
     signed = docs.mapInArrow(_signatures(k, permutations, rows), "_id long, n long, set_key binary, bands array<long>")

@@ -274,8 +274,10 @@ def repeated_spans(df: DataFrame, length: int = 200, k: int = 64, id_col: str =
     Counting by anchor and by context are partial aggregates, so contexts that
     a third of all documents share are combined before the shuffle. Texts that
     hold contexts for step 3 are read again through a bitmap of bounded size.
-    Null texts are empty; rows with a null id take no part; repeated rows of
-    one id are one document; other columns are not read.
+    Null texts are empty; rows with a null id take no part; an empty table
+    gives no rows; other columns are not read. Ids should be unique: every row
+    is a document of its own when strings are counted, but spans are kept by
+    id, so two different texts of one id get each other's spans.
     """
     docs = df.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")
