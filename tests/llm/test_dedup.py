@@ -240,6 +240,24 @@ def test_passages_quoted_in_part_by_other_documents_are_found(spark):
     assert len(got - expected) < 0.02 * len(expected)
 
 
+def test_passages_of_documents_cut_in_slices(spark, monkeypatch):
+    """A document whose chains are dealt out in slices gives the same rows, with
+    texts hashed many at a time or one by one."""
+    whole = prose(31, 120).split()
+    texts = [(0, " ".join(whole))]
+    for i in range(1, 20):
+        near = ["w%d" % j if j % 11 == i % 11 else w for j, w in enumerate(whole)]
+        texts.append((i, " ".join([prose(3000 + i, 20), *near, prose(4000 + i, 20)])))
+    texts += [(30, None), (31, ""), (32, "three short words")]
+    docs = documents(spark, texts)
+    rows = sorted(tuple(r) for r in passages.repeated_passages(docs).collect())
+    assert {r[0] for r in rows} == set(range(1, 20))
+    monkeypatch.setattr(passages, "_SLICE", 3)
+    assert sorted(tuple(r) for r in passages.repeated_passages(docs).collect()) == rows
+    one = [x.tolist() for t in texts for x in passages._narrow(passages.pa.array([(t[1] or "").encode()]))]
+    assert [x.tolist() for x in passages._narrow(passages.pa.array([(t or "").encode() for _, t in texts]))] == one
+
+
 def alike(same):
     """Places in stretches of 50 or more of which every beginning and every end
     agrees in 80 % or more."""
