@@ -211,6 +211,16 @@ def test_spans_and_edits():
     assert passages.edits(a, np.array([], int)) == 5
 
 
+def test_steps_between_equal_words_are_told_apart():
+    doc = np.arange(60)
+    src = np.concatenate((doc[:20], [99], doc[21:40], [98], doc[40:]))
+    pos, spos = np.array([0, 3, 10, 24, 30, 42, 50]), np.array([0, 3, 10, 24, 30, 43, 51])
+    # a changed word lies in the third step, an added one in the fifth
+    assert passages._unlike_steps(doc, src, pos, spos, 4) == [3, 5]
+    assert passages._unlike_steps(doc, doc, pos, pos, 4) == []
+    assert passages.align(doc, src, pos, spos, 4, 50, 80) == [(0, 60, 0, 61)]
+
+
 def found_words(docs, **more):
     spans = merged_spans(passages.repeated_passages(docs, **more)).collect()
     return {(r["doc"], w) for r in spans for s in r["spans"] for w in range(s["start"], s["end"])}
