@@ -64,6 +64,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order: list, name: str = "
     position (a partial ``min`` per group). ``order`` must make rows unique
     inside a group.
     """
-    idx = dense_index(df, [F.col(c).asc() for c in group_cols] + list(order), "_gidx")
+    idx = dense_index(df.dropna(subset=group_cols), [F.col(c).asc() for c in group_cols] + list(order), "_gidx")
     starts = idx.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"))
-    return idx.join(starts, group_cols).withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")
+    # a left join: the rows, whose written file may be tiny, are never broadcast
+    return idx.join(starts, group_cols, "left").withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")

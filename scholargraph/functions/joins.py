@@ -1,6 +1,8 @@
 """Join helpers: broadcast only behind a proven size bound."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +33,23 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Da
     if est is not None and est <= max_bytes:
         return F.broadcast(df)
     return df
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df`` as JSON, counted by a job. For batches of
+    queries, whose size the optimizer does not know."""
+    return df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+
+
+def measured_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame | None:
+    """``df`` to be broadcast if it is measured to have at most ``max_bytes``, else None."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else None
+
+
+def sized_join(batch: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Callable[[DataFrame], DataFrame]:
+    """How tables with about one row per row of ``batch`` go into a join:
+    broadcast if the batch is measured small, else sorted and merged. Either
+    way the other side is not broadcast: a file's size says little of it."""
+    if measured_bytes(batch) <= max_bytes:
+        return F.broadcast
+    return lambda df: df.hint("merge")

@@ -1,5 +1,7 @@
 """Search, votes and evaluation operators on hand-made rows."""
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from scholargraph.operators import evaluate as EV
 from scholargraph.operators import search as S
@@ -150,3 +152,63 @@ def test_suggest_counts_links_of_the_term_only(spark):
     req = spark.createDataFrame([(7, "alpha"), (8, "beta")], "person_id long, term string")
     got = {(r["person_id"], r["rank"]): r["id"] for r in S.suggest(titles, req, linked, k=3).collect()}
     assert got == {(7, 1): 1, (7, 2): 2, (7, 3): 3, (8, 1): 20, (8, 2): 21, (8, 3): 22}
+
+
+def _broadcast_scans(plan: str) -> list[str]:
+    """Lines of file scans below a broadcast in a physical plan."""
+    depth, out = None, []
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-*("))
+        if depth is not None and at <= depth:
+            depth = None
+        if depth is None and "BroadcastExchange" in line:
+            depth = at
+        elif depth is not None and "FileScan" in line:
+            out.append(line)
+    return out
+
+
+@pytest.mark.parametrize("search", [S.search_substring, S.search_prefix_all, S.search_auto, lambda n, q, k: S.search_fields(n, q, limit=k)])
+@pytest.mark.parametrize("limit", [1 << 24, 0])
+def test_searched_rows_are_never_broadcast(spark, tmp_path, monkeypatch, search, limit):
+    """A name file of a few KB is no reason to ship its rows, n-grams or postings to every task."""
+    from scholargraph.functions import joins
+
+    spark.range(3000).selectExpr("id", "concat('ring bolt ', id % 7) AS name").write.parquet(str(tmp_path / "searched"))
+    names = spark.read.parquet(str(tmp_path / "searched"))
+    parquet, plans = DataFrameWriter.parquet, []
+
+    def seen(self, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return parquet(self, *args, **kwargs)
+
+    for f in (joins.measured_broadcast, joins.sized_join):
+        monkeypatch.setattr(f, "__defaults__", (limit,))
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    hits = search(names, _q(spark, [(1, "bolt 3"), (2, "ri"), (3, "bolt 3")]), 2)
+    plans.append(hits._jdf.queryExecution().executedPlan().toString())
+    for plan in plans:
+        assert not [x for x in _broadcast_scans(plan) if "searched" in x or "word-postings" in x and "id:bigint" in x], plan
+    got = {(r["query_id"], r["id"], r["total"]) for r in hits.collect()}
+    assert {x for x in got if x[0] != 2} == {(q, i, 428 + (3 < 3000 % 7)) for q in (1, 3) for i in (3, 10)}
+
+
+def test_deep_rank_does_not_broadcast_its_rows(spark):
+    from scholargraph.functions.ids import rank_within
+
+    rows = spark.range(5000).selectExpr("id % 3 AS g", "id")
+    ranked = rank_within(rows.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS g, 1L AS id")), ["g"], [F.col("id").asc()])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    # starts hold one row per group and are made by an aggregate
+    for at, line in enumerate(plan.splitlines()):
+        if "BroadcastExchange" in line:
+            assert "Aggregate" in "".join(plan.splitlines()[at + 1 : at + 3]) or "Project" in plan.splitlines()[at + 1], plan
+    assert "BuildLeft" not in plan, plan
+    assert ranked.count() == 5000 and ranked.where("rank = 1").count() == 3
+
+
+def test_queries_of_the_same_words_share_their_hits(spark):
+    q = _q(spark, [(1, "jean pier"), (2, "Pier  JEAN"), (3, "jean"), (4, "zz"), (None, "jean"), (5, "dur"), (5, "jeanne")])
+    got = {(r["query_id"], r["rank"], r["id"], r["total"]) for r in S.search_prefix_all(_names(spark), q, 1).collect()}
+    assert {(1, 1, 1, 2), (2, 1, 1, 2), (5, 1, 2, 1)} <= got
+    assert {x[0] for x in got} == {1, 2, 3, 5}
