@@ -344,13 +344,15 @@ def link_keywords(existing_links: DataFrame, requested: DataFrame, props: list[s
 
     ``existing_links(person_id, concept_id, property)``; ``requested
     (person_id, concept_id)``. Output ``(person_id, concept_id, status)``:
-    ``added`` once per new pair, ``duplicate`` for pairs already linked.
+    ``added`` once per new pair, ``duplicate`` for pairs already linked; a
+    pair with a null is equal to none. One aggregate over both: a task holds
+    one row per pair, once.
     """
-    have = existing_links.where(F.col("property").isin(props)).select("person_id", "concept_id").distinct()
-    req = requested.select("person_id", "concept_id").distinct()
-    added = req.join(have, ["person_id", "concept_id"], "left_anti").withColumn("status", F.lit("added"))
-    dup = req.join(have, ["person_id", "concept_id"], "left_semi").withColumn("status", F.lit("duplicate"))
-    return added.unionByName(dup)
+    have = existing_links.where(F.col("property").isin(props)).select("person_id", "concept_id", F.lit(False).alias("_asked"))
+    req = requested.select("person_id", "concept_id", F.lit(True).alias("_asked"))
+    pairs = req.unionByName(have).groupBy("person_id", "concept_id").agg(F.max("_asked").alias("_asked"), F.min("_asked").alias("_new"))
+    new = F.col("_new") | F.col("person_id").isNull() | F.col("concept_id").isNull()
+    return pairs.where("_asked").select("person_id", "concept_id", F.when(new, "added").otherwise("duplicate").alias("status"))
 
 
 # --------------------------------------------------------- P7 addresses

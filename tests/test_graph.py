@@ -109,3 +109,12 @@ def test_postal_address_drops_blank(spark):
     st = spark.createDataFrame([(1, G.STREET, "literal", " 1 rue A ", None, None, None), (1, G.POSTCODE, "literal", "0", None, None, None),
                                 (1, G.TOWN, "literal", "  ", None, None, None)], STMT)
     assert G.postal_address(st).first()["address"] == "1 rue A, 0"
+
+
+def test_link_keywords_is_one_aggregate_and_nulls_equal_nothing(spark):
+    have = spark.createDataFrame([(1, 1, "p"), (1, 2, "other"), (None, 1, "p"), (2, 2, "p"), (1, 1, "q")], "person_id bigint, concept_id bigint, property string")
+    req = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (None, 1), (3, None)], "person_id bigint, concept_id bigint")
+    out = G.link_keywords(have, req, ["p", "q"])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == sorted([(1, 1, "duplicate"), (1, 2, "added"), (None, 1, "added"), (3, None, "added")], key=str)
