@@ -386,26 +386,30 @@ def suggest(titles: DataFrame, requests: DataFrame, linked: DataFrame, k: int =
     pairing each request with every candidate: a person's answer lies in the
     first ``k + n`` candidates of the term, n being the person's links among
     the term's candidates. Candidates are ranked per term with
-    ``rank_within``; every request takes the ranks up to its own bound.
+    ``rank_within``; every request asks for the ranks up to its own bound, one
+    row each, and meets them by (term, rank): rows made are ``k`` per request
+    and one per link, whatever the number of titles.
     """
     req = requests.where(F.length(strip_ws("term")) >= min_len).select("person_id", "term").distinct()
     terms = req.select(F.col("term").alias("text")).distinct()
     terms = terms.withColumn("query_id", F.xxhash64("text"))
     rows = titles.select("id", F.array(F.col("title")).alias("leaves"))
     cand = substring_candidates(rows, F.col("leaves"), terms, F.lower)
-    cand = cand.join(terms, "query_id").join(titles, "id").select(F.col("text").alias("term"), "id", "title")
+    # the files of titles, candidates and links may be tiny beside their rows: none is broadcast
+    cand = cand.join(terms, "query_id").join(titles.hint("merge"), "id").select(F.col("text").alias("term"), "id", "title")
     # links of the requesting people only, written once: read for the
     # bound, the per-person counts and the final anti join
     linked = cut_lineage(linked.select("person_id", "id").join(req.select("person_id").distinct(), "person_id", "left_semi"),
                          "suggest-linked")
     cand = cut_lineage(cand, "suggest-candidates")
-    owned = req.join(linked, "person_id").join(cand.select("term", "id"), ["term", "id"], "left_semi")
+    owned = req.join(linked.hint("merge"), "person_id").join(cand.select("term", "id").hint("merge"), ["term", "id"], "left_semi")
     owned = cut_lineage(owned.distinct(), "suggest-owned")
     nl = owned.groupBy("person_id", "term").agg(F.count(F.lit(1)).alias("n_linked"))
     top = rank_within(cand, ["term"], [F.col("title").asc(), F.col("id").asc()], "crank")
-    bounds = req.join(nl, ["person_id", "term"], "left").withColumn("bound", F.lit(k) + F.coalesce("n_linked", F.lit(0)))
-    pairs = bounds.join(top, "term").where(F.col("crank") <= F.col("bound"))
-    pairs = pairs.join(owned.select("person_id", "term", "id"), ["person_id", "term", "id"], "left_anti")
+    bounds = req.join(nl.hint("merge"), ["person_id", "term"], "left").withColumn("bound", F.lit(k) + F.coalesce("n_linked", F.lit(0)))
+    bounds = bounds.select("person_id", "term", F.explode(F.sequence(F.lit(1).cast("bigint"), "bound")).alias("crank"))
+    pairs = bounds.join(top.hint("merge"), ["term", "crank"])
+    pairs = pairs.join(owned.select("person_id", "term", "id").hint("merge"), ["person_id", "term", "id"], "left_anti")
     w2 = Window.partitionBy("person_id", "term").orderBy("crank")
     return pairs.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).select(
         "person_id", "term", "rank", "id", "title"

@@ -212,3 +212,17 @@ def test_queries_of_the_same_words_share_their_hits(spark):
     got = {(r["query_id"], r["rank"], r["id"], r["total"]) for r in S.search_prefix_all(_names(spark), q, 1).collect()}
     assert {(1, 1, 1, 2), (2, 1, 1, 2), (5, 1, 2, 1)} <= got
     assert {x[0] for x in got} == {1, 2, 3, 5}
+
+
+def test_suggest_meets_requests_by_rank(spark):
+    """Requests of one term meet its titles on (term, rank), not each title of the term."""
+    titles = spark.range(400).selectExpr("id", "concat('ring ', lpad(id, 4, '0')) AS title")
+    req = spark.range(300).selectExpr("id AS person_id", "'ri' AS term")
+    linked = spark.range(300).selectExpr("id AS person_id", "id % 5 AS id")
+    out = S.suggest(titles, req, linked, k=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "<=" in x], plan
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["person_id"], []).append((r["rank"], r["id"]))
+    assert all(sorted(v) == list(enumerate([i for i in range(4) if i != p % 5][:3], 1)) for p, v in got.items()) and len(got) == 300
