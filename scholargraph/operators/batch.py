@@ -107,7 +107,7 @@ def settle_coauthors(co: DataFrame, records: DataFrame, statements: DataFrame) -
     from the name (from the person id if it has no name) and the record of the
     smallest id; a second batch finds it by that name.
     """
-    known = records.select("id", F.col("person.fullName").alias("fullName"))
+    known = cut_lineage(records.select("id", F.col("person.fullName").alias("fullName")), "merge-names")
     resolved = G.resolve_coauthors(co, known, statements)
     resolved = cut_lineage(resolved.where(F.col("status") != "unknown"), "merge-coauthors")
     names = known.join(resolved.where(F.col("status") == "to_create").select(F.col("coauthor_id").alias("id")).distinct(), "id", "left_semi")
@@ -152,7 +152,8 @@ def merge_batch(
     Every step is a keyed join over the batch's part of a table; what several
     steps read is written once.
     """
-    batch = items.join(requested.select("item_id").distinct(), "item_id", "left_semi")
+    asked = cut_lineage(requested.select("item_id").distinct(), "merge-requested")
+    batch = cut_lineage(items.join(asked, "item_id", "left_semi"), "merge-batch")
     is_org = F.col("class").eqNullSafe(F.lit(org_class))
     orgs, others = batch.where(is_org), batch.where(~is_org)
 
@@ -161,7 +162,8 @@ def merge_batch(
     hits = cut_lineage(found, "merge-hits")
     wanted = hits.select("person_id").distinct()
 
-    coauthors = persons.coauthors.join(wanted, "person_id", "left_semi")
+    coauthors = persons.coauthors.join(wanted, "person_id", "left_semi").select("person_id", "coauthor_id").distinct()
+    coauthors = cut_lineage(coauthors, "merge-coauthor-pairs")
     links, founders = settle_coauthors(coauthors, persons.records, statements)
     people = cut_lineage(hits.unionByName(founders), "merge-people")
     co_links = hits.join(links.withColumnRenamed("item_id", "target"), "person_id").select("item_id", "target")
@@ -174,7 +176,9 @@ def merge_batch(
     domain_links = cut_lineage(hits.join(domain_links, "person_id").select("item_id", "concept_id", "count"), "merge-domain-links")
 
     affiliations = persons.affiliations.join(people.select("person_id").distinct(), "person_id", "left_semi")
-    affiliations = cut_lineage(affiliations.where(F.col("structure_label").isNotNull()), "merge-affiliations")
+    # links have no place in a list, so none is made or carried
+    affiliations = affiliations.where(F.col("structure_label").isNotNull()).withColumn("pos", F.lit(None).cast("int"))
+    affiliations = cut_lineage(affiliations, "merge-affiliations")
     structures = affiliations.select("structure_id", F.col("structure_label").alias("label"), "kinds")
     resolved_orgs, org_rows = G.resolve_orgs(structures, statements)
     resolved_orgs = cut_lineage(resolved_orgs, "merge-organisations")
@@ -187,14 +191,15 @@ def merge_batch(
     own = statements.join(others.select("item_id"), "item_id", "left_semi")
     records = people.join(persons.records.withColumnRenamed("id", "person_id"), "person_id").select("item_id", "person")
     titles = publications.select("item_id", F.lit(PUBLICATIONS).alias("property"), F.lit("literal").alias("type"), F.col("title").alias("value"))
+    # the other rows come from written tables: reading those twice is less than writing their rows
     new = (
-        G.person_statements(records, own, id_prefix)
+        cut_lineage(G.person_statements(records, own, id_prefix), "merge-person-statements")
         .unionByName(_links(domain_links, HAS_CONCEPT, "concept_id"))
         .unionByName(_links(co_links, CONTRIBUTORS, "target"))
         .unionByName(_links(org_links, HAS_STRUCTURE, "org_item_id"))
         .unionByName(G.statements_frame(titles))
     )
-    merged = G.merge_statements(own, cut_lineage(new, "merge-statements"), "replace")
+    merged = G.merge_statements(own, new, "replace")
 
     refreshed, org_status, _ = enrich_structures(orgs, statements.join(orgs.select("item_id"), "item_id", "left_semi"), register, org_class)
     statuses = F.when(F.col("_s").isNull(), "skipped").otherwise(F.col("_s"))
@@ -220,4 +225,4 @@ def merge_batch(
         made(concepts, CONCEPT_CLASS).unionByName(made(resolved_orgs, org_class)).unionByName(founders.select("item_id", F.lit(PERSON_CLASS).alias("class")))
     )
     everything = merged.unionByName(G.statements_frame(concept_rows)).unionByName(G.statements_frame(org_rows)).unionByName(G.statements_frame(refreshed))
-    return Merge(everything, annotations, created, status, G.missing_ids(requested, items))
+    return Merge(everything, annotations, created, status, G.missing_ids(asked, items))

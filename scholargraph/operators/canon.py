@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scholargraph import schemas
 from scholargraph.functions.text import php_empty
+from scholargraph.session import spread
 
 # The researcher registry's identifier type, the URL prefix of
 # a registry record, and the prefix of a person id built from a registry id.
@@ -68,10 +69,13 @@ def _person_field_names() -> list[str]:
 def decode_person_table(table: DataFrame, data_col: str = "data") -> DataFrame:
     """Person table rows ``(id, fullName, data, ...)`` -> canonical persons.
 
-    Output ``(row_id, person)``: the table id and the canonical struct.
+    Output ``(row_id, person)``: the table id and the canonical struct. A
+    record is decoded once, and not for every field of the struct; decoding is
+    work for all cores, also where one file holds the table.
     """
-    rec = F.from_json(F.col(data_col), schemas.PERSON_OR_ENVELOPE)
-    return table.select(F.col("id").alias("row_id"), canonical_person(rec).alias("person"))
+    table = spread(table, 1 << 20)
+    decoded = table.select(F.col("id").alias("row_id"), F.from_json(F.col(data_col), schemas.PERSON_OR_ENVELOPE).alias("_rec"))
+    return decoded.select("row_id", canonical_person(F.col("_rec")).alias("person"))
 
 
 def canonical_from_registry(docs: DataFrame, id_col: str = "orcid", doc_col: str = "doc") -> DataFrame:

@@ -22,6 +22,7 @@ from scholargraph.plans.q_ingest import P4_SQL, register_rows
 from scholargraph.plans.q_search import prefix_sql
 from scholargraph.plans.registry import register, table
 from scholargraph.plans.sqltext import fold_sql
+from scholargraph.session import cut_lineage
 
 
 def items(spark, sf):
@@ -60,9 +61,9 @@ def graph_statements(spark, sf):
 def persons(spark, sf):
     size = table(spark, sf, "part").select("p_partkey", "p_size")
     kind = F.when(F.col("p_size") % 3 == 0, F.lit("wikidata")).when(F.col("p_size") % 3 == 1, F.lit("keyword"))
-    domains = qp.domain_entries(spark, sf).drop("type").join(size, F.col("pos.l_partkey") == F.col("p_partkey")).withColumn("type", kind)
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    affiliations = qp.affiliation_entries(spark, sf)
+    lines = cut_lineage(qp.order_lines(spark, sf), "order-lines")  # read by every list of a person
+    domains = qp.domain_entries(spark, sf, lines).drop("type").join(size, F.col("pos.l_partkey") == F.col("p_partkey")).withColumn("type", kind)
+    affiliations = qp.affiliation_entries(spark, sf, lines)
     key = F.col("l_suppkey")
     affiliations = affiliations.withColumns({
         "structure_id": F.when(key % 9 == 0, F.concat(F.lit("ED"), key.cast("string"))).otherwise(F.col("structure_id")),
@@ -74,7 +75,7 @@ def persons(spark, sf):
         domains.select("person_id", "pos", "label", "code", "type", "count"),
         lines.select(F.col("o_custkey").alias("person_id"), F.col("l_partkey").alias("coauthor_id")),
         affiliations,
-        qp.publication_entries(spark, sf),
+        qp.publication_entries(spark, sf, lines),
     )
 
 

@@ -26,12 +26,21 @@ def line_pos():
 LINE_POS_SQL = "{'l_orderkey': l.l_orderkey, 'l_linenumber': l.l_linenumber, 'l_partkey': l.l_partkey, 'l_suppkey': l.l_suppkey}"
 
 
-def domain_entries(spark, sf):
-    """Domains of each customer: one entry per line item of their orders."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+def order_lines(spark, sf):
+    """Every line item beside its order."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate"
+    )
+    return li.join(o, li.l_orderkey == o.o_orderkey)
+
+
+def domain_entries(spark, sf, lines=None):
+    """Domains of each customer: one entry per line item of their orders
+    (``lines``: ``order_lines`` that are written already)."""
+    lines = order_lines(spark, sf) if lines is None else lines
     p = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    j = lines.join(p, F.col("l_partkey") == F.col("p_partkey"))
     return j.select(
         F.col("o_custkey").alias("person_id"),
         line_pos().alias("pos"),
@@ -76,11 +85,9 @@ def q_merge_domains(spark, sf):
     return pg.merge_domains(domain_entries(spark, sf)).drop("type", "first_pos")
 
 
-def publication_entries(spark, sf):
+def publication_entries(spark, sf, lines=None):
     """Publications of each customer: one entry per line item of an order."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    j = order_lines(spark, sf) if lines is None else lines
     return j.select(
         F.col("o_custkey").alias("person_id"),
         line_pos().alias("pos"),
@@ -119,19 +126,21 @@ def q_group_publications(spark, sf):
     return g.select("person_id", "publication", "title", "year", F.array_join("roles", ",").alias("roles"))
 
 
-def affiliation_entries(spark, sf):
-    """Affiliations of each customer: the suppliers of their line items."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
-    return j.groupBy(F.col("o_custkey").alias("person_id"), F.col("l_suppkey")).agg(
+def affiliation_entries(spark, sf, lines=None):
+    """Affiliations of each customer: the suppliers of their line items. The
+    line items are summed before they meet the supplier's name."""
+    lines = order_lines(spark, sf) if lines is None else lines
+    s = table(spark, sf, "supplier").groupBy("s_suppkey").agg(F.first("s_name").alias("structure_label"), F.count(F.lit(1)).alias("_rows"))
+    j = lines.groupBy(F.col("o_custkey").alias("person_id"), F.col("l_suppkey")).agg(
         F.min(line_pos()).alias("pos"),
-        F.first("s_name").alias("structure_label"),
-        F.count(F.lit(1)).alias("publications_count"),
+        F.count(F.lit(1)).alias("_lines"),
         F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("start_date"),
         F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("end_date"),
-    ).withColumn("structure_id", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+    )
+    return j.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "person_id", "l_suppkey", "pos", "structure_label", (F.col("_lines") * F.col("_rows")).alias("publications_count"),
+        "start_date", "end_date", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("structure_id"),
+    )
 
 
 def external_id_entries(spark, sf):

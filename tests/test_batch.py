@@ -93,3 +93,40 @@ def test_an_empty_batch(spark):
     requested, *rest = inputs(spark)
     m = B.merge_batch(requested.limit(0), *rest)
     assert [df.count() for df in m] == [0, 0, 0, 0, 0]
+
+
+def test_the_batch_is_looked_up_once(spark, tmp_path):
+    """What was asked for is read to write the batch, and not again for every result."""
+    requested, *rest = inputs(spark)
+    requested.write.parquet(str(tmp_path / "asked"))
+    m = B.merge_batch(spark.read.parquet(str(tmp_path / "asked")), *rest)
+    for df in m:
+        assert not any("/asked/" in f for f in df.inputFiles())
+    assert [r["item_id"] for r in m.missing.collect()] == [404]
+    assert m.status.count() == 5
+
+
+def test_a_record_is_decoded_once(spark):
+    table = spark.createDataFrame([(1, json.dumps({"id": "1", "firstName": "A", "fullName": "A B"}))], "id bigint, data string")
+    records = canon.decode_person_table(table)
+    assert records.first()["person"]["fullName"] == "A B"
+    assert records._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_repeated_suppliers_count_their_lines_again(spark, tmp_path):
+    """Line items are summed before they meet the supplier, with the figures of the join."""
+    from scholargraph.plans import q_persons as qp
+
+    tables = {
+        "supplier": ([(1, "one"), (1, "one"), (2, "two"), (None, "none")], "s_suppkey bigint, s_name string"),
+        "orders": ([(10, 7, "2001-01-01"), (11, None, "2001-01-01")], "o_orderkey bigint, o_custkey bigint, o_orderdate string"),
+        "lineitem": ([(10, 1, 1, 1, 1.0, "A", "2001-02-03"), (10, 2, 1, 1, 1.0, "A", "2001-02-01"), (10, 3, 1, 2, 1.0, "A", None),
+                      (10, 4, 1, 3, 1.0, "A", None), (10, 5, 1, None, 1.0, "A", None), (11, 1, 1, 2, 1.0, "A", None)],
+                     "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_returnflag string, l_shipdate string"),
+    }
+    for name, (rows, schema) in tables.items():
+        df = spark.createDataFrame(rows, schema)
+        df.withColumns({c: F.to_date(c) for c in df.columns if c.endswith("date")}).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = qp.affiliation_entries(spark, str(tmp_path)).select("person_id", "structure_id", "structure_label", "publications_count", "start_date", "end_date")
+    assert sorted(map(tuple, got.collect()), key=str) == [
+        (7, "S1", "one", 4, "2001-02-01", "2001-02-03"), (7, "S2", "two", 1, None, None), (None, "S2", "two", 1, None, None)]
