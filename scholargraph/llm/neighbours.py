@@ -105,26 +105,42 @@ def _assign(forest: Forest):
     return run
 
 
-def _visit(forest: Forest, counts: np.ndarray, rows: int):
+def _visit(forest: Forest, counts: np.ndarray, rows: int, known: np.ndarray, k: int):
+    """The leaves that every query visits, and ``least``: the ``k``-th best
+    score among those of the ``known`` rows of the index that they hold. No row
+    below it can be one of the query's ``k`` best."""
+    places = forest.leaves(known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, trees, leaves = [], [], []
+            at, trees, leaves, least = [], [], [], []
             for i, query in enumerate(_matrix(batch.column(1))):
-                for t, leaf in forest.visit(query, counts, rows):
-                    at.append(i)
-                    trees.append(t)
-                    leaves.append(leaf)
+                visits = forest.visit(query, counts, rows)
+                seen = np.zeros(counts.shape, dtype=bool)
+                for t, leaf in visits:
+                    seen[t, leaf] = True
+                scores = known[seen[np.arange(forest.trees), places].any(axis=1)] @ query
+                bound = -np.inf
+                if len(scores) >= k:
+                    # the last bits of a score depend on the shape of the product
+                    bound = np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12 * forest.norm * np.linalg.norm(query)
+                at += [i] * len(visits)
+                trees += [t for t, _ in visits]
+                leaves += [leaf for _, leaf in visits]
+                least += [bound] * len(visits)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(trees, pa.int32()), pa.array(leaves, pa.int32()), batch.column(0).take(take), batch.column(1).take(take)],
-                ["tree", "leaf", "id", "vector"],
+                [pa.array(trees, pa.int32()), pa.array(leaves, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(least, pa.float64())],
+                ["tree", "leaf", "id", "vector", "least"],
             )
 
     return run
 
 
+#: Rows of the sample that give every query a bound.
+_KNOWN = 8192
 #: Candidates that a task holds before it cuts every query's to its best ones.
 _HELD = 1 << 20
 
@@ -148,7 +164,8 @@ def _cut(found: list[np.ndarray], k: int) -> list[np.ndarray]:
 def _rerank(k: int):
     """Over rows sorted by (tree, leaf, is_query): a leaf's rows are kept, its
     queries scored against them a batch at a time. A task passes on the best
-    rows that each query has in all its leaves together."""
+    rows that each query has in all its leaves together, and none below the
+    query's bound: however many tasks there are, few rows are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, ids, rows = None, [], []
@@ -162,7 +179,7 @@ def _rerank(k: int):
                 continue
             key = batch.column(0).to_numpy().astype(np.int64) << 33 | batch.column(1).to_numpy().astype(np.int64) << 1
             key |= batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            vec, own = _matrix(batch.column(4)), batch.column(3).to_numpy()
+            vec, own, bound = _matrix(batch.column(4)), batch.column(3).to_numpy(), batch.column(5).to_numpy()
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 leaf, is_query = key[a] >> 1, key[a] & 1
@@ -178,7 +195,7 @@ def _rerank(k: int):
                         scores = vec[s : min(b, s + 256)] @ rows[0].T
                         n = min(k, scores.shape[1])
                         least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-                        q, r = np.nonzero(scores >= least[:, None])
+                        q, r = np.nonzero(scores >= np.maximum(least, bound[s : min(b, s + 256)])[:, None])
                         for h, x in zip(held, (own[s + q], ids[0][r], scores[q, r])):
                             h.append(x)
             if sum(map(len, held[0])) > _HELD:
@@ -212,7 +229,8 @@ def nearest(
     visits leaves of all trees until they hold ``share`` times as many rows as
     there are (a row counts once in each tree; ``least_rows`` at least, which
     in a small table is all of them), and what they hold is scored
-    exactly in blocks, leaf by leaf. Vectors without structure need a large
+    exactly in blocks, leaf by leaf. What a query has in the first 8192 of the
+    sample bounds what is passed on, and changes no result. Vectors without structure need a large
     share: directions in many dimensions are nearly orthogonal, so no tree can
     rule much out. 8 trees and a share of 1 look at about 0.6 of the rows.
 
@@ -253,9 +271,10 @@ def nearest(
     counts = np.zeros((trees, 1 << depth), dtype=np.int64)
     for r in indexed.groupBy("tree", "leaf").count().collect():  # trees x 2^depth rows at most
         counts[r["tree"], r["leaf"]] = r["count"]
-    visits = asked.mapInArrow(_visit(forest, counts, max(least_rows, int(share * total))), "tree int, leaf int, id long, vector array<float>")
-    mixed = indexed.withColumn("is_query", F.lit(0)).unionByName(visits.withColumn("is_query", F.lit(1)))
-    mixed = mixed.select("tree", "leaf", "is_query", "id", "vector")
+    visits = _visit(forest, counts, max(least_rows, int(share * total)), sample[:_KNOWN], k + 1)
+    visits = asked.mapInArrow(visits, "tree int, leaf int, id long, vector array<float>, least double")
+    mixed = indexed.withColumns({"is_query": F.lit(0), "least": F.lit(0.0)}).unionByName(visits.withColumn("is_query", F.lit(1)))
+    mixed = mixed.select("tree", "leaf", "is_query", "id", "vector", "least")
     sorted_leaves = mixed.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "is_query")
     found = sorted_leaves.mapInArrow(_rerank(k + 1), "qid long, cls long, score double")
     found = found.groupBy("qid", "cls").agg(F.max("score").alias("score"))

@@ -228,3 +228,39 @@ def test_blocks_are_bounded_and_strata_cut_the_visit(monkeypatch):
         exact.append((-sum({1: 50, 3: 3000}.get(t, 0) * ((10**9 * f) // (1000 * f + 8 * m)) for t, f in zip(ts, fs)), i))
     assert list(zip((-best[1]).tolist(), best[0].tolist())) == sorted(exact)[:5]
     assert scored < 250
+
+
+def test_tasks_pass_on_few_rows_however_many_there_are():
+    """With a leaf a task, far fewer rows are passed on than 21 a leaf, and none of the best is lost."""
+    import numpy as np
+    import pyarrow as pa
+
+    from scholargraph.llm import neighbours as N
+
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((3000, 16)).astype(np.float32)
+    queries, k = rows[::100].astype(np.float64), 20
+    forest = N.Forest(rows.astype(np.float64), float(np.linalg.norm(rows, axis=1).max()), 4, 5)
+    leaves = forest.leaves(rows.astype(np.float64))
+    counts = np.stack([np.bincount(leaves[:, t], minlength=32) for t in range(4)])
+    vectors = lambda x: pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))
+    asked = pa.RecordBatch.from_arrays([pa.array(np.arange(len(queries))), vectors(queries)], ["id", "vector"])
+    visits = next(N._visit(forest, counts, 10000, rows[:1000].astype(np.float64), k)(iter([asked])))
+    passed = []
+    for t in range(4):
+        for leaf in range(32):
+            held = np.flatnonzero(leaves[:, t] == leaf)
+            of = [v for v in visits.to_pylist() if (v["tree"], v["leaf"]) == (t, leaf)]
+            parts = [(held, rows[held], 0, np.zeros(len(held))),
+                     (np.array([v["id"] for v in of], np.int64), np.array([v["vector"] for v in of], np.float32).reshape(-1, 16), 1, np.array([v["least"] for v in of]))]
+            batches = [pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), t, np.int32)), pa.array(np.full(len(ids), leaf, np.int32)), pa.array(np.full(len(ids), is_query, np.int32)),
+                 pa.array(ids), vectors(vec), pa.array(least, pa.float64())],
+                ["tree", "leaf", "is_query", "id", "vector", "least"]) for ids, vec, is_query, least in parts]
+            passed += [r for b in N._rerank(k)(iter(batches)) for r in b.to_pylist()]
+    assert len(passed) < 0.2 * k * visits.num_rows
+    exact = queries @ rows.T.astype(np.float64)
+    for q in range(len(queries)):
+        found = {r["cls"]: r["score"] for r in passed if r["qid"] == q}
+        best = sorted(found, key=lambda c: (-found[c], c))[:k]
+        assert best == sorted(range(len(rows)), key=lambda c: (-exact[q, c], c))[:k]
