@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholargraph.llm.common import sieve, sifted, split_rows, text_or_empty, written
+from scholargraph.llm.common import shuffles_go, sieve, sifted, split_rows, text_or_empty, written
 from scholargraph.llm.words import hash_words, lower_ascii, mix
 
 #: Bytes of text and number of lines taken through the array operations at once.
@@ -179,6 +179,12 @@ def _confirm(percent: int):
     return run
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written; what its query has shuffled need not lie beside the next."""
+    with shuffles_go(df.sparkSession):
+        return written(df, name)
+
+
 def _bits(keys: DataFrame, key: str, rows: int = 256) -> np.ndarray:
     """A bitmap of rows x 32,768 bits (1 MB as set) of the low bits of ``key``."""
     place = F.col(key).bitwiseAND(F.lit(rows * 32768 - 1))
@@ -229,9 +235,9 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     counts = np.minimum(counts, 0xFFFF).astype(np.uint16)
 
     lines = docs.mapInArrow(_lines(counts, percent), "_id long, line int, key long, size int, p long, q long, m1 long, m2 long, prefix array<int>")
-    lines = written(lines, "lines")
+    lines = _kept(lines, "lines")
     classes = lines.groupBy("key").agg(F.min(F.struct("_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = written(classes, "line-classes")
+    classes = _kept(classes, "line-classes")
 
     # several tasks may bring a line that repeats; other lines need no shuffle to be brought once
     rows = lines.where("prefix is not null").withColumn("place", F.struct("_id", "line"))
@@ -249,7 +255,7 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
         """Of every pair (a, b) that is similar, the class that comes later."""
         wanted = _bits(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
         sets = docs.select("_text").mapInArrow(_sets(counts, wanted), "key long, tokens array<long>").dropDuplicates(["key"])
-        sets = written(sets, "line-sets")
+        sets = _kept(sets, "line-sets")
         x = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
         y = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
         similar = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
@@ -259,7 +265,7 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
             .join(firsts.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
             .select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("key"))
         )
-        return written(found.distinct(), "later-lines")
+        return _kept(found.distinct(), "later-lines")
 
     # near copies meet the first lines that share their smallest token under a hash function
     buckets = one.select("key", "place", "size", "p", "q", F.explode(F.array("m1", "m2")).alias("m"))
@@ -269,7 +275,7 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     stars = buckets.join(hubs, "m").where(F.col("hub.place") < F.col("place"))
     stars = stars.where(near(*[F.col(c) for c in ("size", "p", "q", "hub.size", "hub.p", "hub.q")]))
     ends = F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")
-    settled = later(written(stars.select(*ends).distinct(), "line-stars"))
+    settled = later(_kept(stars.select(*ends).distinct(), "line-stars"))
 
     # token, place, size and whether the line is settled in one word: four words a row are shuffled
     flagged = sifted(one, sieve(settled, ["key"]), ["key"])
@@ -291,7 +297,7 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     same = F.shiftright(F.col("w"), 32) == F.shiftright(F.col("v"), 32)
     close = near(size("w"), F.col("p"), F.col("q"), size("v"), F.col("r"), F.col("s"))
     pairs = x.join(y, same & (F.col("a") < F.col("b")) & open_ & room & close)
-    found = later(written(pairs.select("a", "b").distinct(), "line-pairs"))
+    found = later(_kept(pairs.select("a", "b").distinct(), "line-pairs"))
     later_ones = settled.unionByName(found).distinct().withColumn("_later", F.lit(True))
     decided = classes.join(later_ones, "key", "left").where("n > 1 or _later")
     removed = lines.select("_id", "line", "key").join(decided, "key")

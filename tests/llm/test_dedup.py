@@ -307,3 +307,16 @@ def test_near_passages_against_brute_force(spark):
     print(recall)
     assert min(recall.values()) >= 0.98
     assert {doc for doc, _ in got} <= set(truth)
+
+
+def test_line_dedup_lets_its_shuffles_go(spark, monkeypatch):
+    """What a step has shuffled does not lie on disk beside the next step's."""
+    from scholargraph.llm import line_dedup
+
+    key, seen, write = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], line_dedup.written
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: (seen.append(spark.conf.get(key)), write(df, name))[1])
+    df = spark.createDataFrame([(1, "a b c d e f\nx y"), (2, "a b c d e f\nz")], "doc_id long, text string")
+    assert [tuple(r) for r in line_dedup.repeated_lines(df).collect()] == [(2, [0])]
+    assert seen and set(seen) == {"true"}
+    assert spark.conf.get(key, None) == before
