@@ -250,6 +250,46 @@ def test_passages_quoted_in_part_by_other_documents_are_found(spark):
     assert len(got - expected) < 0.02 * len(expected)
 
 
+def test_a_passage_of_frequent_seeds_is_found_whatever_holds_them(spark):
+    """The only partner is neither the first nor among the last that have the
+    passage's seeds; the others have half of it."""
+    whole = prose(77, 60).split()
+    near = ["w%d" % j if j in (12, 29, 47) else w for j, w in enumerate(whole)]
+    halves = whole[:30], whole[30:]
+    texts = [(i, " ".join([prose(5000 + i, 20), *halves[i % 2], prose(6000 + i, 20)])) for i in range(60) if i != 20]
+    texts.append((20, " ".join([prose(5020, 20), *whole, prose(6020, 20)])))
+    texts.append((70, " ".join([prose(5070, 20), *near, prose(6070, 20)])))
+    assert found_words(documents(spark, texts)) == {(70, 20 + w) for w in range(60)}
+
+
+def test_matches_are_all_pairs_thinned_out_in_runs():
+    """Every pair's runs of equal words come back from the matches made,
+    however few are made at a time."""
+    rnd = random.Random(3)
+    line = [rnd.randrange(1 << 40) for _ in range(30)]
+    docs = [[rnd.randrange(1 << 40) for _ in range(i % 5)] + line[: 20 + i % 11] + [rnd.randrange(1 << 40)] for i in range(40)]
+    rows = []
+    for d, ws in enumerate(docs):
+        for p in range(len(ws) - 3):
+            flank = (ws[p - 1] % (1 << 31) if p else 0) << 32 | (ws[p + 4] % (1 << 32) if p + 4 < len(ws) else 0)
+            rows.append((hash(tuple(ws[p : p + 4])), 0, d, p << 32, flank))
+    cols = [np.array(c, np.int64) for c in zip(*sorted(rows, key=lambda r: (r[0], r[2], r[3])))]
+    parts = list(passages.matches(*cols, 8, 50))
+    assert max(len(p[0]) for p in parts) < 200
+    made = set(zip(*(np.concatenate(c).tolist() for c in zip(*parts))))
+    assert sum(len(p[0]) for p in parts) == len(made)
+    expected = set()
+    for d, ws in enumerate(docs):
+        for e in range(d):
+            n = min(20 + d % 11, 20 + e % 11)
+            for j in range(n - 3):
+                p, on = d % 5 + j, passages._GOES_ON if j < n - 4 else 0
+                start = j == 0 and (d % 5 or e % 5)
+                if start or not on or p % 8 == 0:
+                    expected.add((d, e, p, e % 5 + j, on))
+    assert made == expected
+
+
 def test_passages_of_documents_cut_in_slices(spark, monkeypatch):
     """A document whose chains are dealt out in slices gives the same rows, with
     texts hashed many at a time or one by one."""
