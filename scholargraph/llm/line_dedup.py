@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholargraph.llm.common import shuffles_go, sieve, sifted, split_rows, text_or_empty, written
+from scholargraph.llm.common import bits, shuffles_go, sieve, sifted, split_rows, text_or_empty, written
 from scholargraph.llm.words import hash_words, lower_ascii, mix
 
 #: Bytes of text and number of lines taken through the array operations at once.
@@ -185,20 +185,6 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
         return written(df, name)
 
 
-def _bits(keys: DataFrame, key: str, rows: int = 256) -> np.ndarray:
-    """A bitmap of rows x 32,768 bits (1 MB as set) of the low bits of ``key``."""
-    place = F.col(key).bitwiseAND(F.lit(rows * 32768 - 1))
-    bitmap = (
-        keys.select(F.shiftright(place, 15).alias("_bucket"), place.bitwiseAND(F.lit(32767)).alias("_place"))
-        .groupBy("_bucket")
-        .agg(F.expr("bitmap_construct_agg(_place)").alias("_bits"))
-    )
-    out = np.zeros((rows, 32768), dtype=bool)
-    for r in bitmap.collect():  # at most ``rows`` rows of 4 KB
-        out[r["_bucket"]] = np.unpackbits(np.frombuffer(r["_bits"], np.uint8), bitorder="little")
-    return out.reshape(-1)
-
-
 def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines that repeat an earlier line: ``id_col``, removed (line numbers from
     0, sorted), one row per document that has any.
@@ -253,7 +239,7 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
 
     def later(pairs: DataFrame) -> DataFrame:
         """Of every pair (a, b) that is similar, the class that comes later."""
-        wanted = _bits(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
+        wanted = bits(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
         sets = docs.select("_text").mapInArrow(_sets(counts, wanted), "key long, tokens array<long>").dropDuplicates(["key"])
         sets = _kept(sets, "line-sets")
         x = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
