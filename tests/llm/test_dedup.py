@@ -290,6 +290,22 @@ def test_matches_are_all_pairs_thinned_out_in_runs():
     assert made == expected
 
 
+def test_short_chains_that_go_have_nothing_to_add(spark, monkeypatch):
+    """The same words are found if no chain goes for being short; among them
+    those of short near lines beside a copied passage."""
+    copied, line = prose(81, 60).split(), prose(82, 30).split()
+    near = ["w%d" % j if j in (3, 17) else w for j, w in enumerate(line)]
+    texts = [(0, " ".join(copied))]
+    for i in range(1, 26):
+        parts = [near if i % 2 else line, copied] if i % 3 else [copied[:15], line]
+        texts.append((i, " ".join([prose(7000 + i, 20), *sum(parts, []), prose(8000 + i, 20)])))
+    got = found_words(documents(spark, texts))
+    assert {i for i, _ in got} == {i for i in range(1, 26) if i % 3}
+    assert {(25, 20 + w) for w in range(90)} <= got and (25, 19) not in got
+    monkeypatch.setattr(passages, "bits", lambda *_: np.ones(1 << 23, dtype=bool))
+    assert found_words(documents(spark, texts)) == got
+
+
 def test_passages_of_documents_cut_in_slices(spark, monkeypatch):
     """A document whose chains are dealt out in slices gives the same rows, with
     texts hashed many at a time or one by one."""
