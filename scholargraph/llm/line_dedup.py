@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from scholargraph.llm.common import bits, shuffles_go, sieve, sifted, split_rows, text_or_empty, written
 from scholargraph.llm.words import hash_words, lower_ascii, mix
 
-#: Bytes of text and number of lines taken through the array operations at once.
-_CHUNK_BYTES, _CHUNK_LINES = 1 << 21, 1 << 16
+#: Bytes of text (arrays over them fit a core's cache) and number of lines taken
+#: through the array operations at once.
+_CHUNK_BYTES, _CHUNK_LINES = 1 << 18, 1 << 16
 #: Lines of a bucket that the others of it are compared with before the join.
 _HUBS = 8
 #: Counters of the word-frequency sketch (a power of two) and bits of a token hash.
 _COUNTERS, _HASH_BITS = 1 << 17, 48
+#: Rows of a token that one task pairs, and pairs that it makes together.
+_MOST, _PAIRS = 1 << 16, 1 << 18
+#: Largest size of a set and place of a token that the filters tell apart.
+_MOST_SIZE, _MOST_AT = (1 << 19) - 1, (1 << 12) - 1
+#: Numbers that spread lines over a bitmap.
+_SPOT_IDS, _SPOT_STEP = 8388593, 1000003
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, bytes]]:
@@ -149,23 +156,114 @@ def _lines(counts: np.ndarray, percent: int):
     return run
 
 
+def _spot(ids, line):
+    """A place in a bitmap for a line of a document; numbers stay below 2**53."""
+    return (ids % _SPOT_IDS) * _SPOT_STEP + line * 7919
+
+
 def _sets(counts: np.ndarray, wanted: np.ndarray):
-    """The whole sets of lines whose key's bit is set."""
+    """The whole sets of the lines whose spot's bit is set; no other line's words are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, data in _chunks(batch.column(0).cast(pa.binary())):
+            texts = batch.column(1).cast(pa.binary())
+            n_lines = np.array([t.as_py().count(b"\n") + 1 for t in texts], np.int64)
+            starts = np.cumsum(n_lines) - n_lines
+            line = np.arange(n_lines.sum()) - np.repeat(starts, n_lines)
+            spots = _spot(np.repeat(batch.column(0).to_numpy(), n_lines), line) & (len(wanted) - 1)
+            hits = np.flatnonzero(wanted[spots])
+            docs = np.searchsorted(starts, hits, "right") - 1
+            ends = np.flatnonzero(np.append(docs[1:] != docs[:-1], True)) + 1 if len(hits) else []
+            picked, first = [], 0
+            for end in ends:
+                own = texts[int(docs[first])].as_py().split(b"\n")
+                picked += [own[i] for i in line[hits[first:end]]]
+                first = end
+            for _, _, data in _chunks(pa.array(picked, pa.binary())):
                 lines = Lines(data, counts)
-                hit = wanted[lines.key & (len(wanted) - 1)]
-                hit[hit] = _new(lines.key[hit], seen)
+                new = _new(lines.key, seen)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.key[hit]), lines.heads(hit, lines.size).filter(pa.array(hit))], ["key", "tokens"]
+                    [pa.array(lines.key[new]), lines.heads(new, lines.size).filter(pa.array(new))], ["key", "tokens"]
                 )
 
     return run
 
 
+def _close_pairs(w: np.ndarray, key: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, sorted by ``w``, that share a token and can reach the threshold."""
+    size, at = w >> 13 & _MOST_SIZE, w >> 1 & _MOST_AT
+    left = size - at
+    # rows of a token are in order of size: a row meets those after it that are not too large
+    largest = np.minimum(100 * size // percent, _MOST_SIZE)
+    ends = np.searchsorted(w, w >> 32 << 32 | largest << 13 | 0x1FFF, "right")
+    n = np.where(left * (100 + percent) >= 2 * percent * size, ends - np.arange(len(w)) - 1, 0)
+    done, last = np.cumsum(n), 0
+    while last < len(n):
+        first, before = last, done[last - 1] if last else 0
+        last = max(first + 1, int(np.searchsorted(done, before + _PAIRS, "right")))
+        own = n[first:last]
+        i = np.repeat(np.arange(first, last), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        sizes = size[i] + size[j]
+        # the first token that two sets share has all their common tokens at or after it
+        ok = np.minimum(left[i], left[j]) * (100 + percent) >= percent * sizes
+        # of two settled lines neither has anything left to find
+        ok &= (w[i] & w[j] & 1) == 0
+        i, j, sizes = i[ok], j[ok], sizes[ok]
+        # of signed numbers numpy counts the bits of the absolute value
+        differ = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in (p, q))
+        ok = (100 + percent) * differ <= (100 - percent) * sizes
+        a, b = key[i[ok]], key[j[ok]]
+        yield np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+
+
+def _meet(percent: int, most: int):
+    """Pairs of the rows (w, key, p, q) that share a token, from rows sorted by
+    ``w``. Of a token with more than ``most`` rows the rows go on themselves,
+    with ``w``: a task holds no more of one token than that."""
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a, b in _close_pairs(*rows, percent):
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none], names)
+
+    def rest(rows: list[np.ndarray]) -> pa.RecordBatch:
+        w, key, p, q = map(pa.array, rows)
+        return pa.RecordBatch.from_arrays([key, pa.nulls(len(key), pa.int64()), w, p, q], names)
+
+    names = ["a", "b", "w", "p", "q"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, passed = [], 0, None
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            if passed is not None:  # the token that is passed on may go on
+                end = int(np.searchsorted(rows[0] >> 32, passed, "right"))
+                if end:
+                    yield rest([r[:end] for r in rows])
+                rows = [r[end:] for r in rows]
+            if not len(rows[0]):
+                continue
+            passed = None
+            held.append(rows)
+            n += len(rows[0])
+            if n < most:
+                continue
+            rows = [np.concatenate(c) for c in zip(*held)]
+            token = rows[0] >> 32
+            last = int(np.searchsorted(token, token[-1]))
+            yield from pairs([r[:last] for r in rows])
+            held, n = [[r[last:] for r in rows]], n - last
+            if n > most:
+                yield rest(held[0])
+                held, n, passed = [], 0, token[-1]
+        if n:
+            yield from pairs([np.concatenate(c) for c in zip(*held)])
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,6 +298,8 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
        meet on the tokens of their prefix (n - ceil(percent n) + 1 rarest); sizes
        and positions must leave room for the threshold, and 128 parities must
        not differ in more places than the sets may in tokens.
+       Rows of a token are sorted by size in one task, up to 65,536 of them; those
+       of a more common token are joined, which spreads them over tasks.
     3. What meets is confirmed on the whole sets, read again for those classes.
 
     Before step 2 every class is compared with the first 8 lines that share its
@@ -230,7 +330,7 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     rows = rows.select("key", "place", "size", "p", "q", "m1", "m2", "prefix")
     rows = sifted(rows, sieve(classes.where("n > 1"), ["key"]), ["key"])
     many = rows.where("_hit").groupBy("key").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in rows.columns[2:-1]])
-    one = rows.where("not _hit").drop("_hit").unionByName(many)
+    one = _kept(rows.where("not _hit").drop("_hit").unionByName(many), "line-firsts")
 
     def near(n, p, q, m, r, s):
         """Whether sets of n and m tokens with these parities can reach the threshold."""
@@ -239,8 +339,11 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
 
     def later(pairs: DataFrame) -> DataFrame:
         """Of every pair (a, b) that is similar, the class that comes later."""
-        wanted = bits(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
-        sets = docs.select("_text").mapInArrow(_sets(counts, wanted), "key long, tokens array<long>").dropDuplicates(["key"])
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+        places = sifted(classes.select("key", "first"), sieve(ends, ["key"]), ["key"]).where("_hit")
+        spot = _spot(F.pmod("first._id", F.lit(_SPOT_IDS)), F.col("first.line").cast("long"))
+        wanted = bits(places.select(spot.alias("spot")), "spot")
+        sets = docs.mapInArrow(_sets(counts, wanted), "key long, tokens array<long>").dropDuplicates(["key"])
         sets = _kept(sets, "line-sets")
         x = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
         y = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
@@ -263,26 +366,30 @@ def repeated_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     ends = F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")
     settled = later(_kept(stars.select(*ends).distinct(), "line-stars"))
 
-    # token, place, size and whether the line is settled in one word: four words a row are shuffled
+    # token, size, place and whether the line is settled in one word: four words a row are shuffled, once
     flagged = sifted(one, sieve(settled, ["key"]), ["key"])
     sure = flagged.where("_hit").drop("_hit").join(settled.withColumn("_settled", F.lit(1)), "key", "left")
     flagged = flagged.where("not _hit").drop("_hit").withColumn("_settled", F.lit(0)).unionByName(sure)
     met = flagged.select("key", "size", "p", "q", F.coalesce("_settled", F.lit(0)).alias("_settled"), F.posexplode("prefix").alias("at", "token"))
     # a place or a size too large for its bits counts as the largest that fits, which filters less
-    low = F.shiftleft(F.least("at", F.lit((1 << 12) - 1)).cast("long"), 20)
-    low = low.bitwiseOR(F.shiftleft(F.least("size", F.lit((1 << 19) - 1)).cast("long"), 1)).bitwiseOR(F.col("_settled").cast("long"))
+    low = F.shiftleft(F.least("size", F.lit(_MOST_SIZE)).cast("long"), 13)
+    low = low.bitwiseOR(F.shiftleft(F.least("at", F.lit(_MOST_AT)).cast("long"), 1)).bitwiseOR(F.col("_settled").cast("long"))
     met = met.select(F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(low).alias("w"), "key", "p", "q")
-    side = lambda names: met.select(*[F.col(c).alias(n) for c, n in zip(("w", "key", "p", "q"), names)])
-    x, y = side(("w", "a", "p", "q")), side(("v", "b", "r", "s"))
-    size = lambda w: F.shiftrightunsigned(F.col(w), 1).bitwiseAND(F.lit((1 << 19) - 1))
-    left = lambda w: size(w) - F.shiftrightunsigned(F.col(w), 20).bitwiseAND(F.lit((1 << 12) - 1))
-    # the first token that two sets share has all their common tokens at or after it
+    met = met.repartition(F.shiftright("w", 32)).sortWithinPartitions("w")
+    met = _kept(met.mapInArrow(_meet(percent, _MOST), "a long, b long, w long, p long, q long"), "line-meets")
+
+    # rows of a token that too many lines share are joined: a join spreads them over tasks
+    common = met.where("w is not null")
+    x = common.select("w", "a", "p", "q")
+    y = common.select(F.col("w").alias("v"), F.col("a").alias("b"), F.col("p").alias("r"), F.col("q").alias("s"))
+    size = lambda w: F.shiftrightunsigned(F.col(w), 13).bitwiseAND(F.lit(_MOST_SIZE))
+    left = lambda w: size(w) - F.shiftrightunsigned(F.col(w), 1).bitwiseAND(F.lit(_MOST_AT))
     room = F.least(left("w"), left("v")) * F.lit(100 + percent) >= F.lit(percent) * (size("w") + size("v"))
-    # of two settled lines neither has anything left to find
     open_ = F.col("w").bitwiseAND(F.col("v")).bitwiseAND(F.lit(1)) == 0
     same = F.shiftright(F.col("w"), 32) == F.shiftright(F.col("v"), 32)
     close = near(size("w"), F.col("p"), F.col("q"), size("v"), F.col("r"), F.col("s"))
     pairs = x.join(y, same & (F.col("a") < F.col("b")) & open_ & room & close)
+    pairs = pairs.select("a", "b").unionByName(met.where("w is null").select("a", "b"))
     found = later(_kept(pairs.select("a", "b").distinct(), "line-pairs"))
     later_ones = settled.unionByName(found).distinct().withColumn("_later", F.lit(True))
     decided = classes.join(later_ones, "key", "left").where("n > 1 or _later")

@@ -376,3 +376,29 @@ def test_line_dedup_lets_its_shuffles_go(spark, monkeypatch):
     assert [tuple(r) for r in line_dedup.repeated_lines(df).collect()] == [(2, [0])]
     assert seen and set(seen) == {"true"}
     assert spark.conf.get(key, None) == before
+
+
+def test_prefix_tokens_of_lines_are_dealt_out_once(spark, monkeypatch):
+    """op8: they were shuffled once for each side of a self-join."""
+    plans, write = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    df = documents(spark, [(1, "a b c d e f"), (2, "a b c d e f g")])
+    assert [tuple(r) for r in line_dedup.repeated_lines(df).collect()] == [(2, [0])]
+    assert sum(p.count("posexplode(prefix") for p in plans) == 1
+
+
+def test_tokens_that_too_many_lines_share_are_joined(spark, monkeypatch):
+    """Rows of a token above a task's share go on to a join; nothing is lost."""
+    rnd = random.Random(5)
+    texts = []
+    for i in range(90):
+        line = ["w%d" % j for j in range(i % 3 * 4, i % 3 * 4 + 12)]
+        for _ in range(rnd.randint(0, 3)):
+            line[rnd.randrange(12)] = "x%d" % rnd.randrange(20)
+        texts.append((i, " ".join(line) + "\nalone %d %d %d" % (i, i * i, -i)))
+    monkeypatch.setattr(line_dedup, "_HUBS", 0)
+    expected = brute_lines(texts)
+    for most in (1, 7, 1 << 16):
+        monkeypatch.setattr(line_dedup, "_MOST", most)
+        found = line_dedup.repeated_lines(documents(spark, texts)).collect()
+        assert {r["doc_id"]: r["removed"] for r in found} == expected
