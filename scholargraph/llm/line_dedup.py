@@ -167,25 +167,27 @@ def _sets(counts: np.ndarray, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
             n_lines = np.array([t.as_py().count(b"\n") + 1 for t in texts], np.int64)
-            starts = np.cumsum(n_lines) - n_lines
-            line = np.arange(n_lines.sum()) - np.repeat(starts, n_lines)
-            spots = _spot(np.repeat(batch.column(0).to_numpy(), n_lines), line) & (len(wanted) - 1)
-            hits = np.flatnonzero(wanted[spots])
-            docs = np.searchsorted(starts, hits, "right") - 1
-            ends = np.flatnonzero(np.append(docs[1:] != docs[:-1], True)) + 1 if len(hits) else []
-            picked, first = [], 0
-            for end in ends:
-                own = texts[int(docs[first])].as_py().split(b"\n")
-                picked += [own[i] for i in line[hits[first:end]]]
-                first = end
-            for _, _, data in _chunks(pa.array(picked, pa.binary())):
-                lines = Lines(data, counts)
-                new = _new(lines.key, seen)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.key[new]), lines.heads(new, lines.size).filter(pa.array(new))], ["key", "tokens"]
-                )
+            before = np.cumsum(n_lines) - n_lines
+            cuts = np.flatnonzero(np.diff(before // _CHUNK_LINES)) + 1
+            for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):  # documents of about a chunk's lines
+                starts, n = before[first:end] - before[first], n_lines[first:end]
+                line = np.arange(n.sum()) - np.repeat(starts, n)
+                spots = _spot(np.repeat(ids[first:end], n), line) & (len(wanted) - 1)
+                hits = np.flatnonzero(wanted[spots])
+                docs = np.searchsorted(starts, hits, "right") - 1
+                which, at = np.unique(docs, return_index=True)
+                numbers, ends, picked = line[hits].tolist(), [*at[1:].tolist(), len(docs)], []
+                for doc, low, high in zip(which.tolist(), at.tolist(), ends):
+                    own = texts[first + doc].as_py().split(b"\n")
+                    picked += [own[i] for i in numbers[low:high]]
+                for _, _, data in _chunks(pa.array(picked, pa.binary())):
+                    lines = Lines(data, counts)
+                    new = _new(lines.key, seen)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(lines.key[new]), lines.heads(new, lines.size).filter(pa.array(new))], ["key", "tokens"]
+                    )
 
     return run
 
