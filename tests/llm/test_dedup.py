@@ -262,6 +262,56 @@ def test_a_passage_of_frequent_seeds_is_found_whatever_holds_them(spark):
     assert found_words(documents(spark, texts)) == {(70, 20 + w) for w in range(60)}
 
 
+def test_a_common_phrase_is_not_matched_with_every_other_place_of_it(spark, monkeypatch):
+    """Only where the same two documents have another run of equal words near
+    it; the matches of all places of a phrase grew with their square."""
+    made, write = [], passages.written
+
+    def spied(df, name):
+        out = write(df, name)
+        if name == "matches":
+            made.append(out.where("kind < 64").count())
+        return out
+
+    monkeypatch.setattr(passages, "written", spied)
+    phrase = " ".join(prose(91, 24).split()[:24])
+    texts = [(i, " ".join([prose(20_000 + i, 40), phrase, prose(30_000 + i, 40)])) for i in range(300)]
+    near = " ".join(prose(92, 40).split()[:40])
+    texts += [(i, " ".join([prose(40_000 + i, 30), phrase, "w%d" % i, near, prose(50_000 + i, 30)])) for i in (400, 401)]
+    got = found_words(documents(spark, texts))
+    assert sum(made) < 3000
+    start = len(words(prose(40_401, 30)))
+    assert got == {(401, start + w) for w in range(24 + 1 + 40)}
+
+
+def test_passages_of_common_phrases_alone_are_found(spark):
+    """Phrases that hundreds of documents have make a passage only where two
+    documents have them one after the other."""
+    phrases = [" ".join(prose(93 + i, 20).split()[:18]) for i in range(4)]
+    texts = []
+    for i in range(600):
+        texts.append((i, " ".join([prose(60_000 + i, 25), phrases[i % 4], prose(70_000 + i, 25)])))
+    for i in (700, 701, 702):
+        order = phrases if i != 701 else phrases[::-1]
+        parts = [x for n, p in enumerate(order) for x in (p, "w%d_%d" % (n, i))]
+        texts.append((i, " ".join([prose(80_000 + i, 25), *parts, prose(90_000 + i, 25)])))
+    start = len(words(prose(80_702, 25)))
+    assert found_words(documents(spark, texts)) == {(702, start + w) for w in range(4 * 18 + 3)}
+
+
+def test_matches_made_anew_are_those_of_both_texts():
+    """With words added, changed and left out; nothing shorter than a passage."""
+    rnd = random.Random(4)
+    mine = np.array([rnd.randrange(1 << 31) for _ in range(90)], np.int32)
+    its = np.concatenate(([5, 6], mine[10:30], [7], mine[31:50], mine[52:85], [8, 9])).astype(np.int32)
+    chain, = passages._rematched(mine, its, 0, -64, 64, 4, 7, 50)
+    at = dict(zip(*(c.tolist() for c in chain)))
+    assert min(at) == 10 and max(at) == 81 and all((mine[a : a + 4] == its[b : b + 4]).all() for a, b in at.items())
+    assert {a - b for a, b in at.items()} == {8, 10}
+    assert list(passages._rematched(mine, its[:40], 0, -64, 64, 4, 7, 50)) == []
+    assert list(passages._rematched(mine, its, 0, 30, 64, 4, 7, 50)) == []
+
+
 def test_matches_are_all_pairs_thinned_out_in_runs():
     """Every pair's runs of equal words come back from the matches made,
     however few are made at a time."""
